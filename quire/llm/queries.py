@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import common, langid, mixing, packing, preference, secrets, simhash, token_files, tokens
+from quire.llm import common, embed_dedup, langid, mixing, packing, preference, secrets, simhash, token_files, tokens, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, tokens.vocabulary("word_bpe_49k.json"))
@@ -50,6 +62,18 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op4_secret_scan, op5_packing, op6_simhash, op8_source_mix, op9_language_id, op10_preference_format)
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_token_files,
+        op3_exact_topk,
+        op4_secret_scan,
+        op5_packing,
+        op6_simhash,
+        op7_embedding_dedup,
+        op8_source_mix,
+        op9_language_id,
+        op10_preference_format,
+    )
 }
 ORACLES: dict[str, str] = {"op8_source_mix": mixing.oracle_sql(), "op10_preference_format": preference.oracle_sql()}
