@@ -22,8 +22,11 @@ from quire.llm.components import components, forest
 
 #: Distinct fingerprints on which the top tree is fitted.
 SAMPLE = 8192
-#: Distinct fingerprints that a shard should hold, the most levels of the top tree, and members of a shard beyond which it is compared in blocks.
-SHARD, MAX_DEPTH, BLOCK = 6000, 14, 24000
+#: Distinct fingerprints that a shard should hold, and the most levels of the top tree. Every level adds visits, so
+#: shards are as large as a task handles with ease: a member is 8 bytes.
+SHARD, MAX_DEPTH = 65536, 14
+#: Members of a shard beyond which it is compared in blocks, and queries of a unit of work.
+BLOCK, CHUNK = 131072, 32768
 #: Members of a leaf inside a shard.
 LEAF = 96
 #: Links held in a task before they are reduced to a forest.
@@ -176,26 +179,28 @@ def near_links(found: DataFrame, radius: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int32)), pa.array(own[at].view(np.int64)), pa.array(home)], names=["shard", "fingerprint", "home"])
 
     dealt = common.materialize(found.select("fingerprint").mapInArrow(deal, "shard int, fingerprint long, home boolean"), "simhash-shards")
-    sizes = {r[0]: r[1] for r in dealt.where("home").groupBy("shard").count().collect()}  # at most 2 ** MAX_DEPTH rows
-    blocks = {s: -(-c // BLOCK) for s, c in sizes.items() if c > BLOCK}
-    count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("shard")), F.lit(1)) if blocks else F.lit(1)
-    own_block = F.when(F.col("home"), F.pmod(F.xxhash64("fingerprint"), count)).otherwise(F.lit(-1)).cast("int")
-    rows = dealt.withColumns({"own": own_block, "n": count})
-    rows = rows.withColumn("block", F.explode(F.sequence(F.greatest("own", F.lit(0)), F.col("n") - 1)))
-    work = rows.select("shard", "block", "fingerprint", (F.col("own") == F.col("block")).alias("member"))
-
-    def link(rows: pa.Table) -> pa.Table:
-        return _shard_links(radius, rows)
-
-    return work.groupBy("shard", "block").applyInArrow(link, "a long, b long")
-
-
-def _shard_links(radius: int, rows: pa.Table) -> pa.Table:
-    """All rows of a block are queries, its own members the targets; a pair in two blocks meets in the later one."""
-    values = rows.column("fingerprint").combine_chunks().to_numpy().view(np.uint64)
-    members = np.flatnonzero(rows.column("member").combine_chunks().to_numpy(zero_copy_only=False))
+    own, shard = F.col("fingerprint"), F.col("shard")
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.greatest(F.ceil(F.count_if("home") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
+    sizes = F.broadcast(spark.createDataFrame(sizes.collect(), sizes.schema))  # at most 2 ** MAX_DEPTH rows
+    rows = dealt.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64(own), F.col("blocks")).cast("int"))
+    # a member is a target in its own block, for every chunk of queries there; it asks its own and the later blocks, a visitor all
+    first = F.when(F.col("home"), F.col("block")).otherwise(0)
+    chunk = F.pmod(F.xxhash64(own, F.lit(1)), F.col("chunks")).cast("int")
+    ask = rows.select(shard, F.explode(F.sequence(first, F.col("blocks") - 1)).alias("block"), chunk.alias("chunk"), own, F.lit(False).alias("member"))
+    targets = rows.where("home").select(shard, "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), own, F.lit(True).alias("member"))
+
+    def link(found: pa.Table) -> pa.Table:
+        return _unit_links(radius, found)
+
+    return ask.unionByName(targets).groupBy("shard", "block", "chunk").applyInArrow(link, "a long, b long")
+
+
+def _unit_links(radius: int, rows: pa.Table) -> pa.Table:
+    """A forest of the links between the queries and the members of a unit."""
+    values, at = np.unique(rows.column("fingerprint").combine_chunks().to_numpy().view(np.uint64), return_inverse=True)
+    member = rows.column("member").combine_chunks().to_numpy(zero_copy_only=False)
     links = Links(len(values))
-    search(values, members, np.arange(len(values)), radius, links, np.random.default_rng(11))
+    search(values, at[member], at[~member], radius, links, np.random.default_rng(11))
     root = links.roots()
     child = np.flatnonzero(root != np.arange(len(values)))
     return pa.table({"a": pa.array(values[child].view(np.int64)), "b": pa.array(values[root[child]].view(np.int64))})
