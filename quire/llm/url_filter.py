@@ -104,7 +104,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     ranks = flow = base
     for i in range(rounds):
         # what entered one step ago goes one step further; ranks are the sums of all steps
-        flow = flow.join(edges, (flow.kind == edges.kind) & (flow.host == edges.u)).groupBy(edges.kind, edges.v.alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
+        flow = flow.withColumnRenamed("host", "u").join(edges, ["kind", "u"]).groupBy("kind", F.col("v").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
         ranks = ranks.unionByName(flow)
         if i % WRITE_EVERY == WRITE_EVERY - 1 or i == rounds - 1:
             flow = common.materialize(flow, "url-flow")
