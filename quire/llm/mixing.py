@@ -87,8 +87,9 @@ class Mix:
         ends = F.broadcast(bounds) if self.small else bounds
         joined = rows.join(ends, F.col("_source").eqNullSafe(F.col("source")), "inner")
         odds = lambda p: p / (1.0 - p)
-        inclusion = F.least(F.col("rest") / F.col("mass") * F.col("_weight"), F.lit(1.0 - 1e-9))
-        mean = F.least(F.col("rest") / F.col("source_size"), F.lit(1.0 - 1e-9))
+        most = F.lit(1.0 - 1e-9)
+        inclusion = F.least(F.col("rest") / F.col("mass") * F.col("_weight"), most)
+        mean = F.least(F.col("rest") / F.greatest(F.col("source_size"), F.lit(1)), most)
         rank = F.when(F.col("rest") > 0, odds(F.col("_u")) / odds(inclusion))
         level = F.col("_rank") * odds(mean)
         return joined.withColumn("_rank", rank).withColumn("_bucket", F.least(F.floor(level / (1.0 + level) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
