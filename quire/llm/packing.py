@@ -134,9 +134,10 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "bytes", end_id: int = 0,
             rows, packer.out = packer.out, []
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-        for batch in common.slices(batches, "text"):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                packer.add(doc_id, ids + end)
+        for batch in common.slices(batches, "text", tokens.SLICE):
+            ids, at = encode(batch.column("text"))
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                packer.add(doc_id, ids[a:b].tobytes() + end)
             if packer.out:
                 yield flush()
         packer.close()

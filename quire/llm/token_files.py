@@ -62,14 +62,14 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary, kind).encode
         shard, start = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<i4").tobytes()
-        for batch in common.slices(batches, "text"):
-            ids = encode(batch.column("text").to_pylist())
-            lengths = np.fromiter((len(x) // 4 + 1 for x in ids), np.int64, len(ids))
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            values = pa.array(np.frombuffer(b"".join(x + end for x in ids), dtype="<i4"))
+        for batch in common.slices(batches, "text", tokens.SLICE):
+            ids, at = encode(batch.column("text"))
+            offsets = at + np.arange(len(at))
+            lengths = np.diff(offsets)
+            flat = np.insert(ids, at[1:], end_id)
+            values = pa.array(flat)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, type=_ARROW.field("tokens").type)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(ids), shard, np.int32)), pa.array(start + offsets[:-1]), pa.array(lengths), lists], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(lengths), shard, np.int32)), pa.array(start + offsets[:-1]), pa.array(lengths), lists], schema=_ARROW)
             start += int(offsets[-1])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -81,6 +81,7 @@ def write(
         .write.option("compression", compression)
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", str(row_group_bytes))
+        .option("parquet.page.size.row.check.min", "20")
         .option("parquet.page.size", str(page_bytes))
         .option("parquet.page.row.count.limit", str(page_rows))
         .option("parquet.enable.dictionary", "false")

@@ -1,8 +1,9 @@
 """Token ids of whole texts, by the ``tokenizers`` library, with a memo of the pieces between white space.
 
 Both supported vocabularies split a text at white space before they merge, so the ids of a text are
-the ids of its pieces in order. A worker encodes every distinct piece once per memo and joins the
-remembered bytes; texts whose white space the split rule does not cover are encoded whole.
+the ids of its pieces in order. Arrow cuts a batch of texts into pieces, finds the distinct ones and looks
+them up among those that the worker has met; only new ones are encoded, and numpy lays the ids out. Texts
+with white space that this split doesn't cover are encoded whole.
 """
 
 from __future__ import annotations
@@ -10,9 +11,15 @@ from __future__ import annotations
 import os
 import struct
 
-#: Pieces in one generation of a worker's memo; there are two, and the older is dropped when the newer is full.
-MEMO_PIECES = 250_000
-#: Longest piece that is remembered.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Pieces that a worker remembers; beyond them it starts anew with those of the batch at hand.
+MEMO_PIECES = 2_000_000
+#: Bytes of text in a slice that is encoded at once.
+SLICE = 16 << 20
+#: Longest piece that goes to the merges at once.
 MEMO_LENGTH = 64
 
 def _byte_chars() -> dict[int, int]:
@@ -24,6 +31,12 @@ def _byte_chars() -> dict[int, int]:
 
 
 BYTE_CHARS = _byte_chars()
+#: Stands before a text's first word, and before a full stop or comma that was cut off.
+FIRST, MARK = "\x01", "\x02"
+#: A full stop or comma after a letter or digit, at a word's end: the split rules cut there too.
+STOP = "([\\pL\\pN])([.,])( |\\z)"
+#: White space other than a single space or line feed between two words.
+ODD = "[\\x01\\x02\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]"
 SPACE = chr(BYTE_CHARS[0x20])
 FORMATS = [f"<{n}i" for n in range(4 * MEMO_LENGTH)]
 
@@ -44,8 +57,9 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """kind "bytes": byte-level vocabulary, a piece is a word with the space before it, or a line feed.
-    kind "words": white space is dropped by the vocabulary itself, a piece is a word."""
+    """kind "bytes": byte-level vocabulary; a piece is a word, standing for itself with the space before it, a
+    line feed with the word behind it, or FIRST with a text's first word. kind "words": the vocabulary drops
+    white space; a piece is a word. In both a piece may also be MARK with a full stop or comma."""
 
     def __init__(self, path: str, kind: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,20 +67,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = kind
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks = dict(zip(".,", self._whole([".", ","]), strict=True))
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """None: the text holds white space that the split doesn't cover."""
-        if self.kind == "words":
-            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        words = text.split()
-        gaps = len(words) - 1
-        if "\x01" in text or len(text) - sum(map(len, words)) != gaps or text.count(" ") + text.count("\n") != gaps:
-            return None
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
+        self.spaced = kind == "bytes"
+        self.feed = self._whole(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.starts, self.lengths = np.zeros(0, "<i4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids := e.ids)}i", *ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -76,61 +83,73 @@ class Encoder:
         splits or changes it before, save for the writing of its bytes as characters."""
         out: list[bytes] = []
         rest: list[int] = []
-        tokenize, spaced, pack = self.tokenizer.model.tokenize, self.kind == "bytes", struct.pack
+        tokenize, spaced, pack, feed = self.tokenizer.model.tokenize, self.spaced, struct.pack, self.feed
         for i, p in enumerate(pieces):
-            word, space = (p[1:], SPACE) if spaced and p[0] == " " else (p, "")
-            if not word.isalpha() or len(word) > MEMO_LENGTH or not (spaced or word.islower()):
-                found = None
-            elif word.isascii():
-                found = tokenize(space + word)
-            else:
-                found = tokenize(space + word.encode().decode("latin-1").translate(BYTE_CHARS)) if max(word) < "\u0250" else None
+            head, word, space = b"", p, ""
+            if p == "":  # of an empty text
+                out.append(b"")
+                continue
+            if p[0] == MARK:
+                word = ""
+            elif spaced:
+                if p[0] == "\n":
+                    head, word = feed, p[1:]
+                elif p[0] == FIRST:
+                    word = p[1:]
+                else:
+                    space = SPACE
+            found = None
+            if word.isalpha() and len(word) <= MEMO_LENGTH and (spaced or word.islower()):
+                if word.isascii():
+                    found = tokenize(space + word)
+                elif max(word) < "\u0250":
+                    found = tokenize(space + word.encode().decode("latin-1").translate(BYTE_CHARS))
             if found is None:
                 rest.append(i)
-            out.append(pack(FORMATS[len(found)], *[t.id for t in found]) if found else b"")
-        for i, ids in zip(rest, self._whole([pieces[i] for i in rest]), strict=True):
+                out.append(b"")
+            else:
+                out.append(head + pack(FORMATS[len(found)], *[t.id for t in found]))
+        whole = [p[1:] if p[0] in (FIRST, MARK) else p if not spaced or p[0] == "\n" else " " + p for p in (pieces[i] for i in rest)]
+        for i, ids in zip(rest, self._whole(whole), strict=True):
             out[i] = ids
         return out
 
-    def _stem(self, piece: str) -> str:
-        """The piece in the case that the vocabulary sees, without a full stop or comma after a letter or digit:
-        the split rule cuts there too."""
-        if self.kind == "words" and piece.isascii():
-            piece = piece.lower()
-        return piece[:-1] if len(piece) > 1 and piece[-1] in self.marks and piece[-2].isalnum() else piece
-
-    def _learn(self, pieces: set[str]) -> list[str]:
-        """Puts every piece into the memo; returns those that must not stay there."""
-        memo, old = self.memo, self.old
-        if len(memo) > MEMO_PIECES:
-            self.memo, self.old = memo, old = {}, memo
-        new = []
-        for p in pieces:
-            if p not in memo:
-                if p in old:
-                    memo[p] = old[p]
-                else:
-                    new.append(p)
-        stems = [self._stem(p) for p in new]
-        need = []
-        for q in set(stems):
-            if q not in memo:
-                if q in old:
-                    memo[q] = old[q]
-                else:
-                    need.append(q)
-        memo.update(zip(need, self._words(need), strict=True))
-        for p, q in zip(new, stems, strict=True):
-            if p is not q:
-                memo[p] = memo[q] + self.marks[p[-1]] if len(p) > len(q) else memo[q]
-        return [p for p in {*new, *need} if len(p) > MEMO_LENGTH]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; of a null as of an empty text."""
-        split = [self._pieces(t) if t else [] for t in texts]
-        drop = self._learn({p for pieces in split if pieces for p in pieces})
-        known = self.memo.__getitem__
-        ids = [b"".join(map(known, pieces)) if pieces is not None else self._whole([t])[0] for pieces, t in zip(split, texts, strict=True)]
-        for p in drop:
-            del self.memo[p]
-        return ids
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces among the known ones; new ones are added."""
+        if len(self.known) > MEMO_PIECES:
+            self._forget()
+        at = pc.index_in(pieces, self.known)
+        new = pieces.filter(pc.is_null(at))
+        found = self._words(new.to_pylist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        places = at.to_numpy(zero_copy_only=False).astype(np.float64)
+        places[np.isnan(places)] = len(self.known) + np.arange(len(new))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<i4")])
+        self.known = pa.concat_arrays([self.known, new])
+        return places.astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (int32), and where each text's begin, with the end; a null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._split(texts)
+        flat, at = self._split(texts.filter(pa.array(~odd)))
+        plain = iter([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+        whole = iter([np.frombuffer(x, "<i4") for x in self._whole(texts.filter(pa.array(odd)).to_pylist())])
+        parts = [next(whole) if o else next(plain) for o in odd]
+        return np.concatenate([np.zeros(0, "<i4"), *parts]), np.cumsum([0, *map(len, parts)])
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.replace_substring(texts, "\n", " \n" if self.spaced else " ")
+        texts = pc.replace_substring_regex(texts, STOP, f"\\1 {MARK}\\2\\3")
+        texts = pc.binary_join_element_wise("", texts, FIRST) if self.spaced else pc.ascii_lower(texts)
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = self._find(coded.dictionary)[coded.indices.to_numpy()]
+        n = self.lengths[codes].astype(np.int32)
+        ends = np.cumsum(n, dtype=np.int32)
+        flat = self.ids[np.repeat(self.starts[codes].astype(np.int32) - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        return flat, np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
