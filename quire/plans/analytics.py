@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quire.functions import stats, vectors
-from quire.operators import sequences
+from quire.operators import alloc, sequences
 from quire.plans.base import query, table
 
 
@@ -246,3 +246,13 @@ def q22_consecutive_hits(spark: SparkSession, folder: str) -> DataFrame:
     return s.groupBy("user_id").agg(F.max("streak").alias("longest"), F.max("tripped").alias("tripped"))
 
 
+
+
+@query()
+def q48_waterfill(spark: SparkSession, folder: str) -> DataFrame:
+    """Bits for parts under a total budget: 5 a unit of size on average."""
+    options = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.lit(r).alias("rank")) for b, r in ((2, 3), (4, 2), (8, 1), (16, 0))]))
+    o = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice", options.alias("o"))
+    o = o.select("p_partkey", F.col("o.rank").alias("rank"), (F.col("p_size") * F.col("o.bits")).cast("double").alias("rate"), (F.col("p_retailprice") / 100 / F.pow(F.lit(2.0), F.col("o.bits"))).alias("distortion"))
+    budget = 5.0 * table(spark, folder, "part").agg(F.sum("p_size")).first()[0]
+    return alloc.waterfill(o, "p_partkey", budget)

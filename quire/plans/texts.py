@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import charts, pretok, spans, text, tokens
-from quire.operators import bpe
+from quire.operators import bpe, music
 from quire.plans.base import query, table
 from quire.streaming import pages as page_stream
 
@@ -204,3 +204,20 @@ def q64_partial_failure(spark: SparkSession, folder: str) -> DataFrame:
 def q65_page_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The batch twin of the streaming page scanner, with a digest of each page."""
     return q27_page_split(spark, folder).select("conv_id", "page", F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+def semantics(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as semantic music strings: an order is a system, a return flag a part."""
+    li = table(spark, folder, "lineitem")
+    name = F.element_at(F.array(*[F.lit(d) for d in ("quarter", "half", "eighth", "quarter.", "whole", "sixteenth", "x")]), (F.pmod(F.col("l_quantity").cast("int"), F.lit(7)) + 1).cast("int"))
+    event = F.when(F.col("l_linenumber") % 3 == 0, "barline").when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("rest-"), name)).otherwise(F.concat(F.lit("C4_"), name, F.lit("|E4_half")))
+    line = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", event.alias("e"))))
+    parts = li.groupBy((F.col("l_orderkey") % 997).alias("system"), F.col("l_returnflag").alias("part")).agg(line.alias("v"))
+    key = F.when(F.col("part") == "A", "CM").when(F.col("system") % 2 == 0, "GM").otherwise("CM")
+    head = F.concat(F.lit("clef-G2+keySignature-"), key, F.lit("+timeSignature-"), F.when(F.col("system") % 3 == 0, "C").otherwise("3/4"))
+    return parts.select("system", "part", F.concat_ws("+", head, F.array_join(F.transform("v", lambda x: x["e"]), "+")).alias("semantic"))
+
+
+@query()
+def q60_music_sanity(spark: SparkSession, folder: str) -> DataFrame:
+    return music.warnings(semantics(spark, folder))
