@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from quire.llm import common
 
 #: Vectors of a shard, queries of a block, quantised impacts of a list.
-SHARD_ROWS, QUERY_BLOCK, LEVELS = 8192, 4096, 64
-#: Possible members at which processing stops, in multiples of k.
-FEW = 8
+SHARD_ROWS, QUERY_BLOCK, LEVELS = 32768, 4096, 32
+#: Possible members at which processing stops, in multiples of k, and segments between two looks at them.
+FEW, LOOK = 100, 256
 
 
 class ShardIndex:
@@ -60,7 +60,7 @@ class ShardIndex:
         sums = np.zeros(n, np.int64)
         if skip is not None:
             sums[skip] = -(1 << 60)
-        few, rest, check = FEW * k, None, max(32, len(dims))
+        few, rest = FEW * k, None
         for done, s in enumerate(order.tolist(), 1):
             d, c = divmod(s, self.levels)
             dim = dims[d]
@@ -70,7 +70,7 @@ class ShardIndex:
                 sums[segment] += gain[d, c]
             left[d] = most[d, c + 1] if c + 1 < self.levels else 0
             # a vector met in a segment may still hold up to a step less one above its quantised impact
-            if done % check == 0 and n > few:
+            if done % LOOK == 0 and n > few:
                 slack = int((weight[dims] * (self.step[dims] - 1)).sum())
                 kth = np.partition(sums, n - k)[n - k]
                 rest = np.flatnonzero(sums + slack + int(left.sum()) >= kth)
