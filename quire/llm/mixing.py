@@ -17,6 +17,8 @@ from quire.llm import common
 BUCKETS = 4096
 #: Sources up to which their table is sent to every executor; beyond it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Order of a source's documents: rank, id, then text and place, which tell repeated ids and rows apart.
+ORDER = ("_rank", "_id", "_mark", "_at")
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -59,7 +61,7 @@ class Mix:
 
     ``weight``: relative inclusion of documents within their source (a positive expression over docs;
     equal if left out). Null texts have size 0; a null source is a source; a null id has its own random
-    number; repeated ids share one and are told apart by size and position, repeated rows by position.
+    number; repeated ids share one and are told apart by text, repeated rows by position.
     Documents of size 0 get a source's certain copies and are sampled like others, for 0 words. An
     empty table gives no rows. Equal input gives equal results. The sum that a source takes misses its target by
     half of one document at most.
@@ -73,10 +75,12 @@ class Mix:
             "_size": word_count(F.col(text_col)),
             "_u": uniform(F.col(id_col), seed),
             "_weight": F.lit(1.0) if weight is None else weight.cast("double"),
+            "_mark": F.xxhash64(F.col(text_col)),
             "_at": F.monotonically_increasing_id(),
         }
-        self.marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in marks.items()])
-        self.rows = common.materialize(self.marked.select(*marks), "mix-sizes")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+        self.marked = docs.select(row, *[v.alias(k) for k, v in marks.items() if k != "_size"])
+        self.rows = common.materialize(docs.select(*[v.alias(k) for k, v in marks.items()]), "mix-sizes")
         sizes = self.rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.sum(F.col("_size") * F.col("_weight")).alias("mass"))
         self.sources = common.materialize(targets(sizes, weights, share, cap), "mix-targets")
         self.small = self.sources.count() <= BROADCAST_SOURCES
@@ -103,16 +107,16 @@ class Mix:
         cross = upto.where("upto >= rest").groupBy("source").agg(F.min(F.struct("_bucket", "before")).alias("c")).select("source", F.col("c._bucket").alias("bucket"), F.col("c.before").alias("before"))
         ends = common.materialize(self.sources.alias("s").join(cross.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left").select("s.*", "c.bucket", "c.before"), "mix-cross")
         inside = self._ranked(self.rows, ends).where("_bucket = bucket")
-        line = Window.partitionBy("source").orderBy("_rank", "_id", "_size", "_at")
+        line = Window.partitionBy("source").orderBy(*ORDER)
         words = F.col("before") + F.coalesce(F.sum("_size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         over = F.col("words") + F.col("_size") - F.col("rest")
         taken = inside.withColumn("words", words).where((over <= 0) | ((F.col("words") < F.col("rest")) & (over < F.col("rest") - F.col("words"))))
-        last = taken.groupBy("source").agg(F.max(F.struct("_rank", "_id", "_size", "_at")).alias("last"))
+        last = taken.groupBy("source").agg(F.max(F.struct(*ORDER)).alias("last"))
         return ends.alias("e").join(last.alias("l"), F.col("e.source").eqNullSafe(F.col("l.source")), "left").select("e.*", "l.last")
 
     def _decide(self, rows: DataFrame) -> DataFrame:
         ranked = self._ranked(rows, self.bounds)
-        here = F.struct("_rank", "_id", "_size", "_at")
+        here = F.struct(*ORDER)
         extra = F.coalesce(F.col("bucket").isNull() | (F.col("_bucket") < F.col("bucket")) | ((F.col("_bucket") == F.col("bucket")) & (here <= F.col("last"))), F.lit(False))
         return ranked.withColumn("_copies", F.col("copies") + F.when(F.col("_rank").isNotNull() & extra, 1).otherwise(0))
 
@@ -122,9 +126,7 @@ class Mix:
 
     def documents(self) -> DataFrame:
         """The rows of docs, each as often as it is taken, columns as they were."""
-        names = [f"`{c}`" for c in self.docs.columns]
-        prefixed = self.marked.select(F.struct(*names).alias("_row"), "_id", "_source", "_size", "_u", "_weight", "_at")
-        repeated = self._decide(prefixed).where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth"))
+        repeated = self._decide(self.marked).where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth"))
         return repeated.select("_row.*")
 
 
@@ -147,6 +149,6 @@ rests AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_si
 ranked AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.copies, r.target - r.copies * r.source_size AS rest, d.u, d.source
   FROM docs d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source),
 keyed AS (SELECT *, CASE WHEN rest > 0 THEN (u / (1.0::DOUBLE - u)) / (least(rest / source_size, 1.0::DOUBLE - 1e-9::DOUBLE) / (1.0::DOUBLE - least(rest / source_size, 1.0::DOUBLE - 1e-9::DOUBLE))) END AS k FROM ranked),
-lined AS (SELECT *, coalesce(CAST(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS words FROM keyed),
+lined AS (SELECT *, coalesce(CAST(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS words FROM keyed),
 taken AS (SELECT *, copies + CASE WHEN rest > 0 AND (words + size <= rest OR (words < rest AND words + size - rest < rest - words)) THEN 1 ELSE 0 END AS n FROM lined)
 SELECT doc_id, size, source_size, target, CAST(n AS BIGINT) AS copies, CAST(n * size AS BIGINT) AS taken FROM taken"""
