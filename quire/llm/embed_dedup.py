@@ -188,3 +188,14 @@ def _compare(rows: pa.Table, width: int, threshold: float) -> pa.Table:
     a = pa.array(rep[keep], mask=~child[keep])
     b = pa.array(rep[roots[keep]], mask=~child[keep])
     return pa.table({"label": pa.array([first["label"]] * len(keep), pa.string()), "rep": pa.array(rep[keep]), "mark": pa.array(mark[keep]), "links": pa.array(links[keep]), "a": a, "b": b})
+
+
+def oracle_sql(threshold: float = 0.93) -> str:
+    """Brute force over all pairs of a label; equal to the forest's result where that finds every link."""
+    return f"""
+WITH RECURSIVE s AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {threshold}::DOUBLE),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.low AS component_id, coalesce(e.vec_id = c.low, false) AS kept FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""

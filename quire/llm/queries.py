@@ -76,4 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_preference_format,
     )
 }
-ORACLES: dict[str, str] = {"op8_source_mix": mixing.oracle_sql(), "op10_preference_format": preference.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.oracle_sql(),
+    "op3_exact_topk": topk.oracle_sql(),
+    "op7_embedding_dedup": embed_dedup.oracle_sql(),
+    "op8_source_mix": mixing.oracle_sql(),
+    "op10_preference_format": preference.oracle_sql(),
+}

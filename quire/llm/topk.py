@@ -165,3 +165,13 @@ def _block(shards: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> D
 
     units = shards.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(split)]))).repartition(parts)
     return units.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def oracle_sql(k: int = 10, scale: int = 1024, every: int = 100) -> str:
+    """Brute force: every query against every row."""
+    return f"""
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM s a JOIN s b ON a.vec_id % {every} = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= {k}"""

@@ -119,7 +119,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     """page_id, host, path, rule, verdict, trust, distrust: one row per page.
 
     The verdict is the rule's where one fits, else the method's for the host. Trust and distrust are in even
-    shares (rank times the number of hosts of pages); a host that nothing reaches has 0 of both and is allowed. Pages with a
+    shares (rank times the number of hosts of pages), rounded to six places; a host that nothing reaches has 0 of both and is allowed. Pages with a
     null url or without ``://`` have empty host and path, no links, and are allowed unless a rule fits. Null
     markup has no links. Repeated rows are judged as rows of their own; other columns are ignored.
     """
@@ -137,4 +137,31 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when((distrust >= min_distrust) & (distrust > trust), "block").otherwise("allow")
     joined = ruled.join(hosts, "host", "left")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), F.round(trust, 6).alias("trust"), F.round(distrust, 6).alias("distrust"))
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, min_distrust: float = MIN_DISTRUST) -> str:
+    """The same in DuckDB: a table expression for each round. Trust and distrust are rounded to six places."""
+    listed = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in rules)
+    steps = ",\n".join(f"f{i + 1} AS (SELECT f.kind, e.v AS host, {damping}::DOUBLE * sum(f.rank * e.share) AS rank FROM f{i} f JOIN e ON e.kind = f.kind AND e.u = f.host GROUP BY ALL)" for i in range(rounds))
+    every = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(rounds + 1))
+    return f"""
+WITH p AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS nr FROM pages),
+rules(rule_host, rule_path, says) AS (VALUES {listed}),
+fits AS (SELECT p.nr, arg_min(rule_host || rule_path, (-length(rule_host || rule_path), rule_host || rule_path)) AS rule, arg_min(says, (-length(rule_host || rule_path), rule_host || rule_path)) AS says
+  FROM p JOIN rules ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path) GROUP BY p.nr),
+ruled AS (SELECT p.*, fits.rule, fits.says FROM p LEFT JOIN fits USING (nr)),
+t AS (SELECT host AS source, lower(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s>]+)', 1)), '^[^@]*@', ''), ':[0-9]*$', '')) AS target FROM p WHERE host <> ''),
+n AS (SELECT source, target, count(*) AS n FROM t WHERE source <> target AND target <> '' GROUP BY ALL),
+ends AS (SELECT 'trust' AS kind, source AS u, target AS v, n FROM n UNION ALL SELECT 'distrust', target, source, n FROM n),
+e AS (SELECT kind, u, v, n::DOUBLE / sum(n) OVER (PARTITION BY kind, u) AS share FROM ends),
+seeds AS (SELECT CASE WHEN says = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS seed FROM ruled WHERE says IS NOT NULL AND host <> '' GROUP BY ALL),
+f0 AS (SELECT kind, host, {1 - damping}::DOUBLE * seed / sum(seed) OVER (PARTITION BY kind) AS rank FROM seeds),
+{steps},
+ranks AS ({every}),
+hosts AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) * (SELECT count(DISTINCT host) FROM p WHERE host <> '') AS trust,
+  coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) * (SELECT count(DISTINCT host) FROM p WHERE host <> '') AS distrust FROM ranks GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(says, CASE WHEN coalesce(distrust, 0) >= {min_distrust}::DOUBLE AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust
+FROM ruled r LEFT JOIN hosts h ON h.host = r.host"""
