@@ -14,8 +14,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch handed to a Python worker; bounds the worker's memory.
-BATCH_ROWS = 8000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 4000
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
