@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quire.functions import imaging as pixels
 from quire.functions import stats, vectors
-from quire.operators import alloc, sequences
+from quire.functions.tensors import policy
+from quire.operators import alloc, envelope, imaging, sequences
 from quire.plans.base import query, table
 
 
@@ -162,16 +164,17 @@ def q47_lambda_argmin(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.groupBy("price").agg(F.sum("o.rate").alias("rate"), F.round(F.sum("o.dist"), 4).alias("dist"))
 
 
-_NAME = """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'model.layers.' || p_size || '.self_attn.q_proj.weight' WHEN p_partkey % 5 = 1 THEN 'model.layers.' || p_size || '.mlp.experts.3.down_proj.weight' WHEN p_partkey % 5 = 2 THEN 'model.norm.weight'
-WHEN p_partkey % 5 = 3 THEN 'vision.patch_embed.bias' ELSE 'lm_head.weight' END AS name FROM part"""
+_NAME = """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'model.layers.' || p_size || '.self_attn.q_proj.weight' WHEN 1 THEN 'model.layers.' || p_size || '.mlp.experts.3.down_proj.weight' WHEN 2 THEN 'model.norm.weight'
+WHEN 3 THEN 'model.vision_model.patch_embed.bias' WHEN 4 THEN 'layers.' || p_size || '.mlp.gate.weight' WHEN 5 THEN 'model.layers.' || p_size || '.input_layernorm.weight' ELSE 'lm_head.weight' END AS name FROM part"""
 
 
-@query(f"""WITH n AS ({_NAME}) SELECT p_partkey, name, CASE WHEN ends_with(name, '.bias') OR contains(name, 'norm') THEN 'keep' WHEN name = 'lm_head.weight' OR starts_with(name, 'vision.') THEN 'gated' WHEN regexp_matches(name, 'layers\\.[0-9]+\\.(self_attn|mlp)\\..*_proj\\.weight$') THEN 'int8' ELSE 'keep' END AS policy FROM n""")
+@query(rf"""WITH n AS ({_NAME}) SELECT p_partkey, name, CASE WHEN starts_with(name, 'model.vision_model.') OR ends_with(name, '.mlp.gate.weight') OR contains(name, 'layernorm') OR name = 'model.norm.weight' THEN 'keep'
+WHEN regexp_matches(name, '\.self_attn\..*[qkvo]_proj\.weight$') THEN 'gated_attention' WHEN name = 'lm_head.weight' THEN 'gated_lm_head' WHEN regexp_matches(name, '^model\.layers\..*\.mlp\..*(gate|up|down)_proj\.weight$') THEN 'int8' ELSE 'keep' END AS policy FROM n""".replace("\\\\", "\\"))
 def q49_tensor_policy(spark: SparkSession, folder: str) -> DataFrame:
-    from quire.functions.tensors import policy
-
-    k, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
-    name = F.when(k == 0, F.concat(F.lit("model.layers."), size, F.lit(".self_attn.q_proj.weight"))).when(k == 1, F.concat(F.lit("model.layers."), size, F.lit(".mlp.experts.3.down_proj.weight"))).when(k == 2, "model.norm.weight").when(k == 3, "vision.patch_embed.bias").otherwise("lm_head.weight")
+    size = F.col("p_size").cast("string")
+    around = lambda a, b: F.concat(F.lit(a), size, F.lit(b))
+    names = [around("model.layers.", ".self_attn.q_proj.weight"), around("model.layers.", ".mlp.experts.3.down_proj.weight"), F.lit("model.norm.weight"), F.lit("model.vision_model.patch_embed.bias"), around("layers.", ".mlp.gate.weight"), around("model.layers.", ".input_layernorm.weight"), F.lit("lm_head.weight")]
+    name = F.element_at(F.array(*names), (F.col("p_partkey") % 7 + 1).cast("int"))
     return table(spark, folder, "part").select("p_partkey", name.alias("name")).withColumn("policy", policy(F.col("name")))
 
 
@@ -256,3 +259,47 @@ def q48_waterfill(spark: SparkSession, folder: str) -> DataFrame:
     o = o.select("p_partkey", F.col("o.rank").alias("rank"), (F.col("p_size") * F.col("o.bits")).cast("double").alias("rate"), (F.col("p_retailprice") / 100 / F.pow(F.lit(2.0), F.col("o.bits"))).alias("distortion"))
     budget = 5.0 * table(spark, folder, "part").agg(F.sum("p_size")).first()[0]
     return alloc.waterfill(o, "p_partkey", budget)
+
+
+@query("""WITH r AS (SELECT user_id AS doc, event_id % 3 AS run, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) - 1 AS pos, CASE WHEN length(event_type) > 5 THEN 1 ELSE 0 END AS token, value AS logit FROM events),
+s AS (SELECT doc, count(*) AS n_runs, min(n) AS compared FROM (SELECT doc, run, count(*) AS n FROM r GROUP BY ALL) GROUP BY doc),
+a AS (SELECT doc, pos, n_runs, compared, count(DISTINCT token) > 1 AS apart, max(logit) - min(logit) AS spread FROM r JOIN s USING (doc) WHERE pos < compared GROUP BY ALL),
+d AS (SELECT doc, n_runs, compared, coalesce(min(pos) FILTER (WHERE apart), compared) AS first_divergence, count(*) FILTER (WHERE apart) AS n_divergent, max(spread) AS spread FROM a GROUP BY doc, n_runs, compared)
+SELECT doc, n_runs, compared, first_divergence, n_divergent, round(n_divergent::DOUBLE / compared, 8) AS divergence_rate, round(coalesce((SELECT max(a.spread) FROM a WHERE a.doc = d.doc AND a.pos < d.first_divergence), 0), 8) AS spread_in_prefix, round(spread, 8) AS spread FROM d""")
+def q66_run_envelope(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    run = F.col("event_id") % 3
+    line = Window.partitionBy("user_id", run).orderBy("ts", "event_id")
+    rows = e.select(F.col("user_id").alias("doc"), run.alias("run"), (F.row_number().over(line) - 1).cast("long").alias("pos"), F.when(F.length("event_type") > 5, 1).otherwise(0).alias("token"), F.col("value").alias("logit"))
+    found = envelope.envelope(rows)
+    return found.withColumns({c: F.round(c, 8) for c in ("divergence_rate", "spread_in_prefix", "spread")})
+
+
+@query()
+def q67_pool_decision(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("l_linenumber").cast("double")
+    t = table(spark, folder, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("k")).select(n.alias("n"), (n * 100.0 / (1 + 0.05 * (n - 1) + 0.02 * n * (n - 1))).alias("c"))
+    return envelope.pool_decision(t, "n", "c", 16, 8).select(r6("alpha"), r6("beta"), r6("r2"), "chosen", "decision")
+
+
+@query("""WITH g AS (SELECT vec_id AS image, unnest(range(0, 64)) AS i, unnest(embedding) AS e FROM embeddings), p AS (SELECT image, i // 8 AS y, i % 8 AS x, CAST(floor((e::DOUBLE + 1) * 127) AS INTEGER) AS v FROM g),
+h AS (SELECT image, v, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT image, v, sum(n) OVER w AS total, sum(n * v) OVER w AS mass, sum(n) OVER l AS w0, sum(n * v) OVER l AS s0 FROM h WINDOW w AS (PARTITION BY image), l AS (PARTITION BY image ORDER BY v)),
+b AS (SELECT image, v, w0::DOUBLE * (total - w0)::DOUBLE * ((s0::DOUBLE / w0 - (mass - s0)::DOUBLE / (total - w0)) * (s0::DOUBLE / w0 - (mass - s0)::DOUBLE / (total - w0))) AS var FROM t WHERE w0 < total)
+SELECT image, CAST(arg_min(v, (-var, v)) AS INTEGER) AS threshold FROM b GROUP BY image""")
+def q68_image_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings as eight by eight images."""
+    return imaging.otsu(_images(spark, folder))
+
+
+def _images(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "e"))
+    return p.select("image", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.floor((F.col("e").cast("double") + 1) * 127).cast("int").alias("v"))
+
+
+@query("""SELECT p_partkey, CAST(greatest(round_even(p_size::DOUBLE / (p_size + p_partkey % 50 + 1) * 640, 0), 1) AS INTEGER) AS edge, CAST(round_even((640 - greatest(round_even(p_size::DOUBLE / (p_size + p_partkey % 50 + 1) * 640, 0), 1)) * 0.5::DOUBLE, 0) AS INTEGER) AS inset,
+CAST(17 * 16 + 1 + CASE WHEN (p_size % 3 + 1) * (p_size % 2 + 1) > 1 THEN (10 * (p_size % 3 + 1) + 1) * 10 * (p_size % 2 + 1) ELSE 0 END AS BIGINT) AS placeholders FROM part""")
+def q69_tile_geometry(spark: SparkSession, folder: str) -> DataFrame:
+    size = F.col("p_size")
+    edge = pixels.fit_edge(size, size + F.col("p_partkey") % 50 + 1, 640)
+    count = pixels.placeholders(F.lit(1024), F.lit(640), size % 3 + 1, size % 2 + 1)
+    return table(spark, folder, "part").select("p_partkey", edge.alias("edge"), pixels.centre_offset(640, edge).alias("inset"), count.cast("long").alias("placeholders"))

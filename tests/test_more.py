@@ -153,3 +153,90 @@ def test_inference_seam(spark):
     with pytest.raises(KeyError):
         infer.recognise(pages, "none")
     assert [r.name for r in infer.models(spark).collect()] == ["stub"]
+
+
+def draw(lines, h=80, w=60, slope=0.0):
+    """A page as rows (image, y, x, v): dark lines on white."""
+    out = np.full((h, w), 255)
+    for y in lines:
+        for x in range(2, w - 2):
+            ny = y + round(slope * x)
+            if 0 <= ny < h:
+                out[ny, x] = 10
+    return out
+
+
+def pixel_frame(spark, images):
+    rows = [(i, y, x, int(v[y, x])) for i, v in images.items() for y in range(v.shape[0]) for x in range(v.shape[1])]
+    sizes = [(i, v.shape[1], v.shape[0]) for i, v in images.items()]
+    return spark.createDataFrame(rows, "image int, y int, x int, v int"), spark.createDataFrame(sizes, "image int, width int, height int")
+
+
+def test_staves(spark):
+    from quire.operators import imaging
+
+    lines = [10, 14, 18, 22, 26, 50, 54, 58, 62, 66]
+    pixels, sizes = pixel_frame(spark, {1: draw(lines), 2: draw([10, 14, 18, 22, 26], slope=np.tan(np.radians(2.0))), 3: draw([5, 30, 34])})
+    found = {}
+    for r in imaging.staff_lines(pixels, sizes).collect():
+        found.setdefault(r.image, []).append((r.staff, r.angle, r.lines))
+    assert sorted(found[1]) == [(0, 0.0, lines[:5]), (1, 0.0, lines[5:])]
+    assert [(s, len(five)) for s, _, five in found[2]] == [(0, 5)] and abs(found[2][0][1] - 2.0) <= 0.5
+    assert 3 not in found
+    assert {r.threshold for r in imaging.otsu(pixels).collect()} == {10}
+
+
+def test_gutters(spark):
+    from quire.operators import imaging
+
+    spread = np.full((10, 30), 100)
+    spread[:, 16] = 250
+    spread[:, 12] = 250
+    plain = np.tile(np.array([100, 250])[:, None], (5, 30))
+    pixels, sizes = pixel_frame(spark, {1: spread, 2: plain[:, :12], 3: np.full((10, 30), 250)})
+    got = {r.image: r.gutter for r in imaging.gutters(pixels, sizes).collect()}
+    assert got[1] == 15 or got[1] == 16
+    assert got[3] == 15
+
+
+def test_envelope(spark):
+    from quire.operators import envelope
+
+    rows = [("a", r, p, t, float(t) + 0.25 * r) for r, ts in enumerate(([1, 2, 3, 9], [1, 2, 4])) for p, t in enumerate(ts)] + [("b", 0, 0, 1, 0.0), ("b", 1, 0, 1, 0.0)]
+    got = {r.doc: r for r in envelope.envelope(spark.createDataFrame(rows, "doc string, run int, pos int, token int, logit double")).collect()}
+    assert (got["a"].compared, got["a"].first_divergence, got["a"].n_divergent) == (3, 2, 1)
+    assert got["a"].spread_in_prefix == 0.25 and got["a"].spread == 1.25 and got["b"].first_divergence == 1
+
+
+def test_guarded_decoding(spark):
+    from quire.operators import envelope
+
+    def plain(rows, threshold, cadence, rate, null, alpha):
+        since, wealth, tripped, out = 0, 1.0, False, []
+        for margin, full, draft in rows:
+            verify = tripped or not np.isfinite(margin) or margin < threshold or since + 1 >= cadence
+            if verify:
+                since = 0
+                if not tripped:
+                    wealth *= 1 + rate * ((draft != full) - null)
+                    tripped = wealth >= 1 / alpha
+            else:
+                since += 1
+            out.append((verify, wealth))
+        return out, tripped
+
+    rng = np.random.default_rng(1)
+    rows = [(float(m) if m < 1.9 else float("inf"), int(f), int(d)) for m, f, d in zip(rng.random(60) * 2, rng.integers(0, 3, 60), rng.integers(0, 3, 60), strict=True)]
+    frame = spark.createDataFrame([("g", i, *r) for i, r in enumerate(rows)], "g string, i int, margin double, full int, draft int")
+    got = envelope.guarded(frame, "g", "i", 1.0, 4, 0.8, 0.2, 0.05).first()
+    steps, tripped = plain(rows, 1.0, 4, 0.8, 0.2, 0.05)
+    assert [s.verified for s in got.steps] == [v for v, _ in steps] and np.allclose([s.wealth for s in got.steps], [w for _, w in steps])
+    assert got.tripped == tripped and got.emitted == [f for _, f, _ in rows]
+    assert envelope.break_even(1.0, 9.0, 4.0) == 0.5
+
+
+def test_pixel_arithmetic(spark):
+    from quire.functions import imaging
+
+    row = spark.range(1).select(imaging.luma(F.lit(255), F.lit(255), F.lit(255)).alias("w"), imaging.cmyk(F.lit(0), F.lit(255), F.lit(0), F.lit(0)).alias("c"), imaging.unpack_bits(F.unhex(F.lit("A1"))).alias("b"), imaging.fit_edge(F.lit(1), F.lit(2), 5).alias("e"), imaging.queries(F.lit(1024)).alias("q")).first()
+    assert row.w == 255 and tuple(row.c) == (255, 0, 255) and row.b == [255, 0, 255, 0, 0, 0, 0, 255] and row.e == 2 and row.q == 16
