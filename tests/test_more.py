@@ -240,3 +240,153 @@ def test_pixel_arithmetic(spark):
 
     row = spark.range(1).select(imaging.luma(F.lit(255), F.lit(255), F.lit(255)).alias("w"), imaging.cmyk(F.lit(0), F.lit(255), F.lit(0), F.lit(0)).alias("c"), imaging.unpack_bits(F.unhex(F.lit("A1"))).alias("b"), imaging.fit_edge(F.lit(1), F.lit(2), 5).alias("e"), imaging.queries(F.lit(1024)).alias("q")).first()
     assert row.w == 255 and tuple(row.c) == (255, 0, 255) and row.b == [255, 0, 255, 0, 0, 0, 0, 255] and row.e == 2 and row.q == 16
+
+
+def pdf_bytes():
+    import zlib
+
+    gray, rgb = bytes(range(6)), bytes([255, 0, 0, 0, 255, 0])
+    flat = zlib.compress(gray)
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>",
+        b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /Rotate 90 /MediaBox [0 0 200 100] >>",
+        b"<< /Type /Page /Parent 2 0 R /Resources << /XObject << /A 5 0 R /B 6 0 R /C 7 0 R /D 8 0 R >> >> >>",
+        b"<< /Type /Page /Parent 2 0 R /Rotate 450 >>",
+        b"<< /Subtype /Image /Width 3 /Height 2 /BitsPerComponent 8 /ColorSpace /DeviceGray /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(flat), flat),
+        b"<< /Subtype /Image /Width 2 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceRGB /Length 6 >>\nstream\n" + rgb + b"\nendstream",
+        b"<< /Subtype /Image /Width 9 /Height 1 /BitsPerComponent 1 /ColorSpace /DeviceGray /Length 2 >>\nstream\n\xa0\x80\nendstream",
+        b"<< /Subtype /Image /Width 1 /Height 1 /Filter /DCTDecode /ColorSpace /DeviceRGB /Length 2 >>\nstream\nxx\nendstream",
+    ]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(objects)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf(spark, tmp_path):
+    import zlib
+
+    from quire.sources import pdf
+
+    (tmp_path / "a.pdf").write_bytes(pdf_bytes())
+    (tmp_path / "b.pdf").write_bytes(b"no pdf")
+    got = sorted(pdf.pages(spark, f"file://{tmp_path}/*.pdf").collect(), key=lambda r: (r.path, r.page, r.image_no or 0))
+    assert [(r.page, r.rotate, r.image_no, r.mode) for r in got] == [(0, 90, 0, "L"), (0, 90, 1, "RGB"), (0, 90, 2, "L"), (0, 90, 3, None), (1, 90, None, None), (None, None, None, None)]
+    assert bytes(got[0].pixels) == bytes(range(6)) and bytes(got[1].pixels) == bytes([255, 0, 0, 0, 255, 0])
+    assert list(got[2].pixels) == [255, 0, 255, 0, 0, 0, 0, 0, 255] and "DCTDecode" in got[3].error and "header" in got[5].error
+    assert (got[0].width, got[0].height) == (200.0, 100.0)
+    with pytest.raises(pdf.PdfError, match="beyond"):
+        pdf.inflate(zlib.compress(b"0" * 10000), 100)
+    assert pdf.logical_rotation(90, (0.0, 2.0, -2.0, 0.0)) == 180 and pdf.logical_rotation(0, (-1.0, 0.0, 0.0, -1.0)) == 180
+
+
+def test_outputs(spark, tmp_path):
+    from quire.sources import outputs
+
+    docs = spark.createDataFrame([("a", "x"), ("b", "y\n")], "doc_id string, markdown string")
+    outputs.write_documents(docs, f"file://{tmp_path}/md")
+    assert sorted(p.read_text() for p in (tmp_path / "md").glob("doc_id=*/part-*")) == ["x\n", "y\n"]
+    outputs.write_documents(docs, f"file://{tmp_path}/out.JSON")
+    assert sorted(json.loads(r.value)["doc_id"] for r in spark.read.text(f"file://{tmp_path}/out.JSON").collect()) == ["a", "b"]
+    line = json.loads(outputs.lines(docs.limit(1), outputs.page_decoded(F.lit(3), F.lit("é"))).first().value)
+    assert line == {"schema_version": 1, "event": "page", "page": 3, "status": "decoded", "chars": 1, "text": "é"}
+    assert "text" not in json.loads(outputs.lines(docs.limit(1), outputs.page_decoded(F.lit(3), F.lit(None).cast("string"))).first().value)
+    figures = F.array(F.struct(F.lit("<f0>").alias("token"), outputs.figure_name(F.lit(1), F.lit(2)).alias("name"), F.lit("png").alias("format")))
+    assert spark.range(1).select(outputs.link_figures(F.lit("a<f0>b"), figures).alias("x")).first().x == "a![](page1_figure_2.png)b"
+
+
+def test_vocabularies(spark, tmp_path):
+    from quire.sources import vocabularies
+
+    (tmp_path / "t.json").write_text(json.dumps({"model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}}))
+    (tmp_path / "p.json").write_text(json.dumps({"model": {"vocab": {"a": 0}, "merges": [["a", "b"], ["ab", "c"]]}}))
+    (tmp_path / "r.tiktoken").write_text("YQ== 0\nYWI= 1\n")
+    (tmp_path / "m.txt").write_text("#version: 0.2\na b\nab c\n")
+    vocab, merges = vocabularies.tokenizer_json(spark, f"file://{tmp_path}/t.json")
+    assert sorted(map(tuple, vocab.collect())) == [(0, "a"), (1, "b"), (2, "ab")] and [tuple(r) for r in merges.collect()] == [("a", "b", 0)]
+    assert [tuple(r) for r in vocabularies.tokenizer_json(spark, f"file://{tmp_path}/p.json")[1].orderBy("rank").collect()] == [("a", "b", 0), ("ab", "c", 1)]
+    assert [(r.id, bytes(r.bytes)) for r in vocabularies.ranks(spark, f"file://{tmp_path}/r.tiktoken").orderBy("id").collect()] == [(0, b"a"), (1, b"ab")]
+    assert [tuple(r) for r in vocabularies.merge_file(spark, f"file://{tmp_path}/m.txt").orderBy("rank").collect()] == [("a", "b", 0), ("ab", "c", 1)]
+
+
+def test_ring():
+    from quire.streaming.ring import Checkpoint, Ring, RingError
+
+    r = Ring(4)
+    r.append("p")
+    r.freeze()
+    for i in range(3):
+        r.append(i)
+    c = r.checkpoint()
+    r.append(3)
+    r.rollback(c)
+    assert r.held() == ["p", 0, 1, 2]
+    ahead = Checkpoint(id(r), 1, 9, 0)
+    for bad in (ahead, Checkpoint(0, 1, 1, 0), Checkpoint(id(r), 2, 1, 0)):
+        with pytest.raises(RingError):
+            r.rollback(bad)
+    for i in range(5):
+        r.append(i)
+    with pytest.raises(RingError, match="overwritten"):
+        r.rollback(c)
+    assert r.held() == ["p", 1, 2, 3, 4]
+
+
+def test_ring_stream(spark, tmp_path):
+    from quire.streaming import ring
+
+    schema = "key string, seq long, value double"
+    for part in ([("a", i, float(i)) for i in range(5)], [("a", i, float(i)) for i in range(3, 9)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    query = ring.ring_stream(stream, 4).writeStream.format("memory").queryName("rings").outputMode("update").option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.exception() is None
+    last = max(spark.table("rings").collect(), key=lambda r: r.seq)
+    assert (last.seq, last.held, last.total) == (8, 4, 26.0)
+    assert [r.id for r in ring.ordered(spark.range(5).repartition(3), "id", lambda: False)] == [0, 1, 2, 3, 4]
+
+
+def test_routing(spark):
+    from quire.operators import routing
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((30, 6))
+    tokens = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
+    routed = routing.routes(tokens, "i", F.col("v"), 2)
+    got = {r.i: r.v for r in routing.dispatch(tokens, "i", "v", routed, lambda e, m: m * (e + 1), parts=3).collect()}
+    for i, v in enumerate(x):
+        p = np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+        best = np.argsort(-p, kind="stable")[:2]
+        w = p[best] / p[best].sum()
+        assert np.allclose(got[i], sum(wk * v * (e + 1) for wk, e in zip(w, best, strict=True)))
+    runs = routing.schedule(spark.createDataFrame([(0, 5), (1, 2), (2, 2), (3, 1)], "o int, n int"), "o", "n", 2)
+    assert [(r.o, r.slot, r.begin, r.end) for r in runs.orderBy("o").collect()] == [(0, 0, 0, 5), (1, 1, 0, 2), (2, 1, 2, 4), (3, 1, 4, 5)]
+    c = routing.counters(runs).first()
+    assert (c.steps, c.served, c.max_active) == (5, 4, 2)
+
+
+def test_kernels(spark):
+    from quire.functions import kernels
+
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (8, 6, 3), dtype=np.uint8)
+    for name in kernels.FILTERS:
+        same = kernels.resample(image, 8, 6, name)
+        assert (same == image).all()
+        flat = kernels.resample(np.full((8, 6, 1), 77, np.uint8), 5, 11, name)
+        assert (flat == 77).all()
+    frame = spark.createDataFrame([(1, 8, 6, 3, image.tobytes())], "i int, height int, width int, channels int, pixels binary")
+    small = kernels.resize(frame, 4, 4).first()
+    assert np.array_equal(np.frombuffer(small.pixels, np.uint8).reshape(4, 4, 3), kernels.resample(image, 4, 4, "bicubic"))
+    parts = kernels.tiles(kernels.resize(frame, 4, 4), 2).orderBy("tile_no").collect()
+    assert [p.tile_no for p in parts] == [0, 1, 2, 3] and bytes(parts[1].pixels) == kernels.resample(image, 4, 4, "bicubic")[:2, 2:].tobytes()
+    x, w = rng.standard_normal((2, 5, 5)), rng.standard_normal((3, 2, 3, 3))
+    y = kernels.conv2d(x, w, 2, 1)
+    padded = np.pad(x, ((0, 0), (1, 1), (1, 1)))
+    assert y.shape == (3, 3, 3) and abs(y[1, 2, 1] - (padded[:, 4:7, 2:5] * w[1]).sum()) < 1e-9
+    assert kernels.max_pool(x, 2, 2).shape == (2, 2, 2)
+    p = kernels.Pcg32(42)
+    assert [p.next() for _ in range(3)] == [0xA15C02B7, 0x7B47F409, 0xBA1D3330]
+    sampler = kernels.top_k_sampler(0.5)
+    logits = spark.createDataFrame([([0.0, 9.0, 1.0, 2.0],)] * 3, "v array<double>")
+    assert {r[0] for r in logits.select(sampler("v")).collect()} <= {1, 3}
+    assert spark.range(1).select(kernels.exact_sum(F.array(F.lit(1.0), F.lit(1e100), F.lit(1.0), F.lit(-1e100))).alias("s")).first().s == 2.0
