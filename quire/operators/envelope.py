@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +71,42 @@ def guarded(rows: DataFrame, group: str, order: str, threshold: float, cadence:
 
     done = packed.select(group, "s", F.aggregate("s", start, step).alias("r"))
     return done.select(group, F.col("r.steps").alias("steps"), F.transform("s", lambda x: x["full"]).alias("emitted"), F.col("r.tripped").alias("tripped"))
+
+
+def refine(points: DataFrame, group: str, n: str, c: str, alpha: str, beta: str, rounds: int = 12, halvings: int = 8) -> DataFrame:
+    """group, alpha, beta, r2, rmse: damped Gauss-Newton on C(n) from a starting fit in the rows; a step that doesn't lower the
+    squared error is halved up to ``halvings`` times, then the search ends. A group is one sweep, a handful of rows."""
+    kind = dict(points.dtypes)[group]
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame[n].to_numpy(float), frame[c].to_numpy(float)
+        a, b = float(frame[alpha].iloc[0]), float(frame[beta].iloc[0])
+
+        def model(p: float, q: float):
+            under = 1 + p * (x - 1) + q * x * (x - 1)
+            return x / under, under
+
+        def error(p: float, q: float) -> float:
+            fit, under = model(p, q)
+            return float(((y - fit) ** 2).sum()) if (under > 0).all() else float("inf")
+
+        best = error(a, b)
+        for _ in range(rounds):
+            fit, under = model(a, b)
+            ja, jb, res = -x * (x - 1) / under**2, -x * x * (x - 1) / under**2, y - fit
+            aa, ab, bb = float(ja @ ja), float(ja @ jb), float(jb @ jb)
+            det = aa * bb - ab * ab
+            if abs(det) < 1e-18:
+                break
+            da, db = (bb * float(ja @ res) - ab * float(jb @ res)) / det, (aa * float(jb @ res) - ab * float(ja @ res)) / det
+            for k in range(halvings + 1):
+                now = error(a + da / 2**k, b + db / 2**k)
+                if now < best:
+                    a, b, best = a + da / 2**k, b + db / 2**k, now
+                    break
+            else:
+                break
+        total = float(((y - y.mean()) ** 2).sum())
+        return pd.DataFrame({group: [frame[group].iloc[0]], "alpha": [a], "beta": [b], "r2": [1 - best / total if total > 0 else 1.0], "rmse": [(best / len(x)) ** 0.5]})
+
+    return points.groupBy(group).applyInPandas(one, f"{group} {kind}, alpha double, beta double, r2 double, rmse double")

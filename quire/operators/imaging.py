@@ -103,3 +103,40 @@ def staff_lines(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     turned = ink.join(F.broadcast(angle), "image").select("image", (F.col("y") - shift(tangent, F.col("x"))).alias("y"))
     profile = turned.join(F.broadcast(sizes), "image").where((F.col("y") >= 0) & (F.col("y") < F.col("height"))).groupBy("image", "y").agg(F.count("*").alias("n"))
     return staves(bands(profile)).join(F.broadcast(angle), "image").select("image", "angle", "staff", "lines")
+
+
+def barlines(pixels: DataFrame, sizes: DataFrame, lines: DataFrame) -> DataFrame:
+    """image, bars: centres of vertical bars of a staff from (image, l0, l4), its first and last line.
+
+    A column qualifies if ink covers 92 % of the rows between the lines, touches both lines within 2 rows, and leaves 70 % of
+    one line gap above and below free. Runs up to half a gap wide (at least 2) count if the columns beside them are covered
+    under 30 % for half a gap (at least 3), two columns off; a run at the edge needs no such flank there.
+    """
+    staff = lines.join(sizes, "image").where("l4 > l0 AND l4 < height")
+    gap = F.floor((F.col("l4") - F.col("l0")) / 4)
+    staff = staff.withColumns({"gap": gap, "span": F.col("l4") - F.col("l0") - 1})
+    dark = pixels.join(otsu(pixels), "image").join(F.broadcast(staff), "image").where(F.col("v") <= F.col("threshold"))
+    y, l0, l4 = F.col("y"), F.col("l0"), F.col("l4")
+    counts = {
+        "cover": y.between(l0 + 1, l4 - 1),
+        "top": y.between(l0 - 2, l0 + 2),
+        "bottom": y.between(l4 - 2, l4 + 2),
+        "above": (y >= l0 - F.col("gap")) & (y < l0 - 2),
+        "below": (y >= l4 + 3) & (y < l4 + 1 + F.col("gap")),
+    }
+    columns = dark.groupBy("image", "x", "width", "height", "l0", "l4", "gap", "span").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    above = F.greatest(l0 - 2, F.lit(0)) - F.greatest(l0 - F.col("gap"), F.lit(0))
+    below = F.least(l4 + 1 + F.col("gap"), F.col("height")) - F.least(l4 + 3, F.col("height"))
+    free = ~((above > 0) & (F.col("above") * 10 > above * 3)) & ~((below > 0) & (F.col("below") * 10 > below * 3))
+    need = F.floor(F.col("span") * 92 / 100)
+    marked = columns.withColumn("q", (F.col("cover") >= need) & (F.col("top") > 0) & (F.col("bottom") > 0) & free)
+    line = Window.partitionBy("image").orderBy("x")
+    runs = marked.where("q").withColumn("run", F.col("x") - F.row_number().over(line)).groupBy("image", "width", "gap", "span", "run").agg(F.min("x").alias("s"), (F.max("x") + 1).alias("e"))
+    runs = runs.where(F.col("e") - F.col("s") <= F.greatest(F.floor(F.col("gap") / 2), F.lit(2)))
+    # only covered columns can spoil a flank; they are few, and a flank is a few columns wide
+    busy = marked.where(F.col("cover") * 10 >= F.col("span") * 3).select(F.col("image").alias("i"), F.col("x").alias("bx"))
+    reach = F.greatest(F.floor(F.col("gap") / 2), F.lit(3))
+    left = (F.col("s") >= 3) & F.col("bx").between(F.greatest(F.col("s") - 2 - reach, F.lit(0)), F.col("s") - 3)
+    right = (F.col("e") + 3 < F.col("width")) & F.col("bx").between(F.col("e") + 2, F.col("e") + 1 + reach)
+    clear = runs.join(busy, (F.col("image") == F.col("i")) & (left | right), "left_anti")
+    return clear.groupBy("image").agg(F.array_sort(F.collect_list(F.floor((F.col("s") + F.col("e") - 1) / 2).cast("long"))).alias("bars"))

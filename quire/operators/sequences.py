@@ -67,3 +67,36 @@ def lower_hull(points: Column) -> Column:
         return F.concat(cleaned, F.array(p))
 
     return F.aggregate(points, F.slice(points, 1, 0), step)
+
+
+def farthest_cuts(bars: Column, width: Column, budget: int, least: Column) -> Column:
+    """Positions 0, cuts, width so that no piece is wider than ``budget``: each cut is the farthest bar within it that lies more
+    than ``least`` behind the last. Null where a piece has no such bar."""
+    start = F.struct(F.array(F.lit(0).cast("long")).alias("cuts"), F.lit(True).alias("open"))
+    most = F.ceil(width / F.greatest(least, F.lit(1))).cast("int") + 1
+
+    def step(s: Column, _: Column) -> Column:
+        at = F.element_at(s["cuts"], -1)
+        best = F.array_max(F.filter(bars, lambda b: (b > at + least) & (b <= at + budget)))
+        more = s["open"] & (width - at > budget)
+        cut = F.struct(F.concat(s["cuts"], F.array(best.cast("long"))).alias("cuts"), F.lit(True).alias("open"))
+        stuck = F.struct(s["cuts"].alias("cuts"), F.lit(False).alias("open"))
+        return F.when(~more, s).when(best.isNull(), stuck).otherwise(cut)
+
+    done = F.aggregate(F.sequence(F.lit(1), most), start, step)
+    return F.when(done["open"] & (width - F.element_at(done["cuts"], -1) <= budget), F.concat(done["cuts"], F.array(width.cast("long"))))
+
+
+def attend(query: Column, keys: Column, values: Column) -> Column:
+    """One query over keys and values (arrays of arrays) by online softmax: a fold with running maximum, denominator and sum."""
+    start = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("d"), F.transform(F.get(values, 0), lambda _: F.lit(0.0)).alias("o"))
+    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
+
+    def step(s: Column, p: Column) -> Column:
+        score = F.aggregate(F.zip_with(query, p["k"], lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) / F.sqrt(F.size(query))
+        m = F.greatest(s["m"], score)
+        old, new = F.exp(s["m"] - m), F.exp(score - m)
+        return F.struct(m.alias("m"), (s["d"] * old + new).alias("d"), F.zip_with(s["o"], p["v"], lambda o, v: o * old + v * new).alias("o"))
+
+    done = F.aggregate(pairs, start, step)
+    return F.transform(done["o"], lambda o: o / done["d"])

@@ -390,3 +390,83 @@ def test_kernels(spark):
     logits = spark.createDataFrame([([0.0, 9.0, 1.0, 2.0],)] * 3, "v array<double>")
     assert {r[0] for r in logits.select(sampler("v")).collect()} <= {1, 3}
     assert spark.range(1).select(kernels.exact_sum(F.array(F.lit(1.0), F.lit(1e100), F.lit(1.0), F.lit(-1e100))).alias("s")).first().s == 2.0
+
+
+def test_chart_leaves(spark):
+    from quire.functions import charts
+
+    cases = ['{"values": {"b": "1,2 (3)", "a": 4, "c": {"d": true, "e": "none"}}}', '{"data": {"x": "-5%"}}', '{"values": {"a": [1]}}', "{", None, "[]"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, v string")
+    assert [r.x for r in rows.select("i", charts.leaves("v").alias("x")).orderBy("i").collect()] == [[4.0, 12.0], [-5.0], None, None, None, None]
+
+
+def test_cuts_and_attention(spark):
+    from quire.operators import sequences
+
+    def cuts(bars, width, budget, least):
+        out, at = [0], 0
+        while width - at > budget:
+            fit = [b for b in bars if at + least < b <= at + budget]
+            if not fit:
+                return None
+            at = max(fit)
+            out.append(at)
+        return [*out, width]
+
+    for bars, width, budget, least in (([30, 55, 90, 120], 150, 60, 10), ([30], 150, 60, 10), ([], 50, 60, 10), ([5, 61], 100, 60, 10)):
+        row = spark.range(1).select(sequences.farthest_cuts(F.lit(bars) if bars else F.array().cast("array<int>"), F.lit(width), budget, F.lit(least)).alias("x")).first()
+        assert row.x == cuts(bars, width, budget, least)
+    rng = np.random.default_rng(0)
+    q, k, v = rng.standard_normal(4), rng.standard_normal((7, 4)), rng.standard_normal((7, 3))
+    frame = spark.createDataFrame([(q.tolist(), k.tolist(), v.tolist())], "q array<double>, k array<array<double>>, v array<array<double>>")
+    w = np.exp(k @ q / 2)
+    assert np.allclose(frame.select(sequences.attend(F.col("q"), F.col("k"), F.col("v")).alias("o")).first().o, (w / w.sum()) @ v)
+
+
+def test_barlines(spark):
+    from quire.operators import imaging
+
+    page = draw([20, 28, 36, 44, 52], h=80, w=100)
+    page[20:53, 30:32] = 10  # a bar
+    page[5:70, 60] = 10  # a stem that runs on
+    page[20:53, 70:85] = 10  # too wide
+    pixels, sizes = pixel_frame(spark, {1: page})
+    lines = spark.createDataFrame([(1, 20, 52)], "image int, l0 int, l4 int")
+    assert imaging.barlines(pixels, sizes, lines).first().bars == [30]
+
+
+def test_refined_fit(spark):
+    from quire.operators import envelope
+
+    rows = [("g", float(n), n / (1 + 0.08 * (n - 1) + 0.004 * n * (n - 1)), 0.05, 0.002) for n in range(1, 12)]
+    got = envelope.refine(spark.createDataFrame(rows, "g string, n double, c double, a double, b double"), "g", "n", "c", "a", "b").first()
+    assert abs(got.alpha - 0.08) < 1e-6 and abs(got.beta - 0.004) < 1e-6 and got.r2 > 0.999999
+
+
+def test_options():
+    from quire.options import Request, UsageError
+
+    assert Request(("a.PDF",), pages="1", split_spreads=True).check().pages == "1"
+    for bad in ({"inputs": ()}, {"inputs": ("a.png",), "pages": "1"}, {"inputs": ("a.pdf",), "multi_page": True, "figures": True}, {"inputs": ("a.png",), "task": "music"}, {"inputs": ("a.png",), "max_length": 0}, {"inputs": ("a.png",), "temperature": float("nan")}):
+        with pytest.raises(UsageError):
+            Request(**bad).check({"music": {"other"}})
+
+
+def test_templates_and_conversion(spark):
+    from quire.functions import templates, vectors
+    from quire.operators import quantise
+
+    row = spark.range(1).select(
+        templates.with_slots("a", "<i>", F.lit(3), "b").alias("s"),
+        templates.tiled(F.lit(1), F.lit(2), "<i>", 2).alias("t"),
+        templates.detokenise(F.array(F.lit("[BOS]"), F.lit("▁C4"), F.lit(None).cast("string"))).alias("d"),
+        templates.byte_alphabet(F.lit(" é").cast("binary")).alias("b"),
+    ).first()
+    assert row.s == "a<i><i><i>b" and row.t == "<row_1_col_1><i><i><row_1_col_2><i><i>\n\n<global-img><i><i>" and row.d == ["C4", ""] and row.b == "ĠÃ©"
+    w = spark.createDataFrame([("model.layers.0.mlp.up_proj.weight", 0, [1.0, -2.0]), ("model.norm.weight", 0, [1.0, 0.5]), ("lm_head.weight", 0, [3.0, 0.0])], "name string, row long, v array<float>")
+    got = {r.name: r for r in quantise.convert(w, {"gated_lm_head": " On "}).collect()}
+    assert [got[k].policy for k in sorted(got)] == ["int8", "int8", "keep"]
+    assert got["model.layers.0.mlp.up_proj.weight"].q == [64, -127] and got["model.norm.weight"].q is None
+    x, v = [1.0, 2.0, 3.0, 4.0], [7.0, -3.5, 14.0, 2.0]
+    frame = spark.createDataFrame([(x, v)], "x array<double>, v array<double>").select("x", vectors.int4_groups(F.col("v"), 2).alias("g"))
+    assert frame.select(quantise.int4_dot(F.col("x"), F.col("g.packed"), F.col("g.scales"), 2).alias("y")).first().y == 7 + 2 * -4 + 2 * (3 * 7 + 4 * 1)
