@@ -103,7 +103,7 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     def pack(found: pa.Table) -> pa.Table:
         lists = found.column("x").combine_chunks()
-        flat = lists.values.to_numpy(zero_copy_only=False).astype("<i4")
+        flat = lists.values.to_numpy(zero_copy_only=False).astype("<i8")
         ids = found.column("id").combine_chunks().to_numpy().astype("<i8")
         return pa.table({"shard": pa.array([found.column("shard")[0].as_py()], pa.int32()), "dims": pa.array([found.column("dims")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "xs": pa.array([flat.tobytes()], pa.binary())})
 
@@ -115,8 +115,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     ``is_query`` is a condition over the column id. Ties go to the smaller vec_id; a query with fewer than k
     others gets all. A query's own row is no candidate for it (rows that repeat an id aren't either for that id).
-    Vectors of different length aren't compared. Unsound vectors (see quantised) take no part. Values must fit 32 bits
-    after scaling. An empty table gives no rows.
+    Vectors of different length aren't compared. Unsound vectors (see quantised) take no part. Scores must fit 64 bits.
+    An empty table gives no rows.
     """
     spark = vectors.sparkSession
     shards = common.materialize(index(quantised(vectors, id_col, vector_col, scale), shard_rows), "topk-index")
@@ -148,7 +148,7 @@ def _block(shards: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> D
                 ids, dims = np.frombuffer(row["ids"], "<i8"), row["dims"]
                 if dims not in asked:
                     continue
-                shard = ShardIndex(ids, np.frombuffer(row["xs"], "<i4").reshape(-1, dims).astype(np.int64))
+                shard = ShardIndex(ids, np.frombuffer(row["xs"], "<i8").reshape(-1, dims))
                 qids, xs = (a[row["part"] :: split] for a in asked[dims])
                 out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
                 for qid, x in zip(qids, xs, strict=True):

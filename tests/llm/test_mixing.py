@@ -110,3 +110,9 @@ def test_pipeline_stages(spark, data):
             assert sum(r.length for r in rows) == sum({(r.doc_id, r.sequence_id, r.offset): r.length for r in rows}.values())
     assert packing.PIECES.fieldNames() == corpus_pipeline.run(spark, data).columns
     assert langid.UNDETERMINED == "und"
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, "abc", None), (2, "12", None), (3, None, None), (4, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [1, 4]

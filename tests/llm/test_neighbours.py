@@ -122,6 +122,9 @@ def test_top_k_edges(spark):
     sound = [(i, v) for i, v in rows if i in (0, 4, 6, 100)]
     assert sorted(map(tuple, got.collect())) == brute_top(sound, 10, 100)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 100 == 0).count() == 0
+    large = [(0, [3e6, -1.0]), (1, [2e6, 5.0]), (2, [-1e6, 1e3])]
+    got = topk.top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("id") % 100 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_top(large, 10, 100)
 
 
 @settings(max_examples=40, deadline=None)
