@@ -11,8 +11,13 @@ from quire.llm import common, langid, mixing, packing, secrets, simhash, tokens
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or not a letter in the text) go; a missing lang is filled with the prediction."""
+    """Documents without a language (null, or not a letter in the text) go; a missing lang is filled with the prediction.
+
+    Where no document is labelled there is nothing to predict: those with a letter stay as they are.
+    """
     model = langid.train(docs, ~langid.held_out())
+    if not model.langs:
+        return docs.where(F.col("text").rlike("\\p{L}"))
     scored = langid.predict(docs.drop("lang_pred", "score"), model).where(F.col("lang_pred") != langid.UNDETERMINED)
     return scored.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
