@@ -10,7 +10,7 @@ from quire.plans.base import query, table
 from quire.sources import ledger
 
 _RUN = """SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS run_id, epoch_us(ts) // 1000 AS started_at,
-  CASE WHEN event_type = 'error' THEN NULL ELSE epoch_us(ts) // 1000 + CAST(floor(value) AS BIGINT) END AS finished_at,
+  CAST(CASE WHEN event_type = 'error' THEN NULL ELSE epoch_us(ts) // 1000 + CAST(floor(value) AS BIGINT) END AS DOUBLE) AS finished_at,
   'user/' || user_id AS input_path, event_type AS mode,
   CASE WHEN contains(props, '1') THEN 'int8' WHEN contains(props, '2') THEN 'int4' ELSE 'none' END AS quant, 'v1' AS model_version_tag,
   CAST(CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'signup' THEN 6 ELSE 0 END AS BIGINT) AS exit_code,
@@ -36,19 +36,24 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def plain(records: DataFrame) -> DataFrame:
+    """The one nullable whole number as a double, which both engines hand over alike when some are null."""
+    return records.withColumn("finished_at", F.col("finished_at").cast("double"))
+
+
 @query(f"SELECT * FROM ({_RUN}) ORDER BY started_at DESC, run_id DESC LIMIT 20")
 def q01_runs_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger.top_runs(runs(spark, folder), 20)
+    return plain(ledger.top_runs(runs(spark, folder), 20))
 
 
 @query(f"SELECT * FROM ({_RUN}) WHERE run_id = '000000000042'")
 def q02_run_by_id(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql("SELECT * FROM {runs} WHERE run_id = :id", args={"id": "000000000042"}, runs=runs(spark, folder))
+    return plain(spark.sql("SELECT * FROM {runs} WHERE run_id = :id", args={"id": "000000000042"}, runs=runs(spark, folder)))
 
 
 @query(_RUN)
 def q03_runs_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger.canonical(runs(spark, folder))
+    return plain(ledger.canonical(runs(spark, folder)))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
