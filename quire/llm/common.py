@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-import itertools
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from quire.storage import materialize, shared_dir, shared_path
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORKER_ENV", "materialize", "parts", "prepare", "shared_dir", "shared_path", "slices"]
 
 #: Rows and bytes of an Arrow batch handed to a Python worker; bounds the worker's memory.
 BATCH_ROWS = 4000
 BATCH_BYTES = 8 << 20
 
+#: Workers give large buffers back as soon as they are freed, which halves what they hold between batches.
+WORKER_ENV = {
+    "TOKENIZERS_PARALLELISM": "false",
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": "1048576",
+    "MALLOC_TRIM_THRESHOLD_": "1048576",
+}
+
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package and keep their Arrow batches small.
@@ -29,36 +39,12 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    env.setdefault("TOKENIZERS_PARALLELISM", "false")
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a local temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage, so a lost executor costs only the tasks that were running on it, and lets later
-    readers prune columns, which an RDD checkpoint does not.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,7 +61,3 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20)
             held += n
         if begin < len(sizes):
             yield batch.slice(begin)
-
-
-def take(it: Iterator, n: int) -> list:
-    return list(itertools.islice(it, n))
