@@ -51,7 +51,8 @@ def encoder(ranks: dict[tuple[str, str], int], vocab: dict[str, int], whole_firs
 
 
 def decode(ids: DataFrame, vocab: DataFrame, group: str, position: str, token: str) -> DataFrame:
-    """group, text from one row per id, by a join with (id, token). Unknown ids are an error."""
-    found = ids.join(F.broadcast(vocab), "id", "left").withColumn(token, F.when(F.col(token).isNull(), F.raise_error(F.concat(F.lit("no token "), F.col("id").cast("string")))).otherwise(F.col(token)))
+    """group, text from one row per id, by a join with (id, token). Unknown ids are an error. Adaptive execution broadcasts a
+    vocabulary that is small enough."""
+    found = ids.join(vocab, "id", "left").withColumn(token, F.when(F.col(token).isNull(), F.raise_error(F.concat(F.lit("no token "), F.col("id").cast("string")))).otherwise(F.col(token)))
     line = F.array_sort(F.collect_list(F.struct(position, token)))
     return found.groupBy(group).agg(F.array_join(F.transform(line, lambda x: x[token]), "").alias("text"))

@@ -196,13 +196,13 @@ def q51_u8_quant(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("vec_id", F.round("r.scale", 9).alias("scale"), F.col("r.zero").alias("zero"), F.array_join(F.transform("r.q", lambda x: x.cast("string")), ",").alias("q"))
 
 
-@query(f"""WITH q AS (SELECT vec_id, {_Q8} AS q FROM ({_INT8})), p AS (SELECT vec_id AS probe, q AS w FROM q WHERE vec_id < 8)
+@query(f"""WITH q AS (SELECT vec_id, label, {_Q8} AS q FROM (SELECT i.*, e.label FROM ({_INT8}) i JOIN embeddings e USING (vec_id))), p AS (SELECT label AS probe, arg_min(q, vec_id) AS w FROM q GROUP BY label)
 SELECT vec_id, probe, CAST(list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i] * w[i])) AS BIGINT) AS product FROM q, p""")
 def q52_int8_gemm(spark: SparkSession, folder: str) -> DataFrame:
-    """All quantised rows times eight probe rows: the probes are a bounded block, sent to every executor."""
-    q = table(spark, folder, "embeddings").select("vec_id", vectors.int8_rows(F.col("embedding"))["q"].alias("q"))
-    probes = q.where("vec_id < 8").select(F.col("vec_id").alias("probe"), F.col("q").alias("w"))
-    return q.join(F.broadcast(probes)).select("vec_id", "probe", vectors.int_dot(F.col("q"), F.col("w")).alias("product"))
+    """All quantised rows times a matrix of one row per label, its first; a label's row is what a head would hold."""
+    q = table(spark, folder, "embeddings").select("vec_id", "label", vectors.int8_rows(F.col("embedding"))["q"].alias("q"))
+    head = q.groupBy(F.col("label").alias("probe")).agg(F.min_by("q", "vec_id").alias("w"))
+    return q.join(head).select("vec_id", "probe", vectors.int_dot(F.col("q"), F.col("w")).alias("product"))
 
 
 @query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, unnest(range(0, len(e))) AS idx, unnest(list_transform(e, lambda x: x / list_sum(e))) AS w FROM s),
@@ -235,10 +235,13 @@ def q55_space_to_depth(spark: SparkSession, folder: str) -> DataFrame:
     return b.select("vec_id", "block", F.round(digest, 6).alias("digest"))
 
 
-@query("""WITH b AS (SELECT label, count(DISTINCT floor(embedding[1] * 64)) AS keys, count(*) AS n FROM embeddings GROUP BY label) SELECT label, keys, n, CASE WHEN keys <= 64 OR keys::DOUBLE / n < 0.1::DOUBLE THEN 'png' ELSE 'jpeg' END AS format FROM b""")
+@query("""WITH u AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings), b AS (SELECT vec_id, count(DISTINCT floor(x * 64)) AS keys, count(*) AS n FROM u GROUP BY vec_id)
+SELECT vec_id, keys, n, CASE WHEN keys <= 24 OR keys::DOUBLE / n < 0.1::DOUBLE THEN 'png' ELSE 'jpeg' END AS format FROM b""")
 def q63_figure_format(spark: SparkSession, folder: str) -> DataFrame:
-    b = table(spark, folder, "embeddings").groupBy("label").agg(F.count_distinct(F.floor(F.get("embedding", 0) * 64)).alias("keys"), F.count("*").alias("n"))
-    return b.withColumn("format", F.when((F.col("keys") <= 64) | (F.col("keys") / F.col("n") < 0.1), "png").otherwise("jpeg"))
+    """Few distinct colour keys make a PNG; embeddings stand for figures."""
+    u = table(spark, folder, "embeddings").select("vec_id", F.explode("embedding").alias("x"))
+    b = u.groupBy("vec_id").agg(F.count_distinct(F.floor(F.col("x") * 64)).alias("keys"), F.count("*").alias("n"))
+    return b.withColumn("format", F.when((F.col("keys") <= 24) | (F.col("keys") / F.col("n") < 0.1), "png").otherwise("jpeg"))
 
 
 @query("""WITH h AS (SELECT user_id, event_id, ts, event_type IN ('error', 'signup') AS hit FROM events), i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM h),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import gates, selection
@@ -82,18 +82,19 @@ def q07_logical_pages(spark: SparkSession, folder: str) -> DataFrame:
     return selection.logical_pages(table(spark, folder, "pages").select("page_id", (F.col("page_id") % 3 == 0).alias("spread")), "spread").select("page_id", "half")
 
 
-_QUALITY = """SELECT lang || '-' || CAST(n_chars % 7 AS VARCHAR) AS category, avg(quality::DOUBLE) AS bound FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = {0} AND NOT (n_chars % 7 = {1}) GROUP BY 1"""
+_QUALITY = """SELECT lang || '-' || CAST(n_chars // 200 AS VARCHAR) AS category, avg(quality::DOUBLE) AS bound FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = {0} GROUP BY 1"""
 
 
-@query(f"""WITH b AS ({_QUALITY.format(0, 0)}), c AS ({_QUALITY.format(1, 3)}),
+@query(f"""WITH b AS ({_QUALITY.format(0)}), c AS ({_QUALITY.format(1)}),
 j AS (SELECT coalesce(b.category, c.category) AS category, b.bound AS floor, c.bound AS bound FROM b FULL JOIN c ON b.category = c.category),
 v AS (SELECT *, CASE WHEN bound IS NULL THEN 'DROPPED' WHEN floor IS NULL THEN 'NEW' WHEN bound < floor(floor * 1e6::DOUBLE) / 1e6::DOUBLE THEN 'LOWERED' WHEN bound > floor(floor * 1e6::DOUBLE) / 1e6::DOUBLE THEN 'RAISED' ELSE 'HELD' END AS verdict FROM j)
 SELECT category, round(floor, 6) AS floor, round(bound, 6) AS bound, verdict, verdict IN ('DROPPED', 'LOWERED') AS rejected, verdict IN ('NEW', 'RAISED') AS raised FROM v""")
 def q08_ratchet_full_outer(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean quality by language and length: even documents are the baseline, odd ones the candidate."""
     d = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
-    d = d.select("doc_id", F.col("n_chars") % 7 == 0, F.concat_ws("-", "lang", (F.col("n_chars") % 7).cast("string")).alias("category"), "quality", (F.col("n_chars") % 7).alias("r"))
-    side = lambda k, skip: d.where((F.col("doc_id") % 2 == k) & (F.col("r") != skip)).groupBy("category").agg(F.avg(F.col("quality").cast("double")).alias("bound"))
-    return gates.ratchet(side(0, 0), side(1, 3)).withColumns({"floor": F.round("floor", 6), "bound": F.round("bound", 6)})
+    d = d.select("doc_id", F.concat_ws("-", "lang", F.floor(F.col("n_chars") / 200).cast("string")).alias("category"), "quality")
+    side = lambda k: d.where(F.col("doc_id") % 2 == k).groupBy("category").agg(F.avg(F.col("quality").cast("double")).alias("bound"))
+    return gates.ratchet(side(0), side(1)).withColumns({"floor": F.round("floor", 6), "bound": F.round("bound", 6)})
 
 
 _ARM = """SELECT event_type AS stage, min(value) AS best, stddev_samp(value) / avg(value) * 100 AS cv_pct, CASE WHEN count(*) % 3 = 0 THEN 'x' ELSE 'y' END AS posture FROM events WHERE {0} GROUP BY event_type"""
@@ -153,12 +154,14 @@ def q15_nearest_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return p.withColumn("b", best).select("p_partkey", F.col("b.i").alias("i"), F.col("b.j").alias("j"))
 
 
-@query("""WITH w AS (SELECT doc_id, lower(string_split(text, ' ')[1]) AS token FROM documents), v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY token)
-SELECT doc_id, token, id FROM w JOIN v USING (token)""")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS token FROM documents), v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM w GROUP BY token)
+SELECT doc_id, count(*) AS tokens, CAST(sum(id) AS BIGINT) AS id_sum, max(id) AS rarest FROM w JOIN v USING (token) GROUP BY doc_id""")
 def q16_gather_join(spark: SparkSession, folder: str) -> DataFrame:
-    w = table(spark, folder, "documents").select("doc_id", F.lower(F.get(F.split("text", " "), 0)).alias("token"))
-    v = w.groupBy("token").agg(F.count("*").alias("n")).withColumn("id", F.row_number().over(Window.orderBy(F.col("n").desc(), "token")).cast("long") - 1).drop("n")
-    return selection.gather(w, v, "token", "id")
+    """Every token's place in the corpus vocabulary; the places come from a range sort, not from one task."""
+    w = table(spark, folder, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("token"))
+    counts = w.groupBy("token").agg((-F.count("*")).alias("rarity"))
+    v = gates.ordinal(counts, ["rarity", "token"], "id")
+    return selection.gather(w, v, "token", "id").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("id").alias("id_sum"), F.max("id").alias("rarest"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS k FROM lineitem WHERE l_returnflag = 'R'),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import charts, pretok, spans, text, tokens
@@ -11,15 +11,15 @@ from quire.plans.base import query, table
 from quire.streaming import pages as page_stream
 
 
-@query("""WITH d AS (SELECT doc_id, lower(regexp_replace(text, '[^ -~]', '', 'g')) AS t FROM documents), r AS (SELECT doc_id, substr(t, 1, 120) AS ref FROM d), h AS (SELECT doc_id - 1 AS doc_id, substr(t, 1, 120) AS hyp FROM d),
-j AS (SELECT doc_id, length(ref) AS n, CASE WHEN hyp IS NULL THEN length(ref) ELSE levenshtein(ref, hyp) END AS dist, hyp IS NULL AS missing FROM r LEFT JOIN h USING (doc_id))
+@query("""WITH d AS (SELECT item_id, lower(regexp_replace(text, '[^ -~]', '', 'g')) AS t FROM benchmark), r AS (SELECT item_id, t AS ref FROM d), h AS (SELECT item_id - 1 AS item_id, t AS hyp FROM d),
+j AS (SELECT item_id, length(ref) AS n, CASE WHEN hyp IS NULL THEN length(ref) ELSE levenshtein(ref, hyp) END AS dist, hyp IS NULL AS missing FROM r LEFT JOIN h USING (item_id))
 SELECT count(*) AS pages, count(*) FILTER (WHERE missing) AS missing, count(*) FILTER (WHERE dist = 0) AS exact, CAST(sum(dist) AS BIGINT) AS distance, CAST(sum(n) AS BIGINT) AS chars, round(sum(dist)::DOUBLE / greatest(1, sum(n)), 6) AS cer FROM j""")
 def q09_cer_left_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Micro-averaged error of each document's head against its neighbour's; the head is the scored page."""
-    d = table(spark, folder, "documents").select("doc_id", F.lower(text.ascii_only(F.col("text"))).alias("t"))
-    ref = d.select("doc_id", F.substring("t", 1, 120).alias("ref"))
-    hyp = d.select((F.col("doc_id") - 1).alias("doc_id"), F.substring("t", 1, 120).alias("hyp"))
-    j = ref.join(hyp, "doc_id", "left").select(F.length("ref").alias("n"), text.char_errors(F.col("ref"), F.col("hyp")).alias("dist"), F.col("hyp").isNull().alias("missing"))
+    """Micro-averaged error of each benchmark text against the next one as its hypothesis; the last has none."""
+    d = table(spark, folder, "benchmark").select("item_id", F.lower(text.ascii_only(F.col("text"))).alias("t"))
+    ref = d.select("item_id", F.col("t").alias("ref"))
+    hyp = d.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("hyp"))
+    j = ref.join(hyp, "item_id", "left").select(F.length("ref").alias("n"), text.char_errors(F.col("ref"), F.col("hyp")).alias("dist"), F.col("hyp").isNull().alias("missing"))
     return j.agg(F.count("*").alias("pages"), F.count_if("missing").alias("missing"), F.count_if(F.col("dist") == 0).alias("exact"), F.sum("dist").alias("distance"), F.sum("n").alias("chars"), F.round(text.rate(F.sum("dist"), F.sum("n")), 6).alias("cer"))
 
 
@@ -58,16 +58,16 @@ def q21_ngram_ban(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents' heads with spans written around them."""
+    """Documents with spans written behind them."""
     d = table(spark, folder, "documents")
     k = F.col("doc_id") % 1000
-    head = F.regexp_replace(F.substring("text", 1, 40), "[<>\\[\\]|\n]", " ")
+    head = F.regexp_replace("text", "[<>\\[\\]|]", " ")
     pair = F.concat(F.lit("<|ref|>"), F.when(F.col("doc_id") % 3 == 0, "image").otherwise("text"), F.lit("<|/ref|><|det|>[["), k.cast("string"), F.lit(", 5, 900, "), (k % 7).cast("string"), F.lit("00, 7]]<|/det|>"))
     bare = F.concat(F.lit("<|det|>title [1, 2, "), k.cast("string"), F.lit(", 4.9]<|/det|>"))
     return d.select("doc_id", F.concat(head, pair, F.lit(" mid "), bare, F.lit(" end \\coloneqq "), pair).alias("t"))
 
 
-_TAGGED = """SELECT doc_id, regexp_replace(substr(text, 1, 40), '[<>\\[\\]|\\n]', ' ', 'g') AS head, '<|ref|>' || CASE WHEN doc_id % 3 = 0 THEN 'image' ELSE 'text' END || '<|/ref|><|det|>[[' || (doc_id % 1000) || ', 5, 900, ' || ((doc_id % 1000) % 7) || '00, 7]]<|/det|>' AS pair,
+_TAGGED = """SELECT doc_id, regexp_replace(text, '[<>\\[\\]|]', ' ', 'g') AS head, '<|ref|>' || CASE WHEN doc_id % 3 = 0 THEN 'image' ELSE 'text' END || '<|/ref|><|det|>[[' || (doc_id % 1000) || ', 5, 900, ' || ((doc_id % 1000) % 7) || '00, 7]]<|/det|>' AS pair,
 '<|det|>title [1, 2, ' || (doc_id % 1000) || ', 4.9]<|/det|>' AS bare FROM documents"""
 
 
@@ -139,13 +139,13 @@ def q32_bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
     return words.select("word", bpe.encoder(ranks, vocab)("word").alias("ids")).select("word", F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
-@query("SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS decoded FROM (SELECT doc_id, unnest(list_filter(string_split(text, ' ')[1:8], lambda x: x <> '')) AS w, unnest(range(1, len(list_filter(string_split(text, ' ')[1:8], lambda x: x <> '')) + 1)) AS pos FROM documents) GROUP BY doc_id")
+@query("SELECT doc_id, md5(array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' ')) AS digest FROM documents WHERE len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 0")
 def q33_decode_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """The first words as ids of a vocabulary built from them, and back by lookup."""
-    w = table(spark, folder, "documents").select("doc_id", F.posexplode(F.filter(F.slice(F.split("text", " "), 1, 8), lambda x: x != "")).alias("pos", "w"))
-    vocab = w.select("w").distinct().withColumn("id", F.xxhash64("w"))
-    ids = w.withColumn("id", F.xxhash64("w")).drop("w")
-    return bpe.decode(ids, vocab.select("id", F.concat("w", F.lit(" ")).alias("w")), "doc_id", "pos", "w").select("doc_id", F.regexp_replace("text", " $", "").alias("decoded"))
+    """Every word as an id of a vocabulary built from the corpus, and back by lookup."""
+    w = table(spark, folder, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("pos", "w"))
+    vocab = w.select("w").distinct().select(F.xxhash64("w").alias("id"), F.concat("w", F.lit(" ")).alias("w"))
+    ids = w.select("doc_id", "pos", F.xxhash64("w").alias("id"))
+    return bpe.decode(ids, vocab, "doc_id", "pos", "w").select("doc_id", F.md5(F.regexp_replace("text", " $", "").cast("binary")).alias("digest"))
 
 
 @query(f"""WITH w AS ({_TAIL}), h AS (SELECT doc_id, a[1:len(a) // 2] AS h, a[len(a) // 2 + 1:] AS rest FROM w), k AS (SELECT *, len(h) AS n FROM h),
@@ -160,23 +160,23 @@ def q57_draft_ngram(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.size("draft").alias("drafted"), F.array_join("draft", " ").alias("draft"), tokens.accepted(F.col("draft"), F.slice("rest", F.lit(1), F.size("draft"))).alias("accepted"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN props WHEN event_id % 4 = 3 THEN substr(props, 1, 3) || '"}' ELSE substr(props, 1, length(props) - CAST(event_id % 4 AS BIGINT)) || '}' END AS repaired FROM events WHERE event_id % 4 <> 2""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN props WHEN event_id % 4 = 3 THEN substr(props, 1, 3) || '"}' ELSE substr(props, 1, length(props) - CAST(event_id % 4 AS BIGINT)) || '}' END AS repaired FROM events""")
 def q58_json_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Properties whole, cut inside a string, or short of their last characters."""
     k = F.col("event_id") % 4
     cut = F.when(k == 3, F.substring("props", 1, 3)).otherwise(F.expr("substring(props, 1, length(props) - CAST(event_id % 4 AS INT))"))
-    return table(spark, folder, "events").where(k != 2).select("event_id", charts.complete_json(cut).alias("repaired"))
+    return table(spark, folder, "events").select("event_id", charts.complete_json(cut).alias("repaired"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, CAST(regexp_replace(props, '[^0-9.-]', '', 'g') AS DOUBLE) AS x FROM events), g AS (SELECT user_id, list(x ORDER BY event_id)[1:12] AS v FROM e GROUP BY user_id),
+@query("""WITH e AS (SELECT user_id, event_id, CAST(regexp_replace(props, '[^0-9.-]', '', 'g') AS DOUBLE) AS x FROM events), g AS (SELECT user_id, list(x ORDER BY event_id) AS v FROM e GROUP BY user_id),
 m AS (SELECT user_id, CASE WHEN len(v) < 2 THEN list_transform(v, lambda x: round_even(x * 1e4::DOUBLE, 0) / 1e4::DOUBLE) ELSE list_transform(v, lambda x: round_even((x - list_min(v)) / (list_max(v) - list_min(v) + 1e-9::DOUBLE) * 1e4::DOUBLE, 0) / 1e4::DOUBLE) END AS s FROM g)
 SELECT user_id, CAST(len(s) AS INTEGER) AS n, round(list_sum(s), 4) AS total, round(list_sum(list_transform(range(1, len(s)), lambda i: abs(s[i] - s[i + 1]))) / greatest(len(s) - 1, 1), 6) AS l1 FROM m""")
 def q59_chart_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers in each user's first twelve events, scaled, and the distance of the series from itself one step on."""
+    """Numbers in each user's events, scaled, and the distance of the series from itself one step on."""
     e = table(spark, folder, "events").select("user_id", "event_id", charts.number(F.col("props")).alias("x"))
-    line = Window.partitionBy("user_id").orderBy("event_id")
-    first = e.withColumn("k", F.row_number().over(line)).where("k <= 12").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v"))
-    s = first.select("user_id", charts.min_max(F.transform("v", lambda p: p["x"])).alias("s"))
-    later = F.slice("s", 2, 12)
+    series = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("v"))
+    s = series.select("user_id", charts.min_max(F.transform("v", lambda p: p["x"])).alias("s"))
+    later = F.slice("s", F.lit(2), F.size("s"))
     return s.select("user_id", F.size("s").alias("n"), F.round(F.aggregate("s", F.lit(0.0), lambda t, x: t + x), 4).alias("total"), F.when(F.size("s") > 1, F.round(charts.mean_l1(F.col("s"), later), 6)).alias("l1"))
 
 
