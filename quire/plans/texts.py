@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import charts, pretok, spans, text, tokens
+from quire.functions import charts, musicxml, pretok, spans, text, tokens
 from quire.operators import bpe, music
 from quire.plans.base import query, table
 from quire.streaming import pages as page_stream
@@ -221,3 +221,11 @@ def semantics(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def q60_music_sanity(spark: SparkSession, folder: str) -> DataFrame:
     return music.warnings(semantics(spark, folder))
+
+
+@query()
+def q70_musicxml(spark: SparkSession, folder: str) -> DataFrame:
+    """Semantic strings as MusicXML: a digest, the number of measures and notes, and what the lint finds."""
+    x = semantics(spark, folder).select("system", "part", musicxml.musicxml("semantic").alias("xml"))
+    count = lambda path: F.xpath_int("xml", F.lit(f"count({path})"))
+    return x.select("system", "part", F.md5(F.col("xml").cast("binary")).alias("digest"), count("//measure").alias("measures"), count("//note").alias("notes"), F.array_join(musicxml.lint(F.col("xml")), ", ").alias("problems"))

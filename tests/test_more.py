@@ -470,3 +470,21 @@ def test_templates_and_conversion(spark):
     x, v = [1.0, 2.0, 3.0, 4.0], [7.0, -3.5, 14.0, 2.0]
     frame = spark.createDataFrame([(x, v)], "x array<double>, v array<double>").select("x", vectors.int4_groups(F.col("v"), 2).alias("g"))
     assert frame.select(quantise.int4_dot(F.col("x"), F.col("g.packed"), F.col("g.scales"), 2).alias("y")).first().y == 7 + 2 * -4 + 2 * (3 * 7 + 4 * 1)
+
+
+def test_musicxml(spark):
+    import xml.etree.ElementTree as ET
+
+    from quire.functions import musicxml
+
+    text = "clef-G2+keySignature-BbM+timeSignature-3/4+C4#_quarter|E4_half+rest-eighth.+barline+barline+multirest-2+F5_whole+x"
+    root = ET.fromstring(musicxml.build(text).split("?>")[1])
+    assert [m.get("number") for m in root.iter("measure")] == ["1", "2", "3", "4"]
+    notes = list(root.iter("note"))
+    assert [n.findtext("duration") for n in notes] == ["64", "64", "48", "256", "256", "256"]
+    assert notes[0].findtext("pitch/alter") == "1" and notes[1].find("chord") is not None and notes[2].find("dot") is not None
+    assert root.findtext(".//fifths") == "-2" and root.findtext(".//beats") == "3"
+    frame = spark.createDataFrame([(text,), ("",), (None,)], "s string").select(musicxml.musicxml("s").alias("x"))
+    assert [r.p for r in frame.select(musicxml.lint(F.col("x")).alias("p")).collect()][:2] == [[], []]
+    bad = spark.createDataFrame([("<score-partwise><part><measure number='2'><note><chord/></note></measure></part></score-partwise>",)], "x string")
+    assert bad.select(musicxml.lint(F.col("x")).alias("p")).first().p == ["measure numbers", "duration", "chord without a note"]
