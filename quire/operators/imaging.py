@@ -37,14 +37,14 @@ def profiles(ink: DataFrame, sizes: DataFrame, angles: tuple[float, ...]) -> Dat
     """image, angle, y, n: ink per row after shearing by each angle; rows without ink are left out."""
     table = F.explode(F.array(*[F.struct(F.lit(a).alias("angle"), F.lit(math.tan(math.radians(a))).alias("tangent")) for a in angles]))
     moved = ink.withColumn("a", table).select("image", F.col("a.angle").alias("angle"), (F.col("y") - shift(F.col("a.tangent"), F.col("x"))).alias("y"))
-    return moved.join(F.broadcast(sizes), "image").where((F.col("y") >= 0) & (F.col("y") < F.col("height"))).groupBy("image", "angle", "y").agg(F.count("*").alias("n"))
+    return moved.join(sizes, "image").where((F.col("y") >= 0) & (F.col("y") < F.col("height"))).groupBy("image", "angle", "y").agg(F.count("*").alias("n"))
 
 
 def scores(ink: DataFrame, sizes: DataFrame, angles: tuple[float, ...]) -> DataFrame:
     """image, angle, score: variance of the row profile over all rows, empty ones too."""
     p = profiles(ink, sizes, angles).groupBy("image", "angle").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
     mean = F.col("s") / F.col("height")
-    return p.join(F.broadcast(sizes), "image").select("image", "angle", (F.col("q") / F.col("height") - mean * mean).alias("score"))
+    return p.join(sizes, "image").select("image", "angle", (F.col("q") / F.col("height") - mean * mean).alias("score"))
 
 
 def skew(ink: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def gutters(pixels: DataFrame, sizes: DataFrame, dark_below: int = 160) -> DataF
     wide as high whose dark share is at most 0.5 % or at least 60 %; null where there is none."""
     wide = sizes.where(F.col("width") / F.col("height") >= 1.25)
     low, high = F.floor(F.col("width") * 2 / 5), F.floor(F.col("width") * 3 / 5)
-    columns = pixels.join(F.broadcast(wide), "image").where((F.col("x") >= low) & (F.col("x") < high)).groupBy("image", "x", "width", "height").agg(F.count_if(F.col("v") < dark_below).alias("dark"))
+    columns = pixels.join(wide, "image").where((F.col("x") >= low) & (F.col("x") < high)).groupBy("image", "x", "width", "height").agg(F.count_if(F.col("v") < dark_below).alias("dark"))
     share = F.floor(F.col("dark") * 1000 / F.col("height"))
     fit = columns.where((share <= 5) | (share >= 600)).withColumn("far", F.abs(F.col("x") - F.floor(F.col("width") / 2)))
     best = fit.groupBy("image").agg(F.min_by("x", F.struct("far", "x")).alias("gutter"))
@@ -100,9 +100,9 @@ def staff_lines(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     ink = pixels.join(otsu(pixels), "image").where(F.col("v") <= F.col("threshold")).select("image", "y", "x")
     angle = skew(ink, sizes)
     tangent = F.tan(F.radians("angle"))
-    turned = ink.join(F.broadcast(angle), "image").select("image", (F.col("y") - shift(tangent, F.col("x"))).alias("y"))
-    profile = turned.join(F.broadcast(sizes), "image").where((F.col("y") >= 0) & (F.col("y") < F.col("height"))).groupBy("image", "y").agg(F.count("*").alias("n"))
-    return staves(bands(profile)).join(F.broadcast(angle), "image").select("image", "angle", "staff", "lines")
+    turned = ink.join(angle, "image").select("image", (F.col("y") - shift(tangent, F.col("x"))).alias("y"))
+    profile = turned.join(sizes, "image").where((F.col("y") >= 0) & (F.col("y") < F.col("height"))).groupBy("image", "y").agg(F.count("*").alias("n"))
+    return staves(bands(profile)).join(angle, "image").select("image", "angle", "staff", "lines")
 
 
 def barlines(pixels: DataFrame, sizes: DataFrame, lines: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def barlines(pixels: DataFrame, sizes: DataFrame, lines: DataFrame) -> DataFrame
     staff = lines.join(sizes, "image").where("l4 > l0 AND l4 < height")
     gap = F.floor((F.col("l4") - F.col("l0")) / 4)
     staff = staff.withColumns({"gap": gap, "span": F.col("l4") - F.col("l0") - 1})
-    dark = pixels.join(otsu(pixels), "image").join(F.broadcast(staff), "image").where(F.col("v") <= F.col("threshold"))
+    dark = pixels.join(otsu(pixels), "image").join(staff, "image").where(F.col("v") <= F.col("threshold"))
     y, l0, l4 = F.col("y"), F.col("l0"), F.col("l4")
     counts = {
         "cover": y.between(l0 + 1, l4 - 1),
