@@ -8,11 +8,11 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quire.storage import materialize, shared_dir, shared_path
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORKER_ENV", "materialize", "parts", "prepare", "shared_dir", "shared_path", "slices"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORKER_ENV", "gathered", "materialize", "parts", "prepare", "shared_dir", "shared_path", "slices"]
 
 #: Rows and bytes of an Arrow batch handed to a Python worker; bounds the worker's memory.
 BATCH_ROWS = 4000
@@ -45,6 +45,15 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Rows of a narrow intermediate table that go to one file.
+ROWS_PER_FILE = 250_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most about ``rows`` narrow rows, in as few partitions as its files should be."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,12 +21,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     node that occurs in no other edge is its own root; edges with a null end are ignored; an empty table
     gives no rows.
     """
-    ends = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    ends = common.materialize(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL"), "links")
+    size = ends.count()
     nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    star = common.materialize(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    star = common.materialize(common.gathered(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), size), "links")
     state = None
     for _ in range(max_rounds):
-        star = common.materialize(_small_star(_large_star(star)), "links")
+        star = common.materialize(common.gathered(_small_star(_large_star(star)), size), "links")
         now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

@@ -214,9 +214,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     doc_id that is not null (null if there is none); repeated rows and ids are kept. Other columns are ignored.
     """
     prints = common.materialize(fingerprints(docs, shingle, seed, id_col, text_col), "simhash-prints")
-    classes = common.materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "simhash-classes")
+    n = prints.count()
+    classes = common.materialize(common.gathered(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), n), "simhash-classes")
     roots = components(near_links(classes.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
-    linked = common.materialize(roots.join(classes, "fingerprint"), "simhash-roots")
+    linked = common.materialize(common.gathered(roots.join(classes, "fingerprint"), n), "simhash-roots")
     lows = linked.groupBy("root").agg(F.min("low").alias("lowest"))
     best = linked.join(lows, "root").select("fingerprint", "lowest")
     ids = classes.join(best, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "low").alias("component_id"))
@@ -229,11 +230,13 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     The row with the component's smallest doc_id stays (a null one only where all are null); of rows
     that share that id and fingerprint, one.
     """
-    found = common.materialize(near_duplicates(docs, **options), "simhash-found")
+    found = near_duplicates(docs, **options)
+    n = docs.count()
+    found = common.materialize(common.gathered(found, n), "simhash-found")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     one = Window.partitionBy("component_id").orderBy("fingerprint")
     kept = kept.groupBy("component_id", "fingerprint").agg(F.count("*").alias("copies")).withColumn("nth", F.row_number().over(one)).where("nth = 1")
-    kept = common.materialize(kept.select(F.col("component_id").alias("_id"), F.col("fingerprint").alias("_print"), "copies"), "simhash-kept")
+    kept = common.materialize(common.gathered(kept.select(F.col("component_id").alias("_id"), F.col("fingerprint").alias("_print"), "copies"), n), "simhash-kept")
     id_col = options.get("id_col", "doc_id")
     mixed = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count() > 0
     stay = docs.join(kept.select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
