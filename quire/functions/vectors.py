@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,21 +13,31 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda t, x: t + x)
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` evaluated once; inside a lambda it would be evaluated for every element."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = lambda v: bound(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    scaled = lambda e: bound(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return bound(bound(v, shifted), scaled)
 
 
 def top_k(v: Column, k: int) -> Column:
     """Array of struct(idx, score): highest first, lower index on ties. A value that isn't finite is an error."""
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    ranked = F.array_sort(F.transform(v, lambda x, i: F.struct((-x).alias("n"), i.alias("idx"))))
-    picked = F.transform(F.slice(ranked, 1, k), lambda s: F.struct(s["idx"].alias("idx"), (-s["n"]).alias("score")))
-    return F.when(sound, picked).otherwise(F.raise_error(F.lit("non-finite score")).cast("array<struct<idx:int,score:double>>"))
+
+    def pick(v: Column) -> Column:
+        sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        ranked = F.array_sort(F.transform(v, lambda x, i: F.struct((-x).alias("n"), i.alias("idx"))))
+        picked = F.transform(F.slice(ranked, 1, k), lambda s: F.struct(s["idx"].alias("idx"), (-s["n"]).alias("score")))
+        return F.when(sound, picked).otherwise(F.raise_error(F.lit("non-finite score")).cast("array<struct<idx:int,score:double>>"))
+
+    return bound(v, pick)
 
 
 def renormalise(weights: Column, scale: float = 1.0) -> Column:
-    return F.transform(weights, lambda w: w / (total(weights) + 1e-20) * scale)
+    return bound(weights, lambda ws: bound(total(ws) + 1e-20, lambda t: F.transform(ws, lambda w: w / t * scale)))
 
 
 def argmax(v: Column) -> Column:
