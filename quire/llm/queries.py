@@ -39,7 +39,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secrets.train(secrets.labelled_findings(spark))
-    return secrets.scan(table(spark, sf_dir, "documents"), forest)
+    return secrets.scan(table(spark, sf_dir, "documents"), forest, every=True)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

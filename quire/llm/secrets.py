@@ -22,6 +22,8 @@ THRESHOLD = 0.5
 MARK = "[SECRET]"
 #: Key characters, marks of secrets and of harmless strings, well-known prefixes, dictionary.
 RUN = "[A-Za-z0-9+/_\\-]{12,}"
+#: A run with the text between it and the run before; \\G keeps the search linear in the word.
+LED_RUN = f"(?s)\\G(.*?)({RUN})"
 GAPS = "[\\x20\\x09-\\x0D]+"
 SECRET_WORDS = "password|passwd|pwd|secret|token|api_?key|apikey|access_?key|auth|credential|bearer|private"
 HARMLESS_WORDS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|isbn|doi|phone|card|order|invoice|version|etag|revision|blob|tree|build|ticket"
@@ -39,7 +41,7 @@ def _share(text: Column, pattern: str) -> Column:
 
 
 def value_of(word: Column) -> Column:
-    """The candidate in a word: its last long run of key characters after any ``=`` or ``:``, or else the first long run."""
+    """The first long run of key characters in a word that follows a ``=`` or ``:``, or else the first long run."""
     after = F.regexp_extract(word, f"[=:][\"'`]*({RUN})", 1)
     return F.when(after != "", after).otherwise(F.regexp_extract(word, RUN, 0))
 
@@ -68,16 +70,42 @@ def features(word: Column, value: Column, before: Column, two_before: Column, af
     )
 
 
-def candidates(text: Column) -> Column:
-    """Array of struct(word_pos, value, f): words with a digit and a long run of key characters. Empty for null."""
+def runs(word: Column, before: Column, two_before: Column, after: Column) -> Column:
+    """Array of struct(word, value, b1, b2, a1): every long run of a word, with its context.
+
+    The only run of a word has the whole word and its neighbours as context; one of several has the text since the
+    run before it, and that run as the word before it.
+    """
+    values = F.regexp_extract_all(word, F.lit(LED_RUN), F.lit(2))
+
+    def context(vs: Column) -> Column:
+        led = F.transform(F.arrays_zip(F.regexp_extract_all(word, F.lit(LED_RUN), F.lit(1)).alias("head"), vs.alias("value")), lambda r: F.concat(r["head"], r["value"]))
+        alone = F.size(vs) == 1
+        return F.transform(vs, lambda v, k: F.struct(F.when(alone, word).otherwise(F.get(led, k)).alias("word"), v.alias("value"), F.when(k == 0, before).otherwise(F.get(vs, k - 1)).alias("b1"), F.when(k == 0, two_before).alias("b2"), F.when(k == F.size(vs) - 1, after).alias("a1")))
+
+    return F.get(F.transform(F.array(values), context), 0)
+
+
+def candidates(text: Column, every: bool = True) -> Column:
+    """Array of struct(word_pos, value, f): the long runs of key characters of words with a digit. Empty for null.
+
+    Every run of a word is a candidate of its own; without ``every``, only that of ``value_of``.
+    """
     words = F.split(text, GAPS)
     is_candidate = lambda w: w.rlike("[0-9]") & w.rlike(RUN)
 
     def found(ws: Column) -> Column:
         spots = F.filter(F.transform(ws, lambda w, i: F.when(is_candidate(w), i)), lambda i: i.isNotNull())
         at = lambda i, k: F.get(ws, i + k)
-        raw = F.transform(spots, lambda i: F.struct(i.alias("word_pos"), at(i, 0).alias("word"), value_of(at(i, 0)).alias("value"), F.when(i > 0, at(i, -1)).alias("b1"), F.when(i > 1, at(i, -2)).alias("b2"), at(i, 1).alias("a1")))
-        return F.transform(raw, lambda c: F.struct(c["word_pos"].alias("word_pos"), c["value"].alias("value"), features(c["word"], c["value"], c["b1"], c["b2"], c["a1"]).alias("f")))
+        around = lambda i: (F.when(i > 0, at(i, -1)), F.when(i > 1, at(i, -2)), at(i, 1))
+
+        def one(i: Column) -> Column:
+            b1, b2, a1 = around(i)
+            return F.array(F.struct(at(i, 0).alias("word"), value_of(at(i, 0)).alias("value"), b1.alias("b1"), b2.alias("b2"), a1.alias("a1")))
+
+        own = lambda i: runs(at(i, 0), *around(i)) if every else one(i)
+        raw = F.flatten(F.transform(spots, lambda i: F.transform(own(i), lambda r: F.struct(i.alias("word_pos"), r.alias("r")))))
+        return F.transform(raw, lambda c: F.struct(c["word_pos"].alias("word_pos"), c["r"]["value"].alias("value"), features(c["r"]["word"], c["r"]["value"], c["r"]["b1"], c["r"]["b2"], c["r"]["a1"]).alias("f")))
 
     none = F.slice(found(F.array(F.lit("a1234567890123"))), 1, 0)
     one = F.transform(F.array(words), found)  # binds the split once
@@ -192,13 +220,15 @@ def train(findings: DataFrame, limit: int = MAX_LABELLED) -> Forest:
     return fit(np.array([r.f for r in got]), np.array([r.y for r in got]))
 
 
-def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, every: bool = False) -> DataFrame:
     """doc_id, word_pos, candidate, score, secret: a row per candidate of every document.
 
+    ``every``: all that ``candidates`` finds, as the query and ``redact`` take it; else at most one per word.
+
     Null, empty and digit-free texts have none; repeated rows and null ids are scanned as rows of their
     own. The score is the forest's mean share of secrets.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(candidates(F.col(text_col))).alias("c"))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(candidates(F.col(text_col), every)).alias("c"))
     scored = found.select("doc_id", F.col("c.word_pos").alias("word_pos"), F.col("c.value").alias("candidate"), forest.score(F.col("c.f")).alias("score"))
     return scored.withColumn("secret", F.col("score") >= threshold)
 
