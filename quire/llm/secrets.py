@@ -1,10 +1,10 @@
 """Secret scan: a random forest removes false positives among candidate strings. Native expressions only.
 
-A document is handled within its own row: words with a digit and a long run of key characters are
-candidates; each gets features from its characters, the dictionary words in it, path marks and its
-neighbouring words; the forest is evaluated by array functions on literals. Nothing is shuffled, and
-documents without a digit aren't even split. The forest is fitted on the driver, from a bounded number
-of labelled findings whose features come from the same expressions.
+A document is handled within its own row: every long run of key characters, and every value assigned to or
+following a secret word whatever its length, is a candidate; each gets features from its characters, the
+dictionary words in it, path marks and its neighbouring words; the forest is evaluated by array functions on
+literals. Nothing is shuffled. The forest is fitted on the driver, from a bounded number of labelled findings
+whose features come from the same expressions.
 """
 
 from __future__ import annotations
@@ -26,6 +26,13 @@ RUN = "[A-Za-z0-9+/_\\-]{12,}"
 LED_RUN = f"(?s)\\G(.*?)({RUN})"
 GAPS = "[\\x20\\x09-\\x0D]+"
 SECRET_WORDS = "password|passwd|pwd|secret|token|api_?key|apikey|access_?key|auth|credential|bearer|private"
+#: A secret word's assignment within a word (the mark before the value, the value), a secret word at a word's end, what
+#: may stand between it and its value, the value at a word's beginning, and brackets that close behind a value.
+ASSIGNED = f"(?i)((?:{SECRET_WORDS})[A-Za-z0-9_\\-]{{0,40}}[\"'`]*[=:]+[\"'`]*)((?<=[\"'`])[^\"'`]+|(?<![\"'`])[^\"'`,;]+)"
+NAMED = f"(?i)(?:{SECRET_WORDS})[A-Za-z0-9_\\-]{{0,40}}[\"'`]*[=:]*[\"'`]*$"
+BETWEEN = "^[\"'`]*(?:[=:]+>?|is|was)[\"'`]*$"
+OPENING = "[\"'`(<\\[{]*"
+CLOSING = "[)\\]}>.]+$"
 HARMLESS_WORDS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|isbn|doi|phone|card|order|invoice|version|etag|revision|blob|tree|build|ticket"
 PREFIXES = "^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|xox[abp]-|AIza|eyJ)"
 DICTIONARY = (
@@ -41,9 +48,13 @@ def _share(text: Column, pattern: str) -> Column:
 
 
 def value_of(word: Column) -> Column:
-    """The first long run of key characters in a word that follows a ``=`` or ``:``, or else the first long run."""
-    after = F.regexp_extract(word, f"[=:][\"'`]*({RUN})", 1)
-    return F.when(after != "", after).otherwise(F.regexp_extract(word, RUN, 0))
+    """The first long run of key characters in a word that follows a ``=`` or ``:``, or else the first long run.
+
+    A word without one has the value behind its first ``=`` or ``:``, or else what it is without quotes and brackets.
+    """
+    after, first, short = F.regexp_extract(word, f"[=:][\"'`]*({RUN})", 1), F.regexp_extract(word, RUN, 0), F.regexp_extract(word, "[=:]+[\"'`]*([^\"'`,;]+)", 1)
+    bare = F.when(short != "", short).otherwise(F.regexp_extract(word, f"^{OPENING}([^\"'`,;]+)", 1))
+    return F.when(after != "", after).when(first != "", first).otherwise(F.regexp_replace(bare, CLOSING, ""))
 
 
 def features(word: Column, value: Column, before: Column, two_before: Column, after: Column) -> Column:
@@ -86,30 +97,53 @@ def runs(word: Column, before: Column, two_before: Column, after: Column) -> Col
     return F.get(F.transform(F.array(values), context), 0)
 
 
+def assigned(word: Column, before: Column, two_before: Column, after: Column) -> Column:
+    """Array of struct(word, value, b1, b2, a1, lead): the values that a word assigns to secret words and that aren't one long run.
+
+    lead: the text of the assignment just before the value.
+    """
+    parts = F.regexp_replace(word, "&(?=[A-Za-z_]{1,40}=)", ";")
+    pairs = F.arrays_zip(F.regexp_extract_all(parts, F.lit(ASSIGNED), F.lit(1)).alias("lead"), F.regexp_extract_all(parts, F.lit(ASSIGNED), F.lit(2)).alias("value"))
+    cut = F.transform(pairs, lambda p: F.struct(p["lead"].alias("lead"), F.regexp_replace(p["value"], CLOSING, "").alias("value")))
+    short = F.filter(cut, lambda p: (p["value"] != "") & ~p["value"].rlike(f"^{RUN}$"))
+    return F.transform(short, lambda p: F.struct(F.concat(p["lead"], p["value"]).alias("word"), p["value"].alias("value"), before.alias("b1"), two_before.alias("b2"), after.alias("a1"), p["lead"].alias("lead")))
+
+
 def candidates(text: Column, every: bool = True) -> Column:
-    """Array of struct(word_pos, value, f): the long runs of key characters of words with a digit. Empty for null.
+    """Array of struct(word_pos, value, f, lead, gap). Empty for null.
 
-    Every run of a word is a candidate of its own; without ``every``, only that of ``value_of``.
+    Candidates are all long runs of key characters, the values that a word assigns to a secret word and the values in
+    the word after a secret word; lead is the text just before one of the latter two, gap says that white space parts
+    them. Without ``every``: the ``value_of`` words with a digit and a long run, none else.
     """
     words = F.split(text, GAPS)
-    is_candidate = lambda w: w.rlike("[0-9]") & w.rlike(RUN)
+    is_candidate = lambda w: w.rlike(f"(?i:{SECRET_WORDS})|{RUN}") if every else w.rlike("[0-9]") & w.rlike(RUN)
 
     def found(ws: Column) -> Column:
         spots = F.filter(F.transform(ws, lambda w, i: F.when(is_candidate(w), i)), lambda i: i.isNotNull())
-        at = lambda i, k: F.get(ws, i + k)
-        around = lambda i: (F.when(i > 0, at(i, -1)), F.when(i > 1, at(i, -2)), at(i, 1))
-
-        def one(i: Column) -> Column:
-            b1, b2, a1 = around(i)
-            return F.array(F.struct(at(i, 0).alias("word"), value_of(at(i, 0)).alias("value"), b1.alias("b1"), b2.alias("b2"), a1.alias("a1")))
-
-        own = lambda i: runs(at(i, 0), *around(i)) if every else one(i)
-        raw = F.flatten(F.transform(spots, lambda i: F.transform(own(i), lambda r: F.struct(i.alias("word_pos"), r.alias("r")))))
-        return F.transform(raw, lambda c: F.struct(c["word_pos"].alias("word_pos"), c["r"]["value"].alias("value"), features(c["r"]["word"], c["r"]["value"], c["r"]["b1"], c["r"]["b2"], c["r"]["a1"]).alias("f")))
+        at = lambda i, k: F.when(i + k >= 0, F.get(ws, i + k))
+        around = lambda i: (at(i, -1), at(i, -2), at(i, 1))
+        fields = lambda i, r, lead, gap: F.struct(i.cast("int").alias("word_pos"), *[r[k].alias(k) for k in ("word", "value", "b1", "b2", "a1")], lead.alias("lead"), F.lit(gap).alias("gap"))
+        struct = lambda i, value: F.struct(at(i, 0).alias("word"), value.alias("value"), *[c.alias(k) for k, c in zip(("b1", "b2", "a1"), around(i), strict=True)])
+
+        def following(i: Column) -> Column:
+            j = i + F.when(at(i, 1).rlike(BETWEEN), 2).otherwise(1)
+            bare = lambda j: F.regexp_replace(F.regexp_extract(F.coalesce(at(j, 0), F.lit("")), f"^{OPENING}([^\"'`,;]+)", 1), CLOSING, "")
+            own = F.filter(F.transform(F.array(j), lambda j: fields(j, struct(j, bare(j)), at(j, -1), True)), lambda c: (c["value"] != "") & ~c["value"].rlike(f"^{RUN}$") & ~c["word"].rlike(ASSIGNED))
+            return F.when(at(i, 0).rlike(NAMED), own).otherwise(F.slice(own, 1, 0))
+
+        def of(i: Column) -> Column:
+            if not every:
+                return F.array(fields(i, struct(i, value_of(at(i, 0))), F.lit(""), False))
+            long = F.transform(runs(at(i, 0), *around(i)), lambda r: fields(i, r, F.lit(""), False))
+            return F.concat(long, F.transform(assigned(at(i, 0), *around(i)), lambda r: fields(i, r, r["lead"], False)), following(i))
+
+        raw = F.flatten(F.transform(spots, of))
+        return F.transform(raw, lambda c: F.struct(c["word_pos"].alias("word_pos"), c["value"].alias("value"), features(c["word"], c["value"], c["b1"], c["b2"], c["a1"]).alias("f"), c["lead"].alias("lead"), c["gap"].alias("gap")))
 
     none = F.slice(found(F.array(F.lit("a1234567890123"))), 1, 0)
     one = F.transform(F.array(words), found)  # binds the split once
-    return F.when(F.coalesce(text, F.lit("")).rlike("[0-9]"), F.get(one, 0)).otherwise(none)
+    return F.when(text.isNotNull() if every else F.coalesce(text, F.lit("")).rlike("[0-9]"), F.get(one, 0)).otherwise(none)
 
 
 @dataclass(frozen=True)
@@ -173,8 +207,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, se
 def labelled_findings(spark: SparkSession, n: int = 3000, seed: str = "findings") -> DataFrame:
     """b2, b1, word, a1, secret: findings in context, made from templates and hashed numbers (the default training set).
 
-    Secrets: access keys, assigned passwords, quoted tokens, API keys, prefixed tokens. Others: commits, checksums,
-    UUIDs, paths, addresses, card and phone numbers, versions, identifiers, placeholders.
+    Secrets: access keys, assigned passwords, quoted tokens, API keys, prefixed tokens, phrases, short passwords, keys
+    without a digit. Others: commits, checksums, UUIDs, paths, addresses, card and phone numbers, versions, identifiers,
+    placeholders, prose, names of keys, settings.
     """
     ids = spark.range(n)
     h = F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)
@@ -186,6 +221,14 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: str = "findings"
     prose = ("the", "of", "with", "and", "see", "uses", "in", "then", "der", "les", "que", "value", "is", "thing", "erst")
     word = lambda k: pick(k, prose)
     cut = lambda c, m: F.substring(c, 1, m)
+    letters = F.translate(mixed, "0123456789", "qJvKxZwGyB")
+    nouns = ("correct", "horse", "battery", "purple", "monkey", "dragon", "hunter", "summer", "Winter", "rabbit", "Sword", "fish", "tiger", "Pepper", "castle", "falcon")
+    noun = lambda k: pick(k, nouns)
+    key = lambda k: pick(k, ("password=", "passwd=", "pwd=", "pwd:", "secret=", "PASSWORD=", "db_password:"))
+    named = lambda k: pick(k, ("password:", "pwd:", "Password:", "secret:", "passwd="))
+    syllable = lambda k: pick(k, ("tion", "er", "che", "wh", "ing", "aux", "lich", "keit", "ment", "on", "ble", "que", "th", "sch", "ver"))
+    prosaic = F.concat(*[syllable(k) for k in range(40, 45)], F.lit("ent"))
+    shaped = lambda k, c: F.get(F.transform(F.array(c), lambda x: F.when(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(3)) == 0, x).when(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(3)) == 1, F.initcap(x)).otherwise(F.upper(x))), 0)
     templates = [
         (1, word(1), word(2), F.concat(F.lit("AKIA"), cut(caps, 16))),
         (1, word(1), word(2), F.concat(pick(3, ("password=", "passwd=", "pwd:", "secret=", "auth_token=")), cut(h, 18))),
@@ -204,8 +247,24 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: str = "findings"
         (0, word(1), word(2), F.concat(pick(16, ("password=changeme-", "token=your_token_here_", "secret=example-value-", "password=placeholder")), cut(digits, 3))),
         (0, word(1), word(2), F.concat(F.lit("https://www.example.com/page/item/"), cut(digits, 6))),
         (0, word(1), pick(17, ("version", "build", "invoice", "ticket", "phone")), cut(digits, 14)),
+        (1, word(1), word(2), F.concat(key(20), F.concat_ws("-", noun(21), noun(22), noun(23)))),
+        (1, word(1), word(2), F.concat(key(20), noun(24), cut(digits, 1))),
+        (1, word(1), word(2), F.concat(key(20), noun(24), noun(25))),
+        (1, word(1), word(2), F.concat(key(20), cut(mixed, 6), pick(26, ("&", "!", "#", "%", "$", "*")), F.substring(mixed, 8, 5))),
+        (1, word(1), named(27), F.concat(noun(24), cut(digits, 2))),
+        (1, word(1), named(27), F.concat(cut(mixed, 5), pick(26, ("&", "!", "#", "%", "$", "*")), F.substring(mixed, 8, 5))),
+        (1, word(1), word(2), F.concat(pick(7, ("password=", "access_key=", "token=", "secret=")), cut(letters, 24))),
+        (1, word(1), pick(5, ("api_key:", "apikey=", "Bearer", "token:", "secret:")), cut(letters, 32)),
+        (0, word(1), word(2), F.concat(shaped(46, prosaic), pick(47, ("", ".", ",", "!!")))),
+        (0, word(1), pick(28, ("secret", "token", "private", "password", "author", "authentication", "credential")), F.concat(syllable(40), syllable(41), pick(48, ("", "s", "ing", "ed")))),
+        (0, word(1), pick(28, ("secret", "token", "private", "password", "author", "authentication", "credential")), word(49)),
+        (0, word(1), word(2), pick(29, ("AWS_SECRET_ACCESS_KEY", "github_access_token", "db_password_production", "CLIENT_AUTH_SECRET", "privateKeyPassphrase", "token_expiry_seconds", "authentication"))),
+        (0, word(1), word(2), F.concat(pick(30, ("password=", "token:", "secret=", "auth:", "private=")), pick(31, ("true", "null", "none", "false", "yes", "no", "on", "off")))),
+        (0, word(1), pick(32, ("password:", "token:", "secret:", "auth:", "private:")), pick(33, ("true", "null", "none", "string", "false", "12", "user", "default", "a", "the"))),
     ]
-    kind = F.pmod(F.col("id"), F.lit(len(templates)))
+    plain = len(templates) - 6  # prose is the most frequent of the others: it takes two more places
+    kind = F.pmod(F.col("id"), F.lit(len(templates) + 2))
+    kind = F.when(kind < len(templates), kind).otherwise(plain)
     choose = lambda k: F.coalesce(*[F.when(kind == i, F.lit(t[k]) if k == 0 else t[k]) for i, t in enumerate(templates)])
     return ids.select(choose(1).alias("b2"), choose(2).alias("b1"), choose(3).alias("word"), word(18).alias("a1"), choose(0).alias("secret"))
 
@@ -225,7 +284,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 
     ``every``: all that ``candidates`` finds, as the query and ``redact`` take it; else at most one per word.
 
-    Null, empty and digit-free texts have none; repeated rows and null ids are scanned as rows of their
+    Null and empty texts have none; repeated rows and null ids are scanned as rows of their
     own. The score is the forest's mean share of secrets.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), F.explode(candidates(F.col(text_col), every)).alias("c"))
@@ -234,8 +293,19 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: float = THRESHOLD, mark: str = MARK) -> DataFrame:
-    """``docs`` with every confirmed secret in the text replaced by ``mark``, wherever it stands; all else as it was."""
+    """``docs`` with every confirmed secret in the text replaced by ``mark``; all else as it was.
+
+    A long run is replaced wherever it stands, another value where it follows the same text.
+    """
     text = F.col(f"`{text_col}`")
-    secrets = F.transform(F.filter(candidates(text), lambda c: forest.score(c["f"]) >= threshold), lambda c: c["value"])
-    clean = F.aggregate(F.array_distinct(secrets), text, lambda t, s: F.replace(t, s, F.lit(mark)))
-    return docs.withColumn(text_col, F.when(F.coalesce(text, F.lit("")).rlike("[0-9]"), clean).otherwise(text))
+    sure = F.filter(candidates(text), lambda c: forest.score(c["f"]) >= threshold)
+    # values behind a gap first, then the longest, so that no value is cut by another that it contains
+    secrets = F.sort_array(F.array_distinct(F.transform(sure, lambda c: F.struct(c["gap"].alias("gap"), F.length(c["value"]).alias("size"), c["value"].alias("value"), c["lead"].alias("lead")))), asc=False)
+    literal = lambda c: F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    quoted = mark.replace("\\", "\\\\").replace("$", "\\$")
+
+    def hide(t: Column, s: Column) -> Column:
+        apart = F.regexp_replace(t, F.concat(F.lit("("), literal(s["lead"]), F.lit(f"{GAPS}{OPENING})"), literal(s["value"])), F.lit(f"$1{quoted}"))
+        return F.when(s["gap"], apart).otherwise(F.replace(t, F.concat(s["lead"], s["value"]), F.concat(s["lead"], F.lit(mark))))
+
+    return docs.withColumn(text_col, F.when(text.isNotNull(), F.aggregate(secrets, text, hide)))
