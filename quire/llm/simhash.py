@@ -213,15 +213,20 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     other. Rows with a null doc_id have a fingerprint and belong to a component, whose id is the smallest
     doc_id that is not null (null if there is none); repeated rows and ids are kept. Other columns are ignored.
     """
+    return _grouped(docs, radius, shingle, seed, id_col, text_col).drop("root")
+
+
+def _grouped(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates with root, the smallest fingerprint of the component, which no other component has."""
     prints = common.materialize(fingerprints(docs, shingle, seed, id_col, text_col), "simhash-prints")
     n = prints.count()
     classes = common.materialize(common.gathered(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), n), "simhash-classes")
     roots = components(near_links(classes.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
     linked = common.materialize(common.gathered(roots.join(classes, "fingerprint"), n), "simhash-roots")
     lows = linked.groupBy("root").agg(F.min("low").alias("lowest"))
-    best = linked.join(lows, "root").select("fingerprint", "lowest")
-    ids = classes.join(best, "fingerprint", "left").select("fingerprint", F.coalesce("lowest", "low").alias("component_id"))
-    return prints.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    best = linked.join(lows, "root").select("fingerprint", "root", "lowest")
+    ids = classes.join(best, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"))
+    return prints.join(ids, "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
@@ -230,12 +235,12 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     The row with the component's smallest doc_id stays (a null one only where all are null); of rows
     that share that id and fingerprint, one.
     """
-    found = near_duplicates(docs, **options)
+    found = _grouped(docs, **options)
     n = docs.count()
     found = common.materialize(common.gathered(found, n), "simhash-found")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = Window.partitionBy("component_id").orderBy("fingerprint")
-    kept = kept.groupBy("component_id", "fingerprint").agg(F.count("*").alias("copies")).withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    one = Window.partitionBy("root").orderBy("fingerprint")  # components may share an id, or have none
+    kept = kept.groupBy("root", "component_id", "fingerprint").agg(F.count("*").alias("copies")).withColumn("nth", F.row_number().over(one)).where("nth = 1")
     kept = common.materialize(common.gathered(kept.select(F.col("component_id").alias("_id"), F.col("fingerprint").alias("_print"), "copies"), n), "simhash-kept")
     id_col = options.get("id_col", "doc_id")
     mixed = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count() > 0

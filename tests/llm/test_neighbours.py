@@ -90,6 +90,13 @@ def test_representatives(spark):
     assert simhash.representatives(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_representatives_of_groups_that_share_an_id(spark):
+    b = "the quick brown fox jumps over the lazy dog and runs far away " * 30
+    rows = [(3, "a b c d"), (3, b), (7, b + "x"), (None, "q r s t"), (None, "q r s t"), (None, "one two three four"), (None, "u v w x y z")]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", "a b c d"), ("3", b), ("None", "q r s t"), ("None", "one two three four"), ("None", "u v w x y z")])
+
+
 def test_simhash_query(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.fingerprint, r.component_id) for r in queries.op6_simhash(spark, data).collect())
