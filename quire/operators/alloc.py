@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire import storage
+
+#: Upgrades that the driver settles at once; while more are left, they are taken by ranges.
+FEW = 10_000
 
 
 def at_price(options: DataFrame, key: str, price: float, slack: float = 1e-12) -> DataFrame:
@@ -38,21 +45,77 @@ def waterfill(options: DataFrame, key: str, budget: float, rounds: int = 40) ->
     return _top_up(options, chosen, key, left)
 
 
+def _upgrades(options: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """key, nth, gain, extra, rate, distortion, rank: each key's steps along the lower hull above its chosen option, the
+    steepest first, so that a step never gains more per unit of rate than the one before it."""
+    o = options.groupBy(key).agg(F.collect_list(F.struct("rate", "distortion", "rank")).alias("o"))
+    now = chosen.select(key, F.col("rate").alias("r0"), F.col("distortion").alias("d0")).join(o, key)
+    step = "struct<gain:double,less:double,rank:int,extra:double,rate:double,distortion:double>"
+    kinds = dict(options.dtypes)
+    step = step.replace("rank:int", f"rank:{kinds['rank']}")
+
+    def best(state: Column) -> Column:
+        better = F.filter("o", lambda x: (x["rate"] > state["rate"]) & (x["distortion"] < state["distortion"]))
+        extra = lambda x: (x["rate"] - state["rate"]).cast("double")
+        gain = lambda x: (state["distortion"] - x["distortion"]) / extra(x)
+        named = lambda x: F.struct(F.least(gain(x), state["gain"]).alias("gain"), (-x["rate"]).cast("double").alias("less"), x["rank"].alias("rank"), extra(x).alias("extra"), x["rate"].cast("double").alias("rate"), x["distortion"].cast("double").alias("distortion"))
+        return F.array_max(F.transform(better, named))
+
+    def on(state: Column, _: Column) -> Column:
+        def moved(b: Column) -> Column:
+            return F.when(b.isNull(), state).otherwise(F.struct(b["rate"].alias("rate"), b["distortion"].alias("distortion"), b["gain"].alias("gain"), F.concat(state["steps"], F.array(b)).alias("steps")))
+
+        return F.get(F.transform(F.array(best(state)), moved), 0)
+
+    start = F.struct(F.col("r0").cast("double").alias("rate"), F.col("d0").cast("double").alias("distortion"), F.lit(float("inf")).alias("gain"), F.array().cast(f"array<{step}>").alias("steps"))
+    steps = now.select(key, F.posexplode(F.aggregate("o", start, on)["steps"]).alias("nth", "s"))
+    return steps.select(key, "nth", "s.gain", "s.extra", "s.rate", "s.distortion", "s.rank")
+
+
 def _top_up(options: DataFrame, chosen: DataFrame, key: str, left: float) -> DataFrame:
-    """One upgrade per key, the best gain per unit first, as long as their running total fits."""
-    now = chosen.select(key, F.col("rate").alias("r0"), F.col("distortion").alias("d0"))
-    steps = options.join(now, key).where((F.col("rate") > F.col("r0")) & (F.col("distortion") < F.col("d0")))
-    gain = (F.col("d0") - F.col("distortion")) / (F.col("rate") - F.col("r0"))
-    best = steps.withColumn("gain", gain).groupBy(key).agg(F.max_by(F.struct("rate", "distortion", "rank", "gain", (F.col("rate") - F.col("r0")).alias("extra")), "gain").alias("u"))
-    # only upgrades that fit alone matter; their order is settled on a bounded head
-    head = best.where(F.col("u.extra") <= left).orderBy(F.col("u.gain").desc(), key).limit(10_000).select(key, F.col("u.extra").alias("extra")).toPandas()
-    taken: list = []
-    for k, extra in zip(head[key], head["extra"], strict=True):
-        if extra <= left:
-            taken.append(k)
+    """Upgrades of all keys, the best gain per unit first, each if it still fits and the key's steps before it were taken.
+
+    The steps lie in ordered ranges. A round takes all up to the first that doesn't fit: whole ranges by their sums, and
+    part of the range where the budget ends by a running sum. What can't fit any more goes, with the key's later steps.
+    Once few are left, the driver settles them in the same order.
+    """
+    order = [F.col("gain").desc(), F.col(key), F.col("nth")]
+    steps = storage.materialize(_upgrades(options, chosen, key).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "upgrades")
+    taken, rest = [], steps
+    line = Window.partitionBy("_part").orderBy(*order)
+    while True:
+        gone = rest.where(F.col("extra") > left).groupBy(key).agg(F.min("nth").alias("_gone"))
+        rest = storage.materialize(rest.join(gone, key, "left").where(F.col("_gone").isNull() | (F.col("nth") < F.col("_gone"))).drop("_gone"), "upgrades")
+        parts = rest.groupBy("_part").agg(F.sum("extra").alias("extra"), F.count("*").alias("n")).orderBy("_part").collect()
+        if sum(p.n for p in parts) <= FEW:
+            break
+        whole, spent = 0, 0.0
+        while whole < len(parts) and spent + parts[whole].extra <= left:
+            spent += parts[whole].extra
+            whole += 1
+        if whole == len(parts):
+            taken.append(rest.select(key, "nth"))
+            rest = rest.limit(0)
+            break
+        cut = parts[whole]._part
+        inside = rest.where(F.col("_part") == cut).withColumn("_run", F.sum("extra").over(line))
+        fits = F.col("_run") <= left - spent
+        won = storage.materialize(rest.where(F.col("_part") < cut).select(key, "nth", "extra").unionByName(inside.where(fits).select(key, "nth", "extra")), "upgrades")
+        left -= float(won.agg(F.sum("extra")).first()[0] or 0)
+        taken.append(won.select(key, "nth"))
+        rest = rest.where(F.col("_part") > cut).unionByName(inside.where(~fits).drop("_run"))
+    stuck, last = set(), {}
+    for k, nth, extra in rest.orderBy(*order).select(key, "nth", "extra").toPandas().itertuples(index=False):
+        if k not in stuck and extra <= left:
             left -= extra
+            last[k] = nth
+        else:
+            stuck.add(k)
+    if last:
+        own = T.StructType([steps.schema[key], steps.schema["nth"]])
+        taken.append(chosen.sparkSession.createDataFrame([(k, int(n)) for k, n in last.items()], own))
     if not taken:
         return chosen
-    picks = chosen.sparkSession.createDataFrame(pd.DataFrame({key: taken}))
-    upgraded = best.join(F.broadcast(picks), key).select(key, "u.rate", "u.distortion", "u.rank")
-    return chosen.join(F.broadcast(picks), key, "left_anti").unionByName(upgraded)
+    picks = reduce(DataFrame.unionByName, taken).groupBy(key).agg(F.max("nth").alias("nth"))
+    upgraded = steps.join(picks, [key, "nth"]).select(key, "rate", "distortion", "rank")
+    return chosen.join(picks, key, "left_anti").unionByName(upgraded)

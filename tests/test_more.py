@@ -95,6 +95,47 @@ def test_waterfill(spark):
         alloc.waterfill(options, "k", 1.0)
 
 
+def plain_top_up(rows, low, left):
+    """Greedy: again and again the best next hull step of all keys that fits; a key whose next step doesn't fit is out."""
+    now, open_ = dict(low), set(low)
+    while open_:
+        best = None
+        for k in sorted(open_):
+            better = [r for r in rows if r[0] == k and r[2] > now[k][2] and r[3] < now[k][3]]
+            if better:
+                up = max(better, key=lambda r: ((now[k][3] - r[3]) / (r[2] - now[k][2]), -r[2]))
+                gain = (now[k][3] - up[3]) / (up[2] - now[k][2])
+                if best is None or gain > best[0]:
+                    best = gain, k, up
+        if best is None:
+            break
+        _, k, up = best
+        if up[2] - now[k][2] <= left:
+            left -= up[2] - now[k][2]
+            now[k] = up
+        else:
+            open_.discard(k)
+    return sorted(now.values())
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_top_up_against_greedy(spark, monkeypatch, few):
+    monkeypatch.setattr(alloc, "FEW", few)
+    rng = np.random.default_rng(8)
+    rows = [(k, r, float(b * s), float(2.0 ** -b * w)) for k, (s, w) in enumerate(zip(rng.integers(1, 9, 30), rng.random(30) + 0.1, strict=True)) for r, b in enumerate((16, 8, 4, 2))]
+    low = {r[0]: r for r in rows if r[1] == 3}
+    frame = spark.createDataFrame(rows, "k int, rank int, rate double, distortion double")
+    for left in (0.0, 61.0, 700.0, 1e6):
+        got = alloc._top_up(frame, frame.where("rank = 3").select("k", "rate", "distortion", "rank"), "k", left)
+        assert sorted((r.k, r["rank"], r.rate, r.distortion) for r in got.collect()) == plain_top_up(rows, low, left)
+
+
+def test_top_up_of_more_keys_than_the_driver_takes(spark):
+    frame = spark.range(13_000).selectExpr("id AS k", "explode(array(struct(1 AS rank, 1D AS rate, 1D AS distortion), struct(0 AS rank, 2D AS rate, 0.5D AS distortion))) AS o").select("k", "o.*")
+    got = alloc._top_up(frame, frame.where("rank = 1").select("k", "rate", "distortion", "rank"), "k", 12_500.0)
+    assert alloc.totals(got) == (25_500.0, 6_750.0) and got.count() == 13_000
+
+
 def test_guard():
     sizes = {"first": 16, "every": 4, "window": 16, "lags": 8}
     assert guard.suspicious([1, 2] * 10) and not guard.suspicious(list(range(20)))
