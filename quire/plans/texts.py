@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import charts, musicxml, pretok, spans, text, tokens
 from quire.operators import bpe, music
 from quire.plans.base import query, table
+from quire.streaming import guard
 from quire.streaming import pages as page_stream
 
 
@@ -41,9 +42,19 @@ CAST(CASE WHEN coalesce(best.m, 0) = 0 THEN 1 ELSE best.lag END AS INTEGER) AS l
 coalesce(16 * best.m >= 15 * best.c, 0 >= 15 * greatest(n - 1, 1)) AND 4 * len(list_distinct(g)) <= len(g) AS suspicious FROM g LEFT JOIN b USING (doc_id)""")
 def q20_repetition_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition at the end of each document: the last 256 tokens, lags up to 32, novelty of 4-grams."""
+    return repetition(spark, folder, 256, 32)
+
+
+@query()
+def q71_repetition_window(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over the operator's own window and periods, those of the guard."""
+    return repetition(spark, folder, guard.WINDOW, guard.LAGS)
+
+
+def repetition(spark: SparkSession, folder: str, window: int, lags: int) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda x: x != "")
-    w = table(spark, folder, "documents").select("doc_id", F.slice(words, F.greatest(F.size(words) - 255, F.lit(1)), 256).alias("a"))
-    best = w.select("doc_id", "a", tokens.best_lag(F.col("a"), 32).alias("b"), tokens.ngrams(F.col("a"), 4).alias("g"))
+    w = table(spark, folder, "documents").select("doc_id", F.slice(words, F.greatest(F.size(words) - window + 1, F.lit(1)), window).alias("a"))
+    best = w.select("doc_id", "a", tokens.best_lag(F.col("a"), lags).alias("b"), tokens.ngrams(F.col("a"), 4).alias("g"))
     unique, total = F.size(F.array_distinct("g")), F.size("g")
     matched = F.col("b.matches") > 0
     return best.select("doc_id", F.size("a").alias("n_tokens"), tokens.novelty_ppm(F.col("a")).alias("novelty_ppm"), F.when(matched, F.col("b.lag")).otherwise(1).alias("lag"), F.col("b.matches").alias("matches"), tokens.suspicious(F.col("b.matches"), F.col("b.comparisons"), unique, total).alias("suspicious"))

@@ -95,6 +95,32 @@ def test_waterfill(spark):
         alloc.waterfill(options, "k", 1.0)
 
 
+def test_repetition_over_the_whole_window(spark, tmp_path):
+    from quire.plans import catalog
+
+    rng = np.random.default_rng(6)
+    loop = lambda n: [f"w{i}" for i in range(n)]
+    texts = [loop(100) * 30, loop(256) * 9, loop(33) * 4, ["x"] * 40, [], ["a", "b"], [f"r{i}" for i in rng.integers(0, 30, 2500)], loop(1000) + loop(40) * 20]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalog.QUERIES["q71_repetition_window"](spark, f"file://{tmp_path}").collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        a = t[-2048:]
+        best = (1, 0, max(len(a) - 1, 1))
+        for p in range(1, min(256, len(a) - 1) + 1):
+            m = sum(x == y for x, y in zip(a[p:], a, strict=False))
+            if m * best[2] > best[1] * (len(a) - p):
+                best = (p, m, len(a) - p)
+        grams = list(zip(a, a[1:], a[2:], a[3:], strict=False))
+        assert (got[i].n_tokens, got[i].lag, got[i].matches) == (len(a), *best[:2])
+        assert got[i].novelty_ppm == (len(set(grams)) * 1000000 // len(grams) if grams else 1000000)
+        assert got[i].suspicious == (16 * best[1] >= 15 * best[2] and 4 * len(set(grams)) <= len(grams))
+    assert [got[i].lag for i in range(2)] == [100, 256] and got[0].suspicious and got[1].suspicious
+    short = {r.doc_id: r for r in catalog.QUERIES["q20_repetition_profile"](spark, f"file://{tmp_path}").collect()}
+    assert not short[0].suspicious and not short[1].suspicious
+
+
 def plain_top_up(rows, low, left):
     """Greedy: again and again the best next hull step of all keys that fits; a key whose next step doesn't fit is out."""
     now, open_ = dict(low), set(low)
