@@ -3,12 +3,14 @@
 Both supported vocabularies split a text at white space before they merge, so the ids of a text are
 the ids of its pieces in order. Arrow cuts a batch of texts into pieces, finds the distinct ones and looks
 them up among those that the worker has met; only new ones are encoded, and numpy lays the ids out. Texts
-with white space that this split doesn't cover are encoded whole.
+with white space that this split doesn't cover, or with the string of an added token such as ``<|endoftext|>``,
+are encoded whole. The library's switches are as they come from the file: an added token's string is its id.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 import numpy as np
@@ -66,7 +68,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = "|".join([ODD, *(f"(?i:{re.escape(t)})" for t in added if t)])  # any case: words are lower-cased before they are split
         self.spaced = kind == "bytes"
         self.feed = self._whole(["\n"])[0]
         self._forget()
@@ -133,7 +136,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (int32), and where each text's begin, with the end; a null is an empty text."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._split(texts)
         flat, at = self._split(texts.filter(pa.array(~odd)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quire.llm import common, packing, queries, token_files, tokens
 
@@ -20,20 +22,45 @@ ROWS = [(3, "b c\n\nd  e"), (1, None), (2, ""), (2, "same id"), (None, "no id"),
 
 def plain(kind, texts):
     name = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}[kind]
-    t = tokens.Encoder(tokens.vocabulary(name), kind).tokenizer
-    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    return [e.ids for e in library(name).encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+@functools.cache
+def library(name):
+    """The library as it comes, no switch set."""
+    return Tokenizer.from_file(tokens.vocabulary(name))
 
 
 ENCODERS = {}
 
 
+def test_added_tokens_in_a_text():
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b", "<|endoftext|>", "<|startoftext|> x", "<|ENDOFTEXT|> <|endof text|>", "<|endoftext|>\u0338", "plain words"]
+    for kind, name in (("bytes", "byte_bpe_50k.json"), ("words", "word_bpe_49k.json")):
+        flat, at = tokens.Encoder(tokens.vocabulary(name), kind).encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == plain(kind, texts)
+    assert plain("words", texts[:1]) == [[3306, 49407, 1002]] and plain("bytes", texts[:1]) == [[31373, 220, 50256, 995]]
+
+
+def test_queries_with_added_tokens(spark, tmp_path):
+    texts = {1: "hello <|endoftext|> world", 2: "a<|endoftext|>", 3: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    ids = {k: np.array(v + [1], "<u4") for k, v in zip(texts, plain("words", list(texts.values())), strict=True)}
+    assert {r.doc_id: r.ids_crc32 for r in queries.op2_token_files(spark, f"file://{tmp_path}").collect()} == {k: zlib.crc32(v.tobytes()) for k, v in ids.items()}
+    sums = {k: len(v) + 1 for k, v in zip(texts, plain("bytes", list(texts.values())), strict=True)}
+    assert {r.doc_id: r.doc_tokens for r in queries.op5_packing(spark, f"file://{tmp_path}").collect()} == sums
+
+
+PART = st.sampled_from([*"ab .,'\n\t\x1c é9ΣA\u0301\u3000\u00a0-<|", "<|endoftext|>"]) | st.characters(codec="utf-8")
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("ab .,'\n\t\x1c é9ΣA\u0301\u3000\u00a0-")) | st.characters(codec="utf-8"), max_size=40), max_size=6), st.sampled_from(["bytes", "words"]))
+@given(st.lists(st.lists(PART, max_size=40).map("".join), max_size=6), st.sampled_from(["bytes", "words"]))
 def test_encoder_equals_the_library(texts, kind):
     name = {"bytes": "byte_bpe_50k.json", "words": "word_bpe_49k.json"}[kind]
     e = ENCODERS.setdefault(kind, tokens.Encoder(tokens.vocabulary(name), kind))
     flat, at = e.encode(pa.array(texts, pa.string()))
-    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
+    want = plain(kind, texts) if texts else []
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
@@ -43,7 +70,7 @@ def test_memo_generations(monkeypatch):
     for i in range(30):
         text = f"word{i % 7} other.{i} " + "x" * 100
         flat, _ = e.encode(pa.array([text.strip()]))
-        assert flat.tolist() == e.tokenizer.encode(text.strip(), add_special_tokens=False).ids
+        assert flat.tolist() == library("byte_bpe_50k.json").encode(text.strip(), add_special_tokens=False).ids
         assert len(e.known) < 30
 
 
