@@ -8,11 +8,12 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.storage import materialize, shared_dir, shared_path
+from quire.storage import clear, drop, materialize, shared_dir, shared_path
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORKER_ENV", "gathered", "materialize", "parts", "prepare", "shared_dir", "shared_path", "slices"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "WORKER_ENV", "clear", "drop", "fresh", "gathered", "materialize", "parts", "prepare", "row_of", "shared_dir", "shared_path", "slices"]
 
 #: Rows and bytes of an Arrow batch handed to a Python worker; bounds the worker's memory.
 BATCH_ROWS = 4000
@@ -54,6 +55,22 @@ def gathered(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that no name of theirs meets another."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

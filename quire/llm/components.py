@@ -25,18 +25,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     size = ends.count()
     nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     star = common.materialize(common.gathered(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), size), "links")
-    state = None
     for _ in range(max_rounds):
-        star = common.materialize(common.gathered(_small_star(_large_star(star)), size), "links")
-        now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        if _settled(star):
             break
-        state = tuple(now)
+        star = common.materialize(common.gathered(_small_star(_large_star(star)), size), "links", instead=star)
     else:
         raise RuntimeError(f"components: no fixed point in {max_rounds} rounds")
     return nodes.join(star.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _settled(star: DataFrame) -> bool:
+    """Whether every link leads to a root: no node has two links down, and none that has one is linked to. Then each
+    component is a star around its smallest node, and further steps change nothing."""
+    ends = star.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.down").alias("down"), F.max("e.up").alias("up"))
+    return not nodes.where("down > 1 OR (down = 1 AND up = 1)").limit(1).count()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked to the node's smallest neighbour. Edges have u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

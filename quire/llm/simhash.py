@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,21 +34,24 @@ HELD = 500_000
 _RADIUS_BITS = 64
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (long, the 64 bits): a row per document, whole texts.
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (long, the 64 bits): a row per document, whole texts; then the columns ``keep`` of docs.
 
     A bit is 1 if set in over half of the XXH64 hashes of the word shingles (A-Z lower-cased, words cut at
     ASCII white space, repeats included; with fewer words the whole sequence is one shingle). A null, empty
-    or blank text has fingerprint 0.
+    or blank text has fingerprint 0. An empty table gives no rows; repeated rows and null ids are rows of their own.
     """
     common.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 1 << 20):
             found = [fingerprint(t, shingle, seed) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=["doc_id", "fingerprint"])
+            prints = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), prints, *[batch.column(c) for c in keep]], names=["doc_id", "fingerprint", *keep])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *keep)
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("fingerprint", T.LongType()), *[rows.schema[c] for c in keep]]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def fingerprint(text: str, shingle: int, seed: int) -> int:
@@ -216,9 +219,10 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     return _grouped(docs, radius, shingle, seed, id_col, text_col).drop("root")
 
 
-def _grouped(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """near_duplicates with root, the smallest fingerprint of the component, which no other component has."""
-    prints = common.materialize(fingerprints(docs, shingle, seed, id_col, text_col), "simhash-prints")
+def _grouped(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """near_duplicates with root, the smallest fingerprint of the component, which no other component has, and the
+    columns ``keep`` of docs."""
+    prints = common.materialize(fingerprints(docs, shingle, seed, id_col, text_col, keep), "simhash-prints")
     n = prints.count()
     classes = common.materialize(common.gathered(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), n), "simhash-classes")
     roots = components(near_links(classes.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
@@ -226,43 +230,19 @@ def _grouped(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42,
     lows = linked.groupBy("root").agg(F.min("low").alias("lowest"))
     best = linked.join(lows, "root").select("fingerprint", "root", "lowest")
     ids = classes.join(best, "fingerprint", "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"))
-    return prints.join(ids, "fingerprint").select("doc_id", "fingerprint", "root", "component_id")
+    return prints.join(ids, "fingerprint").select("doc_id", "fingerprint", "root", "component_id", *keep)
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, all columns as they were.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, all columns as they were, whatever their names and types.
 
     The row with the component's smallest doc_id stays (a null one only where all are null); of rows
-    that share that id and fingerprint, one.
+    that share that id, the one with the smallest fingerprint, and of equal ones the first. Rows are told
+    apart by their place in a written copy of ``docs``. An empty table gives no rows.
     """
-    found = _grouped(docs, **options)
-    n = docs.count()
-    found = common.materialize(common.gathered(found, n), "simhash-found")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = Window.partitionBy("root").orderBy("fingerprint")  # components may share an id, or have none
-    kept = kept.groupBy("root", "component_id", "fingerprint").agg(F.count("*").alias("copies")).withColumn("nth", F.row_number().over(one)).where("nth = 1")
-    kept = common.materialize(common.gathered(kept.select(F.col("component_id").alias("_id"), F.col("fingerprint").alias("_print"), "copies"), n), "simhash-kept")
-    id_col = options.get("id_col", "doc_id")
-    mixed = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count() > 0
-    stay = docs.join(kept.select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    if not mixed:
-        return stay
-    return _one_row_each(stay, kept, id_col, options)
-
-
-def _one_row_each(stay: DataFrame, kept: DataFrame, id_col: str, options: dict) -> DataFrame:
-    """Where ids repeat, rows are told apart by fingerprint, and copies by an order of their columns."""
-    text_col, names = options.get("text_col", "text"), stay.columns
-    order = Window.partitionBy("_id", "_print").orderBy(*[F.col(f"`{c}`") for c in names])
-    common.prepare(stay.sparkSession)
-    shingle, seed = options.get("shingle", 3), options.get("seed", 42)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index(text_col)
-            found = [fingerprint(t, shingle, seed) if t else 0 for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=[*batch.schema.names, "_own"])
-
-    marked = stay.mapInArrow(run, T.StructType([*stay.schema.fields, T.StructField("_own", T.LongType())]))
-    own = marked.join(kept.select("_id", "_print"), marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_print")))
-    return own.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*names)
+    copy = common.materialize(docs.select(common.row_of(docs).alias("row"), F.monotonically_increasing_id().alias("at")), "simhash-rows")
+    narrow = copy.select(F.col("row").getField(id_col).alias("doc_id"), F.col("row").getField(text_col).alias("text"), "at")
+    found = _grouped(narrow, keep=("at",), **options)
+    first = F.min_by("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint", "at"))
+    kept = common.materialize(common.gathered(found.groupBy("root").agg(first.alias("at")).select("at"), copy.count()), "simhash-kept")
+    return copy.join(kept, "at", "left_semi").select("row.*")

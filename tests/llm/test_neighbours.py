@@ -97,6 +97,15 @@ def test_representatives_of_groups_that_share_an_id(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", "a b c d"), ("3", b), ("None", "q r s t"), ("None", "one two three four"), ("None", "u v w x y z")])
 
 
+def test_representatives_keep_all_columns(spark):
+    rows = [(1, "a b c d", "x", {"k": 1}, 7), (2, "a b c d", "y", {}, 8), (2, "a b c d", "y", None, 8), (2, "other text here", "z", {"m": 2}, 9), (2, "other text here", "z", {"m": 3}, 9)]
+    schema = "doc_id long, text string, _id string, `a.b` map<string,int>, at int"
+    kept = simhash.representatives(spark.createDataFrame(rows, schema))
+    assert kept.columns == ["doc_id", "text", "_id", "a.b", "at"]
+    got = sorted(map(tuple, kept.collect()), key=lambda r: r[1])
+    assert got[0] == rows[0] and len(got) == 2 and got[1] in rows[3:]
+
+
 def test_simhash_query(spark, data):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.fingerprint, r.component_id) for r in queries.op6_simhash(spark, data).collect())
