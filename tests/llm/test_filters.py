@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -124,6 +127,56 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_beyond_one_matrix(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("lang", F.concat("lang", (F.col("doc_id") % 3).cast("string")))
+    whole, cut = langid.train(docs, ~langid.held_out()), langid.train(docs, ~langid.held_out(), group=5)
+    assert len(whole.langs) > 10 and len(list(cut.parts())) == -(-len(whole.langs) // 5)
+    names = ("l", "s")
+    a, b = ({r.doc_id: (r.l, round(r.s, 9)) for r in langid.predict(docs, m, "text", *names).collect()} for m in (whole, cut))
+    assert a == b and len({v[0] for v in a.values()}) > 4
+
+
+def plain_predictions(rows):
+    """Multinomial naive Bayes over dictionaries of hashed character n-grams, in plain Python."""
+    mask, size = (1 << 32) - 1, 1 << langid.BUCKET_BITS
+
+    def buckets(text):
+        points = [0, 0, *map(ord, text.lower()), 0, 0]
+        for i in range(len(points) - 2):
+            h = 0x2545F491
+            for order in range(3):
+                h = ((h ^ (points[i + order] * 0x9E3779B1 & mask)) * 0x85EBCA6B) & mask
+                h ^= h >> 13
+                yield h >> (32 - langid.BUCKET_BITS)
+
+    counts, docs = {}, {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r["lang"] is not None and r.text is not None:
+            own = counts.setdefault(r["lang"], collections.Counter())
+            own.update(buckets(r.text))
+            docs[r["lang"]] = docs.get(r["lang"], 0) + 1
+    out = {}
+    for r in rows:
+        grams = collections.Counter(buckets(r.text or ""))
+        line, scaled = {}, {}
+        for k in sorted(counts):
+            under = sum(counts[k].values()) + langid.SMOOTHING * size
+            prior, total = math.log(docs[k] / sum(docs.values())), sum(n * math.log((counts[k][b] + langid.SMOOTHING) / under) for b, n in grams.items())
+            line[k], scaled[k] = prior + total, prior + total * min(1.0, langid.EVIDENCE / sum(grams.values()))
+        best = max(sorted(line), key=line.get)
+        blank = not any(map(str.isalpha, r.text or ""))
+        out[r.doc_id] = (zlib.crc32(str(r.doc_id).encode()) % 4 == 2, "und" if blank else best, 0.0 if blank else 1 / sum(math.exp(v - scaled[best]) for v in scaled.values()))
+    return out
+
+
+def test_language_query_against_plain_python(spark, data):
+    want = plain_predictions(spark.read.parquet(f"{data}/documents.parquet").collect())
+    got = queries.op9_language_id(spark, data).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.held_out, r.lang_pred) == want[r.doc_id][:2] and abs(r.score - want[r.doc_id][2]) < 1e-9
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.train(secrets.labelled_findings(spark))
