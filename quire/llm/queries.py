@@ -48,7 +48,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.Mix(table(spark, sf_dir, "documents")).decisions()
+    docs = table(spark, sf_dir, "documents")
+    return mixing.Mix(docs, weight=mixing.length_weight(F.col("text")), whole=False).decisions()
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import re
 
 import duckdb
@@ -71,6 +72,43 @@ def test_mix_edges(spark):
     assert mixing.Mix(spark.createDataFrame([], DOCS)).documents().count() == 0
     same = run(mixing.Mix(spark.createDataFrame([(7, "a b c d", "s", 0)] * 400, DOCS)))
     assert sum(r["taken"] for r in same) == 2400
+    assert len({r["copies"] for r in same}) == 2
+
+
+def test_repeated_ids_have_numbers_of_their_own(spark):
+    rows = [(None, f"w{i % 50} x", "a", 0) for i in range(600)] + [(8, "q r s", "a", 0)] * 300 + [(i, "one", "b", 0) for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mix, again = mixing.Mix(docs), mixing.Mix(docs.repartition(5))
+    assert mix.rows.select("_u").distinct().count() == len(rows)
+    assert sorted(r._u for r in mix.rows.collect()) == sorted(r._u for r in again.rows.collect())
+    assert sum(r["taken"] for r in run(mix)) == pytest.approx(1.5 * (1200 + 900 + 100), abs=5)
+
+
+def test_inclusions_over_many_seeds(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(rng.choice([1, 3, 7, 15, 40])), "ab"[i % 2], 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    total, members = collections.Counter(), collections.Counter()
+    n = 6
+    for k in range(n):
+        for r in run(mixing.Mix(docs, seed=f"s{k}", weight=mixing.length_weight(F.col("text")), whole=False)):
+            assert r["copies"] in (int(r["expected"]), int(r["expected"]) + 1) and r["taken"] <= 2 * r["size"]
+            total[r["expected"]] += r["copies"]
+            members[r["expected"]] += 1
+    assert len(total) >= 5
+    for e, copies in total.items():
+        part = e - int(e)
+        assert abs(copies / members[e] - e) < 0.02 + 4 * (part * (1 - part) / members[e]) ** 0.5
+
+
+def test_certain_copies_are_handed_on(spark):
+    rows = [(i, "w " * 10, "a", 1) for i in range(30)] + [(100 + i, "w " * 100, "b", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = run(mixing.Mix(docs, weights=(1, 3), share=1.0, weight=F.when(F.col("doc_id") % 10 == 0, 50).otherwise(1)))
+    b = [r for r in got if r["doc_id"] >= 100]
+    target = b[0]["target"]
+    assert sum(r["expected"] * r["size"] for r in b) == pytest.approx(target)
+    assert all(r["copies"] == 2 for r in b if r["doc_id"] % 10 == 0) and len({r["expected"] for r in b}) == 2
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
