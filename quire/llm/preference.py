@@ -65,37 +65,53 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     return tails.select("pair_id", "n_prompt_turns", render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"), render(F.col("r")).alias("rejected"), trained_spans(F.col("c")).alias("chosen_spans"), trained_spans(F.col("r")).alias("rejected_spans"))
 
 
-def swapped_replies(turns: DataFrame) -> DataFrame:
-    """pair_id, chosen, rejected for every conversation that ends in, or is cut after, an assistant turn.
-
-    chosen: the conversation up to its last assistant turn. rejected: the same with that turn's text taken
-    from the neighbour's (conv_id with its lowest bit flipped) last assistant turn. Conversations without an
-    assistant turn, or whose neighbour has none, make no pair.
+def divergent_pairs(turns: DataFrame, partner: Column | None = None) -> DataFrame:
+    """pair_id, chosen, rejected for every conversation with an assistant turn; turns are grouped by one shuffle.
+
+    ``partner``: what a conversation shares with the one that it is paired with; conversations are paired with the next
+    of theirs, the last with the first. If left out, whole-number ids are paired as 2 k with 2 k + 1, and others stay
+    alone. chosen: the conversation up to its last assistant turn. rejected: its opening, half as many turns as the
+    shorter of the two has, then the partner's turns after as many of its own, up to its last assistant turn.
+    A conversation that is alone is rejected after its opening, with nothing that follows.
+    Null ids, and conversations without an assistant turn, make no pair and are no partner. An empty table gives no rows;
+    repeated turns are turns of their own; null roles and texts stay.
     """
-    convs = conversations(turns)
-    last = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: F.coalesce(t["role"] == TRAINED_ROLE, F.lit(False))), True).cast("int") + 1
-    ended = convs.withColumn("last", last).where(F.col("last") <= F.size("turns"))
-    chosen = ended.select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("chosen"))
-    replies = chosen.select(F.expr("conv_id ^ 1").alias("conv_id"), F.element_at("chosen", -1).alias("reply"))
-    pairs = chosen.join(replies, "conv_id")
-    return pairs.select(F.col("conv_id").alias("pair_id"), "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array("reply")).alias("rejected"))
+    whole = dict(turns.dtypes)["conv_id"] in ("bigint", "int", "smallint", "tinyint")
+    key = partner if partner is not None else F.shiftright("conv_id", 1) if whole else F.col("conv_id")
+    line = F.struct("conv_id", "turn", "role", "text")
+    groups = turns.where(F.col("conv_id").isNotNull()).groupBy(key.alias("k")).agg(F.sort_array(F.collect_list(line)).alias("t"))
+    ids = F.array_distinct(F.transform("t", lambda x: x["conv_id"]))
+
+    def upto_last_reply(own: Column) -> Column:
+        last = F.array_max(F.transform(own, lambda x, i: F.when(x["role"] == TRAINED_ROLE, i + 1).otherwise(0)))
+        return F.transform(F.slice(own, F.lit(1), F.coalesce(last, F.lit(0))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+
+    sides = F.transform(ids, lambda c: F.struct(c.alias("conv_id"), upto_last_reply(F.filter("t", lambda x: x["conv_id"] == c)).alias("turns")))
+    held = groups.select(F.filter(sides, lambda s: F.size(s["turns"]) > 0).alias("s"))
+    each = held.select("s", F.posexplode("s").alias("nth", "own"))
+    other = F.when(F.size("s") > 1, F.get("s", F.pmod(F.col("nth") + 1, F.size("s")))["turns"])
+    paired = each.select(F.col("own.conv_id").alias("pair_id"), F.col("own.turns").alias("chosen"), other.alias("other"))
+    opening = F.floor(F.least(F.size("chosen"), F.when(F.col("other").isNotNull(), F.size("other"))) / 2).cast("int")
+    tail = F.coalesce(F.slice("other", F.col("n") + 1, F.greatest(F.size("other"), F.lit(1))), F.slice("chosen", 1, 0))
+    return paired.withColumn("n", opening).select("pair_id", "chosen", F.concat(F.slice("chosen", F.lit(1), F.col("n")), tail).alias("rejected"))
 
 
 def oracle_sql() -> str:
-    head, tail = len(OPEN) + len(MIDDLE), len(CLOSE)
     nl = "chr(10)"
-    turn = lambda role, text: f"'{OPEN}' || coalesce({role}, 'unknown') || '|>' || {nl} || coalesce({text}, '') || '<|end|>' || {nl}"
+    text = f"'{OPEN}' || coalesce(role, 'unknown') || '|>' || {nl} || coalesce(text, '') || '<|end|>' || {nl}"
+    head = f"{len(OPEN) + len(MIDDLE)} + length(coalesce(role, 'unknown'))"
+    side = lambda s: f"coalesce((SELECT string_agg(r, '' ORDER BY pos) FROM ends e WHERE e.pair_id = a.conv_id AND side = '{s}' AND pos > k), '')"
+    spans = lambda s: f"coalesce((SELECT string_agg(CAST(upto - n + head AS VARCHAR) || '-' || CAST(upto AS VARCHAR), ';' ORDER BY pos) FROM ends e WHERE e.pair_id = a.conv_id AND side = '{s}' AND pos > k AND role = '{TRAINED_ROLE}'), '')"
     return f"""
 WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations WHERE conv_id IS NOT NULL),
 cuts AS (SELECT conv_id, max(pos) AS n FROM t WHERE role = '{TRAINED_ROLE}' GROUP BY conv_id),
-chosen AS (SELECT t.* FROM t JOIN cuts c ON t.conv_id = c.conv_id AND t.pos <= c.n),
-replies AS (SELECT xor(c.conv_id, 1) AS conv_id, t.role, t.text FROM cuts c JOIN t ON t.conv_id = c.conv_id AND t.pos = c.n),
-pairs AS (SELECT c.conv_id, c.n, r.role AS r_role, r.text AS r_text, t.role AS c_role, t.text AS c_text FROM cuts c JOIN replies r ON r.conv_id = c.conv_id JOIN t ON t.conv_id = c.conv_id AND t.pos = c.n),
-plens AS (SELECT *, CASE WHEN c_role IS NOT DISTINCT FROM r_role AND c_text IS NOT DISTINCT FROM r_text THEN n ELSE n - 1 END AS k FROM pairs)
-SELECT p.conv_id AS pair_id, CAST(p.k AS INTEGER) AS n_prompt_turns,
-  coalesce((SELECT string_agg({turn('t.role', 't.text')}, '' ORDER BY t.pos) FROM t WHERE t.conv_id = p.conv_id AND t.pos <= p.k), '') AS prompt,
-  CASE WHEN p.k < p.n THEN {turn('p.c_role', 'p.c_text')} ELSE '' END AS chosen,
-  CASE WHEN p.k < p.n THEN {turn('p.r_role', 'p.r_text')} ELSE '' END AS rejected,
-  CASE WHEN p.k < p.n THEN CAST({head} + length(p.c_role) AS VARCHAR) || '-' || CAST({head + tail} + length(p.c_role) + length(coalesce(p.c_text, '')) AS VARCHAR) ELSE '' END AS chosen_spans,
-  CASE WHEN p.k < p.n THEN CAST({head} + length(p.r_role) AS VARCHAR) || '-' || CAST({head + tail} + length(p.r_role) + length(coalesce(p.r_text, '')) AS VARCHAR) ELSE '' END AS rejected_spans
-FROM plens p"""
+both_ AS (SELECT a.conv_id, a.n, b.conv_id AS other, b.n AS m, least(a.n, coalesce(b.n, a.n)) // 2 AS opening FROM cuts a LEFT JOIN cuts b ON b.conv_id = xor(a.conv_id, 1)),
+turns AS (SELECT b.conv_id AS pair_id, 'c' AS side, t.pos, t.role, t.text FROM both_ b JOIN t ON t.conv_id = b.conv_id AND t.pos <= b.n
+  UNION ALL SELECT b.conv_id, 'r', t.pos, t.role, t.text FROM both_ b JOIN t ON (t.conv_id = b.conv_id AND t.pos <= b.opening) OR (t.conv_id = b.other AND t.pos > b.opening AND t.pos <= b.m)),
+apart AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(coalesce(c.pos, r.pos)) AS first FROM (SELECT * FROM turns WHERE side = 'c') c FULL JOIN (SELECT * FROM turns WHERE side = 'r') r ON r.pair_id = c.pair_id AND r.pos = c.pos
+  WHERE c.pos IS NULL OR r.pos IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY 1),
+prefix AS (SELECT b.conv_id, coalesce(p.first - 1, b.n) AS k FROM both_ b LEFT JOIN apart p ON p.pair_id = b.conv_id),
+written AS (SELECT u.*, {text} AS r, {head} AS head FROM turns u),
+ends AS (SELECT w.*, p.k, length(r) AS n, sum(length(r)) OVER (PARTITION BY w.pair_id, side, pos > p.k ORDER BY pos) AS upto FROM written w JOIN prefix p ON p.conv_id = w.pair_id)
+SELECT a.conv_id AS pair_id, CAST(k AS INTEGER) AS n_prompt_turns, coalesce((SELECT string_agg(r, '' ORDER BY pos) FROM ends e WHERE e.pair_id = a.conv_id AND side = 'c' AND pos <= a.k), '') AS prompt,
+  {side('c')} AS chosen, {side('r')} AS rejected, {spans('c')} AS chosen_spans, {spans('r')} AS rejected_spans FROM prefix a"""

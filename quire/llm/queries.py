@@ -57,7 +57,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference.format_pairs(preference.swapped_replies(table(spark, sf_dir, "conversations")))
+    pairs = preference.format_pairs(preference.divergent_pairs(table(spark, sf_dir, "conversations")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ";").alias(c)
     return pairs.withColumns({"chosen_spans": spans("chosen_spans"), "rejected_spans": spans("rejected_spans")})
 

@@ -3,22 +3,24 @@
 Links between hosts are counted from the pages' markup. Trust is a personalised PageRank from hosts with
 allowed pages along the links; distrust one from hosts with blocked pages against them. Both are sparse
 power iterations over (kind, from, to, share) rows: a join and a partial aggregation each, written to the
-shared folder as they go. A host is blocked by the method if its distrust is at least ``min_distrust``
+shared folder as they go, until what still moves is below the tolerance. What reaches a host without a way
+onward returns to the seeds. A host is blocked by the method if its distrust is at least ``min_distrust``
 times an even share and above its trust.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import common
 
-DAMPING, ROUNDS, TOLERANCE, MIN_DISTRUST = 0.85, 20, 1e-6, 0.5
+DAMPING, TOLERANCE, MIN_DISTRUST = 0.85, 1e-7, 0.5
 #: Rounds between two writes of the ranks.
-WRITE_EVERY = 2
+WRITE_EVERY = 8
 #: Rules up to which they are one expression, hosts up to which their verdicts are sent to every executor.
 EXPRESSION_RULES, BROADCAST_HOSTS = 200, 200_000
 LINK = "(?i)href\\s*=\\s*[\"']?\\s*(?:https?:)?//([^/?#\"'\\s>]+)"
@@ -86,36 +88,45 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return links.where("source <> target AND target <> ''").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rounds_to(tolerance: float, damping: float) -> int:
+    """Steps after which all later ones together hold less than ``tolerance`` of the ranks' sum: a step holds at most
+    ``damping`` times the one before."""
+    return math.ceil(math.log(tolerance * (1 - damping)) / math.log(damping))
+
+
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """kind ("trust" or "distrust"), host, rank from links (source, target, n) and seeds (kind, host, seed).
 
-    Seeds are scaled to sum to 1 per kind; r = (1 - damping) * seed + damping * (what flows in), from zero-length
-    walks on. Trust flows from source to target in proportion to the source's links, distrust from target to
-    source in proportion to the target's. Hosts without a way onward pass nothing on. Stops after ``rounds``,
-    or once no rank of a round moved the sum of all by ``tolerance``.
+    The ranks of a kind are the stationary shares of a walk that begins at a seed in proportion to its number, goes on
+    along a link with probability ``damping`` and starts anew otherwise, also from a host without a way onward. Trust
+    flows from source to target in proportion to the source's links, distrust from target to source in proportion to
+    the target's. Ranks of a kind sum to 1 and are right to ``tolerance`` of it: a round follows the walks one step
+    further, and the rounds end once the steps to come can't hold more. Starting anew from an end without a link
+    scales all ranks of the kind alike, so it is done by dividing by their sum. Without seeds there are no rows.
     """
     ends = links.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("source").alias("u"), F.col("target").alias("v"), "n"), F.struct(F.lit("distrust").alias("kind"), F.col("target").alias("u"), F.col("source").alias("v"), "n"))).alias("e")).select("e.*")
     totals = ends.groupBy("kind", "u").agg(F.sum("n").alias("all"))
     edges = common.materialize(ends.join(totals, ["kind", "u"]).select("kind", "u", "v", (F.col("n") / F.col("all")).alias("share")), "url-edges")
-    total = F.sum("seed").over(Window.partitionBy("kind"))
-    base = common.materialize(seeds.select("kind", "host", ((1 - damping) * F.col("seed") / total).alias("rank")), "url-seeds")
-    if not edges.limit(1).count():
-        return base
+    sums = F.broadcast(seeds.groupBy("kind").agg(F.sum("seed").alias("total")))  # two rows
+    base = common.materialize(seeds.join(sums, "kind").select("kind", "host", ((1 - damping) * F.col("seed") / F.col("total")).alias("rank")), "url-seeds")
     ranks = flow = base
+    rounds = rounds_to(tolerance, damping) if edges.limit(1).count() else 0
     for i in range(rounds):
         # what entered one step ago goes one step further; ranks are the sums of all steps
         flow = flow.withColumnRenamed("host", "u").join(edges, ["kind", "u"]).groupBy("kind", F.col("v").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
         ranks = ranks.unionByName(flow)
         if i % WRITE_EVERY == WRITE_EVERY - 1 or i == rounds - 1:
+            # the steps since the last write lie in the plan, each made from the one before
             flow = common.materialize(flow, "url-flow")
             ranks = common.materialize(ranks.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "url-ranks")
-            moved = flow.agg(F.sum("rank")).first()[0] or 0.0
-            if moved < tolerance:
+            left = flow.groupBy("kind").agg(F.sum("rank").alias("left")).collect()  # two rows
+            if all(r["left"] * damping / (1 - damping) < tolerance * (1 - damping) for r in left):
                 break
-    return ranks
+    scale = F.broadcast(ranks.groupBy("kind").agg(F.sum("rank").alias("total")))  # two rows
+    return ranks.join(scale, "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, min_distrust: float = MIN_DISTRUST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, min_distrust: float = MIN_DISTRUST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row per page.
 
     The verdict is the rule's where one fits, else the method's for the host. Trust and distrust are in even
@@ -129,7 +140,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     kind = F.when(F.col("rule_verdict") == "allow", "trust").otherwise("distrust")
     seeds = ruled.where("rule_verdict IS NOT NULL AND host <> ''").groupBy(kind.alias("kind"), "host").agg(F.count("*").alias("seed"))
     n = ruled.where("host <> ''").agg(F.count_distinct("host")).first()[0]
-    ranks = propagate(links, seeds, damping, rounds)
+    ranks = propagate(links, seeds, damping, tolerance)
     value = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)) * n
     hosts = common.materialize(ranks.groupBy("host").agg(value("trust").alias("trust"), value("distrust").alias("distrust")), "url-hosts")
     if hosts.count() <= BROADCAST_HOSTS:
@@ -140,13 +151,12 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DA
     return joined.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), F.round(trust, 6).alias("trust"), F.round(distrust, 6).alias("distrust"))
 
 
-def oracle_sql(rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, min_distrust: float = MIN_DISTRUST) -> str:
-    """The same in DuckDB: a table expression for each round. Trust and distrust are rounded to six places."""
+def oracle_sql(rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE, min_distrust: float = MIN_DISTRUST) -> str:
+    """The same in DuckDB: a walk of as many steps, one a recursion. Trust and distrust are rounded to six places."""
     listed = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in rules)
-    steps = ",\n".join(f"f{i + 1} AS (SELECT f.kind, e.v AS host, {damping}::DOUBLE * sum(f.rank * e.share) AS rank FROM f{i} f JOIN e ON e.kind = f.kind AND e.u = f.host GROUP BY ALL)" for i in range(rounds))
-    every = " UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(rounds + 1))
+    steps = rounds_to(tolerance, damping)
     return f"""
-WITH p AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH RECURSIVE p AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS nr FROM pages),
 rules(rule_host, rule_path, says) AS (VALUES {listed}),
 fits AS (SELECT p.nr, arg_min(rule_host || rule_path, (-length(rule_host || rule_path), rule_host || rule_path)) AS rule, arg_min(says, (-length(rule_host || rule_path), rule_host || rule_path)) AS says
@@ -157,9 +167,9 @@ n AS (SELECT source, target, count(*) AS n FROM t WHERE source <> target AND tar
 ends AS (SELECT 'trust' AS kind, source AS u, target AS v, n FROM n UNION ALL SELECT 'distrust', target, source, n FROM n),
 e AS (SELECT kind, u, v, n::DOUBLE / sum(n) OVER (PARTITION BY kind, u) AS share FROM ends),
 seeds AS (SELECT CASE WHEN says = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS seed FROM ruled WHERE says IS NOT NULL AND host <> '' GROUP BY ALL),
-f0 AS (SELECT kind, host, {1 - damping}::DOUBLE * seed / sum(seed) OVER (PARTITION BY kind) AS rank FROM seeds),
-{steps},
-ranks AS ({every}),
+f(step, kind, host, rank) AS (SELECT 0, kind, host, {1 - damping}::DOUBLE * seed / sum(seed) OVER (PARTITION BY kind) FROM seeds
+  UNION ALL SELECT any_value(f.step) + 1, f.kind, e.v, {damping}::DOUBLE * sum(f.rank * e.share) FROM f JOIN e ON e.kind = f.kind AND e.u = f.host WHERE f.step < {steps} GROUP BY f.kind, e.v),
+ranks AS (SELECT kind, host, sum(rank) / sum(sum(rank)) OVER (PARTITION BY kind) AS rank FROM f GROUP BY kind, host),
 hosts AS (SELECT host, coalesce(sum(rank) FILTER (WHERE kind = 'trust'), 0) * (SELECT count(DISTINCT host) FROM p WHERE host <> '') AS trust,
   coalesce(sum(rank) FILTER (WHERE kind = 'distrust'), 0) * (SELECT count(DISTINCT host) FROM p WHERE host <> '') AS distrust FROM ranks GROUP BY host)
 SELECT page_id, r.host, path, rule, coalesce(says, CASE WHEN coalesce(distrust, 0) >= {min_distrust}::DOUBLE AND coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,

@@ -51,36 +51,41 @@ def test_many_rules_agree_with_few(spark):
     assert got == {i: reference_rule(u, more)[2:] for i, u, _, _ in rows}
 
 
-def dense_ranks(links, seeds, damping, rounds):
+def dense_ranks(links, seeds, damping):
+    """Personalised PageRank run to convergence; a host without a way onward goes back to the seeds."""
     hosts = sorted({h for e in links for h in e[:2]} | {h for _, h, _ in seeds})
     at = {h: i for i, h in enumerate(hosts)}
     out = {}
     for kind in ("trust", "distrust"):
+        s = np.zeros(len(hosts))
+        for k, h, n in seeds:
+            s[at[h]] += n if k == kind else 0
+        s = s / s.sum()
         p = np.zeros((len(hosts), len(hosts)))
         for u, v, n in links:
             a, b = (u, v) if kind == "trust" else (v, u)
             p[at[a], at[b]] += n
-        p = np.divide(p, p.sum(axis=1, keepdims=True), where=p.sum(axis=1, keepdims=True) > 0, out=np.zeros_like(p))
-        s = np.zeros(len(hosts))
-        for k, h, n in seeds:
-            s[at[h]] += n if k == kind else 0
-        s = s / s.sum() if s.sum() else s
-        r = (1 - damping) * s
-        for _ in range(rounds):
+        none = p.sum(axis=1) == 0
+        p[none] = s
+        p /= p.sum(axis=1, keepdims=True)
+        r = s
+        for _ in range(3000):
             r = (1 - damping) * s + damping * (r @ p)
-        out |= {(kind, h): r[at[h]] for h in hosts if r[at[h]] > 0}
+        assert abs(r.sum() - 1) < 1e-9
+        out |= {(kind, h): r[at[h]] for h in hosts if r[at[h]] > 1e-15}
     return out
 
 
-def test_propagation_against_dense_iteration(spark):
+def test_propagation_against_dense_pagerank(spark):
     rng = np.random.default_rng(1)
-    links = [(f"h{a}", f"h{b}", int(n)) for a in range(12) for b, n in zip(rng.permutation(12)[:3], rng.integers(1, 5, 3), strict=True) if a != b]
-    seeds = [("trust", "h0", 3), ("trust", "h1", 1), ("distrust", "h2", 2)]
-    got = url_filter.propagate(spark.createDataFrame(links, "source string, target string, n long"), spark.createDataFrame(seeds, "kind string, host string, seed long"), rounds=15, tolerance=0.0)
+    links = [(f"h{a}", f"h{b}", int(n)) for a in range(12) for b, n in zip(rng.permutation(12)[:3], rng.integers(1, 5, 3), strict=True) if a != b and a not in (3, 7)]
+    links += [("h1", "end", 2), ("start", "h2", 1), ("x", "y", 1), ("y", "x", 3), ("h0", "x", 1)]
+    seeds = [("trust", "h0", 3), ("trust", "h1", 1), ("trust", "lonely", 1), ("distrust", "h2", 2), ("distrust", "h7", 1)]
+    got = url_filter.propagate(spark.createDataFrame(links, "source string, target string, n long"), spark.createDataFrame(seeds, "kind string, host string, seed long"))
     found = {(r.kind, r["host"]): r["rank"] for r in got.collect()}
-    want = dense_ranks(links, seeds, 0.85, 15)
+    want = dense_ranks(links, seeds, 0.85)
     assert found.keys() == want.keys()
-    assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert all(abs(found[k] - want[k]) < 1e-6 for k in want)
 
 
 def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
@@ -269,13 +274,40 @@ def test_preference_prefix_render_and_spans(spark):
             assert trained == "".join(m + "<|end|>\n" for m in re.findall(r"<\|assistant\|>\n(.*?)<\|end\|>\n", text, re.S))
 
 
-def test_preference_query_keeps_edges(spark):
-    rows = [(0, 0, "user", "hi", 1), (0, 1, "assistant", "a", 1), (1, 0, "user", "hi", 1), (1, 1, "assistant", "b", 1), (1, 2, "user", "end", 1), (2, 0, "assistant", "solo", 1), (None, 0, "assistant", "z", 1), (4, 0, "user", None, 1), (4, 1, "assistant", None, 1), (5, 0, "assistant", "w" * 100000, 1)]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pair_id int")
-    got = {r.pair_id: r for r in preference.format_pairs(preference.swapped_replies(turns)).collect()}
-    assert sorted(got) == [0, 1, 4, 5]
-    assert got[1].rejected == "<|assistant|>\na<|end|>\n" and got[1].n_prompt_turns == 1
-    assert preference.swapped_replies(turns.limit(0)).count() == 0
+def plain_pairs(rows):
+    convs = {}
+    for c, n, role, text in rows:
+        if c is not None:
+            convs.setdefault(c, []).append((n, role, text))
+    cut = {}
+    for c, t in convs.items():
+        t = [x[1:] for x in sorted(t, key=lambda x: [(v is not None, v) for v in x])]
+        last = max((i + 1 for i, (role, _) in enumerate(t) if role == "assistant"), default=0)
+        if last:
+            cut[c] = t[:last]
+    out = {}
+    for c, own in cut.items():
+        other = cut.get(c ^ 1)
+        n = min(len(own), len(other or own)) // 2
+        out[c] = (own, own[:n] + (other or [])[n:])
+    return out
+
+
+def test_divergent_pairs_against_plain_python(spark, data):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "b"), (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "end"), (2, 0, "assistant", "solo"), (None, 0, "assistant", "z"), (4, 0, "user", None), (4, 1, "assistant", None), (4, 1, "assistant", None), (5, 0, None, "q"), (5, 1, "assistant", "w" * 100000), (6, 0, "user", "alone"), (7, 0, "user", "x"), (7, 1, "assistant", "y")]
+    rows += [(100 + r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{data}/conversations.parquet").collect()]
+    turns = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, pair_id int, k int")
+    pairs = preference.divergent_pairs(turns)
+    got = {r.pair_id: ([tuple(x) for x in r.chosen], [tuple(x) for x in r.rejected]) for r in pairs.collect()}
+    assert got == plain_pairs(rows) and 2 in got and 6 not in got
+    formatted = {r.pair_id: r for r in preference.format_pairs(pairs).collect()}
+    assert formatted[0].n_prompt_turns == 2 and formatted[0].rejected == "" and formatted[0].chosen.count("<|end|>") == 2
+    for k, (c, r) in got.items():
+        assert formatted[k].n_prompt_turns == next((i for i, (x, y) in enumerate(zip(c, r, strict=False)) if x != y), min(len(c), len(r)))
+    assert preference.divergent_pairs(turns.limit(0)).count() == 0
+    named = turns.withColumn("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    assert preference.divergent_pairs(named).count() == len(got)
+    assert preference.divergent_pairs(named, F.lit(1)).where(F.size("rejected") > 1).count() > 1
 
 
 def test_language_query_runs(spark, data):
