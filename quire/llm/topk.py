@@ -1,19 +1,20 @@
 """Exact top-k by inner product from an impact-ordered index, score at a time.
 
-Vectors are dealt into shards. A shard keeps, per dimension, two posting lists of its vectors: by rising and
-by falling component, cut into segments of equal quantised impact. For a query the lists that raise its score
-are chosen by the sign of each of its components and measured from the list's own floor, so every impact is at
-least zero. Segments are processed over all lists by descending quantised impact times the query's weight; after
-each round of them the k-th best sum found so far is a lower bound for the result, and a sum plus what the
-unprocessed segments can still add is an upper bound for its vector. Processing goes on until few vectors can
-still be members, never longer than all segments; all possible members are then scored exactly.
-
-Queries go over the index in blocks of bounded size, so neither side is ever held whole.
+Vectors are dealt into shards. A shard keeps, per dimension, one posting list of its vectors by quantised component,
+cut into segments of equal component; read from the top it is the list for a positive query component, from the bottom
+for a negative one. The index is built once and written; queries, in blocks of bounded size, are joined with its shards
+in one stage.
+
+For a query the segments of all lists are processed by descending impact: the most that a vector of the segment can add
+to the score. A vector gets at most the next impact, and at least a list's lowest, from each list where it hasn't been
+met. The k-th best lower bound then proves which vectors can't be members. Processing stops once scoring all possible members exactly is less work than the
+next round of segments; it never depends on how large a shard is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,67 +23,116 @@ from pyspark.sql import functions as F
 
 from quire.llm import common
 
-#: Vectors of a shard, queries of a block, quantised impacts of a list.
-SHARD_ROWS, QUERY_BLOCK, LEVELS = 32768, 4096, 32
-#: Possible members at which processing stops, in multiples of k, and segments between two looks at them.
-FEW, LOOK = 100, 256
+#: Components of a shard, queries of a block, quantised components of a list, rounds in which a query's segments are processed.
+SHARD_CELLS, QUERY_BLOCK, LEVELS, ROUNDS = 1 << 21, 1024, 256, 16
+_INDEX = "dims int, shard int, width int, ids binary, xs binary, order binary, begins binary, low binary, step binary"
 
 
+@dataclass
+class Stops:
+    """How searches ended: their number, those that left segments unprocessed, postings met and in all, rows scored exactly."""
+
+    searches: int = 0
+    early: int = 0
+    met: int = 0
+    postings: int = 0
+    rescored: int = 0
+
+
+@dataclass
 class ShardIndex:
-    """The posting lists of one shard."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.levels = ids[order], x[order], levels
-        self.low, self.high = self.x.min(axis=0), self.x.max(axis=0)
-        self.step = np.maximum(1, -(-(self.high - self.low + 1) // levels))
-        # quantised impact of each component above the list's floor; for falling lists below its ceiling
-        self.up = self._lists((self.x - self.low) // self.step)
-        self.down = self._lists((self.high - self.x) // self.step)
-
-    def _lists(self, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows by descending impact in each dimension, and where the segment of each impact begins (highest first)."""
-        rows = np.argsort(-impact, axis=0, kind="stable").T.copy()
-        counts = np.stack([np.bincount(c, minlength=self.levels) for c in impact.T])[:, ::-1]
-        return rows, np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
-
-    def search(self, query: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact scores of every possible member of the k best for a query (the row ``skip`` left out)."""
-        n = len(self.ids)
-        weight = np.abs(query)
-        dims = np.flatnonzero(weight)
-        # segments of all lists by descending impact x weight: level l of a list holds impacts [l, l + 1) * step
-        level = np.arange(self.levels - 1, -1, -1)
-        gain = (weight[dims] * self.step[dims])[:, None] * level[None, :]
-        most = np.minimum((level[None, :] + 1) * self.step[dims][:, None] - 1, (self.high - self.low)[dims][:, None]) * weight[dims][:, None]
-        order = np.argsort(-gain, axis=None, kind="stable")
-        left = most[:, 0].copy()  # what each list can still add to a vector not met in it
-        sums = np.zeros(n, np.int64)
-        if skip is not None:
-            sums[skip] = -(1 << 60)
-        few, rest = FEW * k, None
-        for done, s in enumerate(order.tolist(), 1):
-            d, c = divmod(s, self.levels)
-            dim = dims[d]
-            rows, begins = self.up if query[dim] > 0 else self.down
-            segment = rows[dim, begins[dim, c] : begins[dim, c + 1]]
-            if len(segment):
-                sums[segment] += gain[d, c]
-            left[d] = most[d, c + 1] if c + 1 < self.levels else 0
-            # a vector met in a segment may still hold up to a step less one above its quantised impact
-            if done % LOOK == 0 and n > few:
-                slack = int((weight[dims] * (self.step[dims] - 1)).sum())
-                kth = np.partition(sums, n - k)[n - k]
-                rest = np.flatnonzero(sums + slack + int(left.sum()) >= kth)
-                if len(rest) <= few:
-                    break
-        else:
-            slack = int((weight[dims] * (self.step[dims] - 1)).sum())
-            rest = np.flatnonzero(sums + slack >= np.partition(sums, n - k)[n - k]) if n > few else np.arange(n)
-        if skip is not None:
-            rest = rest[rest != skip]
+    """The posting lists of one shard: order[d] has its rows by rising quantised component of dimension d, the rows of
+    level l from begins[d, l] to begins[d, l + 1]; level l holds components low + l * step and up to step - 1 more."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    order: np.ndarray
+    begins: np.ndarray
+    low: np.ndarray
+    step: np.ndarray
+
+    @staticmethod
+    def build(ids: np.ndarray, x: np.ndarray, levels: int = LEVELS) -> "ShardIndex":
+        by_id = np.argsort(ids, kind="stable")
+        ids, x = ids[by_id], x[by_id]
+        low, high = x.min(axis=0), x.max(axis=0)
+        step = (high - low) // levels + 1
+        level = (x - low) // step
+        order = np.argsort(level, axis=0, kind="stable").T.astype(np.uint32)
+        counts = np.stack([np.bincount(c, minlength=levels) for c in level.T])
+        begins = np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
+        return ShardIndex(ids, x, order, begins.astype(np.uint32), low, step)
+
+    def row(self, dims: int, shard: int) -> dict:
+        """The index as one row of its table."""
+        narrow = len(self.x) and np.abs(self.x).max() < 1 << 31
+        xs = self.x.astype("<i4" if narrow else "<i8")
+        held = {"ids": self.ids.astype("<i8"), "xs": xs, "order": self.order.astype("<u4"), "begins": self.begins.astype("<u4"), "low": self.low.astype("<i8"), "step": self.step.astype("<i8")}
+        return {"dims": dims, "shard": shard, "width": 4 if narrow else 8} | {k: v.tobytes() for k, v in held.items()}
+
+    @staticmethod
+    def of(row: dict) -> "ShardIndex":
+        dims = row["dims"]
+        get = lambda k, kind: np.frombuffer(row[k], kind)
+        x = get("xs", f"<i{row['width']}").reshape(-1, dims).astype(np.int64)
+        return ShardIndex(get("ids", "<i8"), x, get("order", "<u4").reshape(dims, -1), get("begins", "<u4").reshape(dims, -1).astype(np.int64), get("low", "<i8"), get("step", "<i8"))
+
+    def search(self, query: np.ndarray, k: int, skip: np.ndarray, stops: Stops | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and exact scores of every possible member of the k best for a query; the rows ``skip`` are left out."""
+        n, levels = len(self.ids), self.begins.shape[1] - 1
+        dims = np.flatnonzero(query)
+        open_ = np.ones(n, bool)
+        open_[skip] = False
+        if not len(dims) or open_.sum() <= k:
+            rest = np.flatnonzero(open_)
+            return rest, self.x[rest] @ query
+        q = query[dims].astype(float)
+        first = self.low[dims, None] + np.arange(levels)[None, :] * self.step[dims, None]
+        ends = np.stack([first, first + self.step[dims, None] - 1]).astype(float)
+        adds = np.sort(q[None, :, None] * ends, axis=0)  # least and most that a vector of each segment adds
+        # every list from its greatest impact on
+        turn = np.where(q > 0, -1, 1)
+        line = lambda a: np.where(turn[:, None] < 0, a[:, ::-1], a)
+        least, most = line(adds[0]), line(adds[1])
+        sizes = line(np.diff(self.begins[dims], axis=1))
+        by_impact = np.argsort(-most, axis=None, kind="stable")
+        done = np.cumsum(sizes.ravel()[by_impact])
+        cuts = np.unique(np.searchsorted(done, done[-1] * np.arange(1, ROUNDS + 1) / ROUNDS) + 1)
+        at = np.zeros(len(dims), np.int64)
+        # of the lists where a vector was met: the sum of the least that it adds, their number, the sum of their least impacts
+        met = np.zeros((n, 3))
+        floor = least.min(axis=1)
+        slack, last = 0.0, 0
+        room = 1.0 + 1e-12 * np.abs(adds).max(axis=(0, 2)).sum()  # for rounding of sums in doubles
+        for cut in cuts.tolist():
+            upto = at + np.bincount(by_impact[last:cut] // levels, minlength=len(dims))
+            for i in np.flatnonzero(upto > at):
+                a, b = at[i], upto[i]
+                found = self.begins[dims[i]]
+                lo, hi = (found[levels - b], found[levels - a]) if turn[i] < 0 else (found[a], found[b])
+                rows = self.order[dims[i], lo:hi]
+                held = slice(None, None, -1) if turn[i] < 0 else slice(None)
+                n_of = sizes[i, a:b][held]
+                met[rows] += np.stack([np.repeat(least[i, a:b][held], n_of), np.ones(hi - lo), np.full(hi - lo, floor[i])], axis=1)
+            slack += float(((most - least)[:, 0] * ((at == 0) & (upto > 0))).sum())
+            at, last = upto, cut
+            left = int(done[-1] - done[cut - 1])
+            # a list where a vector wasn't met adds the next impact at most and its own least at least
+            upper = met[:, 0] + slack + (len(dims) - met[:, 1]) * (most.flat[by_impact[cut]] if left else 0.0)
+            rest = np.flatnonzero(self._possible(met[:, 0] + floor.sum() - met[:, 2], upper + room, k, open_))
+            if len(rest) * len(dims) <= min(left, done[-1] / ROUNDS):
+                break
+        if stops is not None:
+            stops.searches, stops.early, stops.met = stops.searches + 1, stops.early + (left > 0), stops.met + int(done[cut - 1])
+            stops.postings, stops.rescored = stops.postings + int(done[-1]), stops.rescored + len(rest)
         return rest, self.x[rest] @ query
 
+    @staticmethod
+    def _possible(lower: np.ndarray, upper: np.ndarray, k: int, open_: np.ndarray) -> np.ndarray:
+        """Which open rows may be among the k best, if a score lies between lower and upper."""
+        own = lower[open_]
+        return open_ & (upper >= np.partition(own, len(own) - k)[len(own) - k])
+
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """id, x (array of long, floor(scale * component)); rows with a null id, a null or empty vector, or a null or non-finite component are left out."""
@@ -91,80 +141,88 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda c: F.floor(c.cast("double") * scale)).alias("x"))
 
 
-def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Packed shards: shard, dims, ids and components as bytes. Vectors of one length are together; a row of a shard is bounded by shard_rows."""
-    common.prepare(vectors.sparkSession)
-    rows = common.materialize(vectors.withColumn("dims", F.size("x")), "topk-rows")
-    sizes = {r["dims"]: r["count"] for r in rows.groupBy("dims").count().collect()}  # a row for each vector length
-    if not sizes:
-        return rows.select(F.lit(0).alias("shard"), "dims", F.lit(b"").alias("ids"), F.lit(b"").alias("xs"))
-    shards = F.element_at(F.create_map(*[F.lit(v) for d, c in sizes.items() for v in (d, -(-c // shard_rows))]), F.col("dims"))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), shards).cast("int"))
+def _dealt(rows: DataFrame, name: str, salt: int, numbers: dict[int, int]) -> DataFrame:
+    """``rows`` with a part number by hash of the id, of as many as ``numbers`` has for their vector length."""
+    of = F.element_at(F.create_map(*[F.lit(v) for d, c in numbers.items() for v in (d, c)]), F.col("dims"))
+    return rows.withColumn(name, F.pmod(F.xxhash64("id", F.lit(salt)), of).cast("int"))
 
-    def pack(found: pa.Table) -> pa.Table:
-        lists = found.column("x").combine_chunks()
-        flat = lists.values.to_numpy(zero_copy_only=False).astype("<i8")
-        ids = found.column("id").combine_chunks().to_numpy().astype("<i8")
-        return pa.table({"shard": pa.array([found.column("shard")[0].as_py()], pa.int32()), "dims": pa.array([found.column("dims")[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "xs": pa.array([flat.tobytes()], pa.binary())})
 
-    return dealt.groupBy("dims", "shard").applyInArrow(pack, "shard int, dims int, ids binary, xs binary")
+def _matrix(found: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    dims = found.column("dims")[0].as_py()
+    flat = found.column("x").combine_chunks().values.to_numpy(zero_copy_only=False)
+    return dims, found.column("id").combine_chunks().to_numpy(), flat.reshape(-1, dims)
+
+
+def index(rows: DataFrame, sizes: dict[int, int], shard_cells: int = SHARD_CELLS) -> DataFrame:
+    """The index table, a row per shard of about ``shard_cells`` components, from (id, x, dims) and the number of rows of each vector length."""
+
+    def build(found: pa.Table) -> pa.Table:
+        dims, ids, x = _matrix(found)
+        row = ShardIndex.build(ids, x).row(dims, found.column("shard")[0].as_py())
+        return pa.Table.from_pylist([row], schema=_ARROW_INDEX)
+
+    dealt = _dealt(rows, "shard", 3, {d: -(-c * d // shard_cells) for d, c in sizes.items()})
+    return dealt.groupBy("dims", "shard").applyInArrow(build, _INDEX)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+_ARROW_INDEX = pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int32()) for f in _INDEX.split(", ")])
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", shard_cells: int = SHARD_CELLS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query with every other vector.
 
     ``is_query`` is a condition over the column id. Ties go to the smaller vec_id; a query with fewer than k
-    others gets all. A query's own row is no candidate for it (rows that repeat an id aren't either for that id).
-    Vectors of different length aren't compared. Unsound vectors (see quantised) take no part. Scores must fit 64 bits.
-    An empty table gives no rows.
+    others gets all. A query's own row is no candidate for it, nor are other rows of its id; of query rows that share an
+    id, equal ones are one query, and the results of unequal ones are ranked together. Rows that repeat another id are
+    candidates of their own. Vectors of different length aren't compared. Unsound vectors (see quantised) take no part.
+    Scores must fit 64 bits. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    shards = common.materialize(index(quantised(vectors, id_col, vector_col, scale), shard_rows), "topk-index")
-    asked = common.materialize(quantised(vectors, id_col, vector_col, scale).where(is_query).distinct(), "topk-queries")
-    blocks = -(-asked.count() // query_block)
-    found = None
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)) == b).collect()  # about query_block rows
-        part = _block(shards, [(r["id"], r["x"]) for r in own], k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    common.prepare(spark)
+    rows = common.materialize(quantised(vectors, id_col, vector_col, scale).withColumn("dims", F.size("x")), "topk-rows")
+    asked = common.materialize(rows.where(is_query).distinct(), "topk-queries")
+    sizes = {r["dims"]: r["count"] for r in rows.groupBy("dims").count().collect()}  # a row for each vector length
+    n_asked = {r["dims"]: r["count"] for r in asked.groupBy("dims").count().collect()}
+    if not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    line = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    shards = common.materialize(index(rows, sizes, shard_cells), "topk-index")
+    n_shards = {r["dims"]: r["count"] for r in shards.groupBy("dims").count().collect()}
 
-
-def _block(shards: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    """The k best of each shard for each query of a block; their merge is left to the caller."""
-    asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for dims in {len(x) for _, x in queries}:
-        own = sorted((i, tuple(x)) for i, x in queries if len(x) == dims)
-        asked[dims] = np.array([i for i, _ in own], np.int64), np.array([x for _, x in own], np.int64)
-    parts = common.parts(shards.sparkSession)
-    split = max(1, min(16, len(queries) // 64))
+    def pack(found: pa.Table) -> pa.Table:
+        dims, ids, x = _matrix(found)
+        return pa.table({"dims": pa.array([dims], pa.int32()), "block": pa.array([found.column("block")[0].as_py()], pa.int32()), "qids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "qxs": pa.array([x.astype("<i8").tobytes()], pa.binary())})
+
+    # few shards are read by several tasks each, which take the blocks in turn
+    tasks = spark.sparkContext.defaultParallelism
+    turns = {d: -(-tasks // n_shards[d]) for d in n_asked}
+    blocks = {d: max(-(-c // query_block), min(turns[d], -(-c // 8))) for d, c in n_asked.items()}
+    packed = _dealt(asked, "block", 5, blocks).groupBy("dims", "block").applyInArrow(pack, "dims int, block int, qids binary, qxs binary")
+    of = lambda numbers: F.element_at(F.create_map(*[F.lit(v) for d in n_asked for v in (d, min(numbers[d], 1 << 30))]), F.col("dims"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = shards.where(F.col("dims").isin(*n_asked)).withColumn("turn", upto(F.least(of(turns), of(blocks))))
+    # a block goes to every shard; its turn says which of the shard's readers takes it
+    right = packed.withColumn("turn", F.pmod("block", F.least(of(turns), of(blocks)))).withColumn("shard", upto(of({d: -(-sizes[d] * d // shard_cells) for d in n_asked})))
+    units = left.join(right.hint("shuffle_hash"), ["dims", "shard", "turn"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shard = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, dims = np.frombuffer(row["ids"], "<i8"), row["dims"]
-                if dims not in asked:
-                    continue
-                shard = ShardIndex(ids, np.frombuffer(row["xs"], "<i8").reshape(-1, dims))
-                qids, xs = (a[row["part"] :: split] for a in asked[dims])
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if known != (row["dims"], row["shard"]):
+                    known, shard = (row["dims"], row["shard"]), ShardIndex.of(row)
+                qids, qxs = np.frombuffer(row["qids"], "<i8"), np.frombuffer(row["qxs"], "<i8").reshape(-1, row["dims"])
                 out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
-                for qid, x in zip(qids, xs, strict=True):
-                    at = np.searchsorted(shard.ids, qid)
-                    last = np.searchsorted(shard.ids, qid, side="right")
-                    if last - at > 1:  # the id repeats here
-                        rest, scores = np.arange(len(shard.ids)), shard.x @ x
-                        rest, scores = rest[shard.ids != qid], scores[shard.ids != qid]
-                    else:
-                        rest, scores = shard.search(x, min(k, len(shard.ids)), int(at) if last > at else None)
+                for qid, x in zip(qids, qxs, strict=True):
+                    own = np.arange(np.searchsorted(shard.ids, qid), np.searchsorted(shard.ids, qid, side="right"))
+                    rest, scores = shard.search(x, k, own)
                     best = np.lexsort((shard.ids[rest], -scores))[:k]
                     out.append((np.full(len(best), qid), shard.ids[rest[best]], scores[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    units = shards.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(split)]))).repartition(parts)
-    return units.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = units.drop("turn", "block").mapInArrow(run, "query_id long, vec_id long, score long")
+    line = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def oracle_sql(k: int = 10, scale: int = 1024, every: int = 100) -> str:

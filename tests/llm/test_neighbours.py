@@ -122,13 +122,13 @@ def brute_top(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("n, shard, block", [(900, 8192, 4096), (900, 100, 3), (7, 8192, 4096)])
+@pytest.mark.parametrize("n, shard, block", [(900, 8192, 4096), (900, 100, 3), (7, 8192, 4096), (2500, 8192, 20)])
 def test_top_k_against_brute_force(spark, n, shard, block):
     rng = np.random.default_rng(n)
     v = np.round(rng.standard_normal((n, 8)) * 0.3, 1)
     rows = [(int(i), [float(c) for c in x]) for i, x in enumerate(v)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
-    got = topk.top_k(frame, F.col("id") % 10 == 0, shard_rows=shard, query_block=block)
+    got = topk.top_k(frame, F.col("id") % 10 == 0, shard_cells=shard * 8, query_block=block)
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 10, 10)
 
 
@@ -143,16 +143,51 @@ def test_top_k_edges(spark):
     assert sorted(map(tuple, got.collect())) == brute_top(large, 10, 100)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(1, 60), st.integers(1, 12), st.integers(0, 10**6))
-def test_shard_search(n, k, seed):
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.standard_normal((300, 6)), 2)
+    rows = [(int(i % 120), [float(c) for c in x]) for i, x in enumerate(v)] + [(40, [float(c) for c in v[40]])] * 2
+    x = [(i, np.floor(np.array(w) * 1024).astype(np.int64)) for i, w in rows]
+    want = []
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        asked = {tuple(w) for i, w in x if i == q}
+        best = sorted((-int(np.array(a) @ w), i) for a in asked for i, w in x if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for cells in (60, 4096):
+        got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, shard_cells=cells)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60), st.integers(1, 12), st.integers(0, 10**6), st.sampled_from([1, 40, 10**15]))
+def test_shard_search(n, k, seed, size):
     rng = np.random.default_rng(seed)
-    x = rng.integers(-40, 40, (n, 5))
-    index = topk.ShardIndex(np.arange(n), x, levels=4)
-    for q in (rng.integers(-40, 40, 5), x[0], np.zeros(5, np.int64)):
-        rest, scores = index.search(q, min(k, n), None)
-        want = np.lexsort((np.arange(n), -(x @ q)))[:k]
-        assert set(want) <= set(rest.tolist()) and (scores == x[rest] @ q).all()
+    x = rng.integers(-40, 40, (n, 5)) * size
+    index = topk.ShardIndex.build(np.arange(n), x, levels=4)
+    index = topk.ShardIndex.of(index.row(5, 0))
+    skip = rng.permutation(n)[: int(rng.integers(0, 3))]
+    for q in (rng.integers(-40, 40, 5), x[0] // size, np.zeros(5, np.int64)):
+        rest, scores = index.search(q, k, skip)
+        want = [i for i in np.lexsort((np.arange(n), -(x @ q))) if i not in skip][:k]
+        assert set(want) <= set(rest.tolist()) and (scores == x[rest] @ q).all() and not set(skip) & set(rest.tolist())
+
+
+def test_one_shard_stops_early(spark):
+    """5,000 clustered vectors in one shard: all searches end on proof, with few rows scored exactly."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((250, 64))[np.arange(5000) % 250] + rng.standard_normal((5000, 64)) * 0.35
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    x = np.floor(v * 1024).astype(np.int64)
+    index, stops = topk.ShardIndex.build(np.arange(5000), x), topk.Stops()
+    for q in range(0, 5000, 100):
+        rest, scores = index.search(x[q], 10, np.array([q]), stops)
+        assert rest[np.lexsort((rest, -scores))[:10]].tolist() == [i for i in np.lexsort((np.arange(5000), -(x @ x[q]))) if i != q][:10]
+    assert stops.searches == stops.early == 50
+    assert stops.met < 0.97 * stops.postings and stops.rescored < 50 * 5000 * 0.1
+    rows = [(int(i), [float(c) for c in w]) for i, w in enumerate(v)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(frame, F.col("id") % 100 == 0)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, 10, 100)
 
 
 def brute_links(rows, threshold=0.93):
