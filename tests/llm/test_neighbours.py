@@ -215,13 +215,13 @@ def brute_links(rows, threshold=0.93):
     return sorted((str(r[0]), int(n), low.get(root) if r[0] is not None else None, r[0] is not None and r[0] == low[root]) for r, n, root in zip(rows, links, roots, strict=True))
 
 
-@pytest.mark.parametrize("leaf, block", [(400, 2048), (20, 2048), (60, 7)])
-def test_embedding_links_against_brute_force(spark, leaf, block):
+@pytest.mark.parametrize("leaf, block, kind", [(400, 2048, "double"), (20, 2048, "float"), (60, 7, "double"), (2, 2048, "double")])
+def test_embedding_links_against_brute_force(spark, leaf, block, kind):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((60, 16))
-    rows = [(int(i), (centres[i % 60] + rng.standard_normal(16) * 0.12).tolist(), int(i % 60 % 2)) for i in range(400)]
+    rows = [(int(i), np.float32(centres[i % 60] + rng.standard_normal(16) * 0.12).astype(float).tolist(), int(i % 60 % 2)) for i in range(400)]
     rows += [(1000 + i, rows[0][1], rows[0][2]) for i in range(30)]
-    frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, kept int")
+    frame = spark.createDataFrame([(*r, 1) for r in rows], f"vec_id long, embedding array<{kind}>, label int, kept int")
     got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(frame, leaf=leaf, block=block).collect())
     want = brute_links(rows)
     found, all_ = sum(g[1] for g in got), sum(w[1] for w in want)
@@ -231,6 +231,32 @@ def test_embedding_links_against_brute_force(spark, leaf, block):
         assert got == want
 
 
+@pytest.mark.parametrize("depth, fitted", [(3, 12), (7, 12), (9, 4)])
+def test_forest_recall_and_rows(monkeypatch, depth, fitted):
+    """Pairs at cosines from 0.93 on share a leaf, a pair's first common leaf is one that both are in, rows stay few."""
+    monkeypatch.setattr(embed_dedup, "FITTED", fitted)
+    rng = np.random.default_rng(depth)
+    x = rng.standard_normal((4000, 32))
+    x[2000:] = x[:2000] + rng.standard_normal((2000, 32)) * rng.uniform(0.05, 0.38, 2000)[:, None]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    trees = embed_dedup.Trees(x[rng.permutation(4000)], depth, embed_dedup.TREES, embed_dedup.MARGIN)
+    a = np.arange(2000)
+    a = a[(x[a] * x[a + 2000]).sum(axis=1) >= 0.93]
+    together, rows = np.zeros(len(a), bool), 0
+    for t in range(trees.trees):
+        at, node = trees.leaves(t, x, np.full(4000, depth))
+        rows += len(at)
+        p = trees.project(t, x)
+        first = trees.first_common(t, p[a], p[a + 2000], depth)
+        held = {}
+        for i, k in zip(at.tolist(), node.tolist(), strict=True):
+            held.setdefault(i, set()).add(k)
+        assert first.tolist() == [min(held[i] & held[i + 2000], default=-1) for i in a.tolist()]
+        together |= first >= 0
+    assert len(a) > 800 and together.mean() >= 0.95
+    assert rows / 4000 < embed_dedup.TREES * 1.12**depth
+
+
 def test_embedding_edges(spark):
     v = [1.0, 2.0]
     rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, v, 1), (4, None, 0), (5, [0.0, 0.0], 0), (6, [None, 1.0], 0), (7, [float("nan"), 1.0], 0), (8, v, None), (None, v, 0), (9, [2.0, 4.0], 0), (10, [1.0], 0), (11, [], 0), (12, [-0.0, 1.0], 0), (13, [0.0, 1.0], 0)]
