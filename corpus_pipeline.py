@@ -18,8 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, ~langid.held_out())
     if not model.langs:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    scored = langid.predict(docs.drop("lang_pred", "score"), model).where(F.col("lang_pred") != langid.UNDETERMINED)
-    return scored.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found, score = common.fresh(docs, "lang_pred", "score")
+    scored = langid.predict(docs, model, lang_name=found, score_name=score).where(F.col(found) != langid.UNDETERMINED)
+    return scored.withColumn("lang", F.coalesce("lang", found)).drop(found, score)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Confirmed secrets in the text are replaced; n_chars follows the text."""
     forest = secrets.train(secrets.labelled_findings(spark))
-    return secrets.redact(docs, forest).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secrets.redact(docs, forest).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
