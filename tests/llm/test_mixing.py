@@ -9,9 +9,10 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quire.llm import langid, mixing, packing, queries, secrets
+from quire.llm import langid, mixing, packing, queries, secrets, tokens
 
 DOCS = "doc_id long, text string, source string, size int"
 
@@ -123,7 +124,7 @@ def test_oracles(spark, data, name):
 
 
 def test_pipeline_stages(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("score", F.lit("clash"))
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("score", F.concat(F.lit("s"), F.col("doc_id").cast("string")))
     extra = spark.createDataFrame([(-1, "12 34", "en", "src0", 5, "x"), (-2, None, None, None, None, "x"), (-3, "und the password=b7db7aa4a5fcc78305 here of", None, None, 43, "x"), (-4, "", "en", "src0", 0, "x")], docs.schema)
     frame = docs.unionByName(extra)
     before = {r.doc_id: r for r in frame.collect()}
@@ -137,15 +138,40 @@ def test_pipeline_stages(spark, data):
         if name == "language_id":
             keep = {i for i, r in before.items() if r.text and re.search(r"[^\W\d_]", r.text)}
             assert {r.doc_id for r in rows} == keep and all(r["lang"] for r in rows)
-            assert all(r.text == before[r.doc_id].text for r in rows)
+            assert all(r.text == before[r.doc_id].text and r.score == before[r.doc_id].score for r in rows)
         if name == "simhash_dedup":
             assert len({r.doc_id for r in rows}) == len(rows) < len(keep)
         if name == "secret_scan":
+            scanned = rows
             hidden = [r for r in rows if r.text != before[r.doc_id].text]
             assert hidden and all(secrets.MARK in r.text and r.n_chars == len(r.text) for r in hidden)
             assert not any(re.search(r"AKIA[0-9A-Z]{16}|password=[0-9a-f]{18}", r.text) for r in rows)
+        if name == "source_mix":
+            sizes = {}
+            for r in scanned:
+                sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").split())
+            taken, copies = dict.fromkeys(sizes, 0), collections.Counter(r.doc_id for r in rows)
+            for r in rows:
+                taken[r.source] += len((r.text or "").split())
+            longest = max(len((r.text or "").split()) for r in scanned)
+            assert all(abs(taken[s] - t) <= longest for s, t in brute_targets(sizes).items()) and max(copies.values()) == 2
+            assert {(r.doc_id, r.text, r.score) for r in rows} <= {(r.doc_id, r.text, r.score) for r in scanned}
+            mixed = rows
         if name == "packing":
-            assert sum(r.length for r in rows) == sum({(r.doc_id, r.sequence_id, r.offset): r.length for r in rows}.values())
+            library = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
+            whole = collections.Counter((r.doc_id, tuple([*library.encode(r.text or "", add_special_tokens=False).ids, 0])) for r in mixed)
+            assert sum(r.length for r in rows) == sum(len(k[1]) * n for k, n in whole.items())
+            held = collections.defaultdict(collections.Counter)
+            for r in rows:
+                held[r.doc_id].update(range(r.start, r.start + r.length))
+            ids = {d: i for d, i in whole}
+            for (d, i), n in whole.items():
+                assert held[d] == collections.Counter(dict.fromkeys(range(len(i)), n))
+            assert all(tuple(np.frombuffer(r.ids, "<u4")) == ids[r.doc_id][r.start : r.start + r.length] for r in rows)
+            lengths = collections.Counter()
+            for r in rows:
+                lengths[r.sequence_id] += r.length
+            assert all(n == 1024 or n & (n - 1) == 0 for n in lengths.values())
     assert packing.PIECES.fieldNames() == corpus_pipeline.run(spark, data).columns
     assert langid.UNDETERMINED == "und"
 
