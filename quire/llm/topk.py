@@ -6,8 +6,8 @@ for a negative one. The index is built once and written; queries, in blocks of b
 in one stage.
 
 For a query the segments of all lists are processed by descending impact: the most that a vector of the segment can add
-to the score. A vector gets at most the next impact, and at least a list's lowest, from each list where it hasn't been
-met. The k-th best lower bound then proves which vectors can't be members. Processing stops once scoring all possible members exactly is less work than the
+to the score. A vector gets at most the next impact from each list where it hasn't been met, and the k-th best exact
+score of the vectors that look best so far is one that members must reach; so it is proven which can't be members. Processing stops once scoring all possible members exactly is less work than the
 next round of segments; it never depends on how large a shard is.
 """
 
@@ -25,6 +25,8 @@ from quire.llm import common
 
 #: Components of a shard, queries of a block, quantised components of a list, rounds in which a query's segments are processed.
 SHARD_CELLS, QUERY_BLOCK, LEVELS, ROUNDS = 1 << 21, 1024, 256, 16
+#: Vectors scored exactly in each round for a bound from below, in multiples of k.
+SOUNDED = 4
 _INDEX = "dims int, shard int, width int, ids binary, xs binary, order binary, begins binary, low binary, step binary"
 
 
@@ -58,10 +60,10 @@ class ShardIndex:
         low, high = x.min(axis=0), x.max(axis=0)
         step = (high - low) // levels + 1
         level = (x - low) // step
-        order = np.argsort(level, axis=0, kind="stable").T.astype(np.uint32)
+        order = np.argsort(level, axis=0, kind="stable").T.copy()
         counts = np.stack([np.bincount(c, minlength=levels) for c in level.T])
         begins = np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(counts, axis=1)], axis=1)
-        return ShardIndex(ids, x, order, begins.astype(np.uint32), low, step)
+        return ShardIndex(ids, x, order, begins, low, step)
 
     def row(self, dims: int, shard: int) -> dict:
         """The index as one row of its table."""
@@ -75,7 +77,7 @@ class ShardIndex:
         dims = row["dims"]
         get = lambda k, kind: np.frombuffer(row[k], kind)
         x = get("xs", f"<i{row['width']}").reshape(-1, dims).astype(np.int64)
-        return ShardIndex(get("ids", "<i8"), x, get("order", "<u4").reshape(dims, -1), get("begins", "<u4").reshape(dims, -1).astype(np.int64), get("low", "<i8"), get("step", "<i8"))
+        return ShardIndex(get("ids", "<i8"), x, get("order", "<u4").reshape(dims, -1).astype(np.intp), get("begins", "<u4").reshape(dims, -1).astype(np.int64), get("low", "<i8"), get("step", "<i8"))
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray, stops: Stops | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and exact scores of every possible member of the k best for a query; the rows ``skip`` are left out."""
@@ -99,27 +101,34 @@ class ShardIndex:
         done = np.cumsum(sizes.ravel()[by_impact])
         cuts = np.unique(np.searchsorted(done, done[-1] * np.arange(1, ROUNDS + 1) / ROUNDS) + 1)
         at = np.zeros(len(dims), np.int64)
-        # of the lists where a vector was met: the sum of the least that it adds, their number, the sum of their least impacts
-        met = np.zeros((n, 3))
-        floor = least.min(axis=1)
+        # of the lists where a vector was met: the sum of the least that it adds, and their number
+        sums, met = np.zeros(n), np.zeros(n, np.float32)
+        sums[skip] = -np.inf
         slack, last = 0.0, 0
         room = 1.0 + 1e-12 * np.abs(adds).max(axis=(0, 2)).sum()  # for rounding of sums in doubles
+        some = min(n, SOUNDED * k + len(skip))
         for cut in cuts.tolist():
             upto = at + np.bincount(by_impact[last:cut] // levels, minlength=len(dims))
             for i in np.flatnonzero(upto > at):
                 a, b = at[i], upto[i]
                 found = self.begins[dims[i]]
-                lo, hi = (found[levels - b], found[levels - a]) if turn[i] < 0 else (found[a], found[b])
+                if turn[i] < 0:
+                    lo, hi, held = found[levels - b], found[levels - a], slice(a, b)
+                    values = np.repeat(least[i, held][::-1], sizes[i, held][::-1])
+                else:
+                    lo, hi = found[a], found[b]
+                    values = np.repeat(least[i, a:b], sizes[i, a:b])
                 rows = self.order[dims[i], lo:hi]
-                held = slice(None, None, -1) if turn[i] < 0 else slice(None)
-                n_of = sizes[i, a:b][held]
-                met[rows] += np.stack([np.repeat(least[i, a:b][held], n_of), np.ones(hi - lo), np.full(hi - lo, floor[i])], axis=1)
+                sums[rows] += values
+                met[rows] += 1
             slack += float(((most - least)[:, 0] * ((at == 0) & (upto > 0))).sum())
             at, last = upto, cut
             left = int(done[-1] - done[cut - 1])
-            # a list where a vector wasn't met adds the next impact at most and its own least at least
-            upper = met[:, 0] + slack + (len(dims) - met[:, 1]) * (most.flat[by_impact[cut]] if left else 0.0)
-            rest = np.flatnonzero(self._possible(met[:, 0] + floor.sum() - met[:, 2], upper + room, k, open_))
+            # a list where a vector wasn't met adds the next impact at most; the k-th exact score of some is a bound from below
+            upper = sums + (len(dims) - met) * (most.flat[by_impact[cut]] if left else 0.0) + (slack + room)
+            best = np.argpartition(-upper, some - 1)[:some]
+            exact = self.x[best[open_[best]]] @ query
+            rest = np.flatnonzero(upper >= np.partition(exact, len(exact) - k)[len(exact) - k])
             if len(rest) * len(dims) <= min(left, done[-1] / ROUNDS):
                 break
         if stops is not None:
@@ -127,12 +136,6 @@ class ShardIndex:
             stops.postings, stops.rescored = stops.postings + int(done[-1]), stops.rescored + len(rest)
         return rest, self.x[rest] @ query
 
-    @staticmethod
-    def _possible(lower: np.ndarray, upper: np.ndarray, k: int, open_: np.ndarray) -> np.ndarray:
-        """Which open rows may be among the k best, if a score lies between lower and upper."""
-        own = lower[open_]
-        return open_ & (upper >= np.partition(own, len(own) - k)[len(own) - k])
-
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """id, x (array of long, floor(scale * component)); rows with a null id, a null or empty vector, or a null or non-finite component are left out."""
