@@ -8,42 +8,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(x: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})")
-
-
-def type7(x: str, q: float) -> Column:
-    return F.percentile(F.col(x), F.lit(min(1.0, max(0.0, q))))
-
-
-def sample_stats(x: str) -> list[Column]:
-    """n, min, mean, median, p95, p99, cv_pct (null for fewer than two values or a mean that isn't positive)."""
+#: Ranges of values into which a group is cut, so that no task holds a whole group.
+RANGES = 1024
+
+
+def cumulated(rows: DataFrame, group: list[str], x: str) -> DataFrame:
+    """group, x, count, before, n: the distinct values of each group (nulls left out), how often each occurs, how many values
+    are smaller, and how many there are.
+
+    Equal values are counted before anything is ordered; a group is cut into ranges of values, whose counts are summed
+    first, so that a task orders the distinct values of one range only.
+    """
+    counts = rows.where(F.col(x).isNotNull()).groupBy(*group, F.col(x).cast("double").alias(x)).agg(F.count("*").alias("count"))
+    ends = counts.groupBy(*group).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), F.sum("count").alias("n"))
+    share = (F.col(x) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    ranged = counts.join(ends, group).withColumn("_range", F.when(F.col("_high") > F.col("_low"), F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).otherwise(0).cast("int"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*group, "_range").agg(F.sum("count").alias("_sum"))
+    base = sums.select(*group, "_range", F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy(*group).orderBy("_range"))), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("count").over(earlier(Window.partitionBy(*group, "_range").orderBy(x))), F.lit(0))
+    return ranged.withColumn("_inside", inside).join(base, [*group, "_range"]).select(*group, x, "count", (F.col("_base") + F.col("_inside")).alias("before"), "n")
+
+
+def nearest(p: float) -> tuple[str, float]:
+    """The value at rank ceil(p * n), 1 at least."""
+    return "nearest", p
+
+
+def between(q: float) -> tuple[str, float]:
+    """The value at (n - 1) * q, between its neighbours in proportion (type 7)."""
+    return "between", min(1.0, max(0.0, q))
+
+
+def quantiles(rows: DataFrame, group: list[str], x: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """group and a column for each wanted quantile; exact, by cumulated counts."""
+    held, n = cumulated(rows, group, x), F.col("n")
+    at = lambda rank: F.max(F.when((F.col("before") < rank) & (rank <= F.col("before") + F.col("count")), F.col(x)))
+    found = []
+    for name, (kind, q) in wanted.items():
+        if kind == "nearest":
+            found.append(at(F.greatest(F.ceil(F.lit(q) * n - 1e-9), F.lit(1))).alias(name))
+        else:
+            place = F.lit(q) * (n - 1)
+            found += [at(F.floor(place) + 1).alias(f"_low_{name}"), at(F.ceil(place) + 1).alias(f"_high_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    got = held.groupBy(*group).agg(*found)
+    mixed = lambda name: F.when(F.col(f"_part_{name}") > 0, F.col(f"_low_{name}") * (1 - F.col(f"_part_{name}")) + F.col(f"_high_{name}") * F.col(f"_part_{name}")).otherwise(F.col(f"_low_{name}"))
+    return got.select(*group, *[F.col(name) if kind == "nearest" else mixed(name).alias(name) for name, (kind, _) in wanted.items()])
+
+
+def sample_stats(rows: DataFrame, group: list[str], x: str, **more: tuple[str, float]) -> DataFrame:
+    """n, min, mean, median, p95, p99, cv_pct (null for fewer than two values or a mean that isn't positive), and more quantiles."""
     v = F.col(x)
     cv = F.when((F.count(v) >= 2) & (F.avg(v) > 0), F.stddev_samp(v) / F.avg(v) * 100.0)
-    return [F.count(v).alias("n"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), nearest_rank(x, 0.95).alias("p95"), nearest_rank(x, 0.99).alias("p99"), cv.alias("cv_pct")]
+    plain = rows.groupBy(*group).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.avg(v).alias("mean"), cv.alias("cv_pct"))
+    return plain.join(quantiles(rows, group, x, {"median": between(0.5), "p95": nearest(0.95), "p99": nearest(0.99), **more}), group)
 
 
 def cvar(rows: DataFrame, group: list[str], x: str, alpha: float) -> DataFrame:
     """Mean of the worst alpha share per group, the last value weighted by its part of the share."""
-    n, k = F.col("n"), F.col("k")
-    line = Window.partitionBy(*group).orderBy(F.col(x).desc())
-    sized = rows.where(F.col(x).isNotNull()).withColumn("n", F.count("*").over(Window.partitionBy(*group))).withColumn("r", F.row_number().over(line))
-    cut = sized.withColumn("k", F.least(F.greatest(F.ceil(alpha * n - 1e-12), F.lit(1)), n))
-    last = F.least(F.greatest(alpha * n - (k - 1), F.lit(0.0)), F.lit(1.0))
-    weight = F.when(F.col("r") < k, 1.0).when(F.col("r") == k, last)
-    return cut.where(F.col("r") <= k).groupBy(*group, "n").agg((F.sum(F.col(x) * weight) / (alpha * n)).alias("cvar")).drop("n")
+    n, k, count = F.col("n"), F.col("k"), F.col("count")
+    above = n - F.col("before") - count  # values larger than this one
+    cut = cumulated(rows, group, x).withColumn("k", F.least(F.greatest(F.ceil(alpha * n - 1e-12), F.lit(1)), n)).withColumn("above", above)
+    whole = F.greatest(F.least(count, k - 1 - F.col("above")), F.lit(0))
+    last = F.when((F.col("above") < k) & (k <= F.col("above") + count), F.least(F.greatest(alpha * n - (k - 1), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return cut.groupBy(*group, "n").agg((F.sum(F.col(x) * (whole + last)) / (alpha * n)).alias("cvar")).drop("n")
 
 
 def tail_fit(rows: DataFrame, group: list[str], x: str, share: float) -> DataFrame:
     """Generalised Pareto fit of the excesses over the (1 - share) quantile, by probability-weighted moments with
     plotting positions (j - 0.35) / m. Columns threshold, m, n, xi, beta, usable."""
-    held = rows.where(F.col(x).isNotNull())
-    cut = held.groupBy(*group).agg(type7(x, 1 - share).alias("threshold"), F.count("*").alias("n"))
-    excess = held.join(cut, group).where(F.col(x) > F.col("threshold")).withColumn("e", F.col(x) - F.col("threshold"))
-    whole = Window.partitionBy(*group)
-    ranked = excess.withColumn("j", F.row_number().over(whole.orderBy("e"))).withColumn("m", F.count("*").over(whole))
-    p = (F.col("j") - 0.35) / F.col("m")
-    moments = ranked.groupBy(*group, "threshold", "n", "m").agg(F.avg("e").alias("b0"), F.avg((1 - p) * F.col("e")).alias("b1"))
+    threshold = quantiles(rows, group, x, {"threshold": between(1 - share)})
+    excess = cumulated(rows, group, x).join(threshold, group).where(F.col(x) > F.col("threshold")).withColumn("e", F.col(x) - F.col("threshold"))
+    sums = excess.groupBy(*group, "threshold", "n").agg(F.sum("count").alias("m"), F.sum(F.col("e") * F.col("count")).alias("all"), F.sum(F.col("e") * F.col("count") * (F.col("n") - F.col("before") - (F.col("count") + 1) / 2 + 0.35)).alias("late"))
+    # 1 - (j - 0.35) / m summed over equal values, j the place among the excesses from below
+    moments = sums.withColumn("b0", F.col("all") / F.col("m")).withColumn("b1", F.col("late") / F.col("m") / F.col("m"))
     under = F.col("b0") - 2 * F.col("b1")
     fit = moments.withColumn("xi", F.when(under != 0, 2 - F.col("b0") / under)).withColumn("beta", F.when(under != 0, 2 * F.col("b0") * F.col("b1") / under))
     return fit.withColumn("usable", (F.col("m") >= 8) & F.coalesce(F.col("beta") > 0, F.lit(False))).select(*group, "threshold", "m", "n", "xi", "beta", "usable")

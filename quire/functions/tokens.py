@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -39,6 +44,30 @@ def best_lag(tokens: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)
 
 
+def measure(window: np.ndarray, lags: int, order: int = 4, cycles: int = 8) -> tuple[int, int, int, int, int]:
+    """lag, matches, comparisons, unique, total of a window of codes: the lag with the highest share of matches, the smaller on
+    ties, among those of which the window holds ``cycles``; distinct and all n-grams."""
+    n, best = len(window), (1, 0, len(window) - 1)
+    for lag in range(1, min(lags, n // cycles) + 1):
+        m = int(np.count_nonzero(window[lag:] == window[:-lag]))
+        if m * best[2] > best[1] * (n - lag):
+            best = (lag, m, n - lag)
+    grams = np.lib.stride_tricks.sliding_window_view(window, order)
+    return *best, len(np.unique(grams, axis=0)), len(grams)
+
+
+def suffix_profile(window: int = 2048, lags: int = 256) -> Callable[[Column], Column]:
+    """Of an array of words, struct(lag, matches, comparisons, unique, total) over its last ``window``; null for a shorter one.
+    Words are compared by 64-bit hashes, made before the batches go to numpy."""
+
+    @pandas_udf("lag int, matches long, comparisons long, unique long, total long")
+    def profile(hashes: pd.Series) -> pd.DataFrame:
+        rows = [measure(np.asarray(h), lags) if h is not None else (None,) * 5 for h in hashes]
+        return pd.DataFrame(rows, columns=["lag", "matches", "comparisons", "unique", "total"])
+
+    return lambda words: profile(F.when(F.size(words) >= window, F.transform(F.slice(words, F.greatest(F.size(words) - window + 1, F.lit(1)), window), lambda w: F.xxhash64(w))))
+
+
 def suspicious(matches: Column, comparisons: Column, unique: Column, total: Column) -> Column:
     return (16 * matches >= 15 * comparisons) & (4 * unique <= total)
 

@@ -14,12 +14,19 @@ from quire import storage
 FEW = 10_000
 
 
-def at_price(options: DataFrame, key: str, price: float, slack: float = 1e-12) -> DataFrame:
-    """The option of each key with the least distortion + price * rate; within ``slack`` the least rank wins."""
-    cost = F.col("distortion") + F.lit(price) * F.col("rate")
-    low = options.groupBy(key).agg(F.min(cost).alias("_low"))
-    near = options.join(low, key).where(cost <= F.col("_low") + slack)
-    return near.groupBy(key).agg(F.min_by(F.struct("rate", "distortion", "rank"), F.struct("rank", "rate")).alias("o")).select(key, "o.*")
+def packed(options: DataFrame, key: str) -> DataFrame:
+    """The options of each key as one array; a key has a handful. Written once, so that a price is tried without a shuffle."""
+    own = F.struct(F.col("rate").cast("double").alias("rate"), F.col("distortion").cast("double").alias("distortion"), "rank")
+    return storage.materialize(options.groupBy(key).agg(F.collect_list(own).alias("o")), "options")
+
+
+def at_price(held: DataFrame, key: str, price: float, slack: float = 1e-12) -> DataFrame:
+    """From packed options: the option of each key with the least distortion + price * rate; within ``slack`` the least rank wins."""
+    cost = lambda x: x["distortion"] + F.lit(price) * x["rate"]
+    low = F.array_min(F.transform("o", cost))
+    named = lambda x: F.struct(x["rank"].alias("rank"), x["rate"].alias("rate"), x["distortion"].alias("distortion"))
+    best = F.get(F.transform(F.array(low), lambda m: F.array_min(F.transform(F.filter("o", lambda x: cost(x) <= m + slack), named))), 0)
+    return held.select(key, best.alias("b")).select(key, "b.rate", "b.distortion", "b.rank")
 
 
 def totals(chosen: DataFrame) -> tuple[float, float]:
@@ -30,17 +37,18 @@ def totals(chosen: DataFrame) -> tuple[float, float]:
 def waterfill(options: DataFrame, key: str, budget: float, rounds: int = 40) -> DataFrame:
     """Bisects the price until the total rate fits the budget as closely as it can; each round is one aggregation, and only
     its totals come to the driver. What remains of the budget goes to upgrades by gain per unit of rate."""
+    held = packed(options, key)
     low, high = 0.0, 1.0
-    while totals(at_price(options, key, high))[0] > budget:
+    while totals(at_price(held, key, high))[0] > budget:
         low, high = high, high * 4
         if high > 1e18:
             raise ValueError("the budget is below the cheapest options' total")
     for _ in range(rounds):
         mid = (low + high) / 2
-        low, high = (mid, high) if totals(at_price(options, key, mid))[0] > budget else (low, mid)
+        low, high = (mid, high) if totals(at_price(held, key, mid))[0] > budget else (low, mid)
         if high - low < 1e-9 * max(1.0, high):
             break
-    chosen = at_price(options, key, high)
+    chosen = at_price(held, key, high)
     left = budget - totals(chosen)[0]
     return _top_up(options, chosen, key, left)
 

@@ -28,15 +28,16 @@ def ratchet_decision(rows: DataFrame) -> DataFrame:
 
 
 def guardrail(current: DataFrame, baseline: DataFrame, key: str = "stage", value: str = "best", cv: str = "cv_pct", posture: str = "posture", max_cv: float = 5.0, tolerance: float = 0.10) -> DataFrame:
-    """Left join with a ladder of verdicts in fixed order: new_stage, noise_ineligible, posture_mismatch, REGRESSION, faster, ok."""
+    """Left join with a ladder of verdicts in fixed order: new_stage, noise_ineligible, posture_mismatch, REGRESSION (beyond the
+    tolerance), faster (below 1), ok. The ratio is there for the last three only. Against a baseline of zero there is no
+    ratio: anything above zero is a REGRESSION, zero is ok. Postures are compared null-safe."""
     c = current.select(key, F.col(value).alias("now"), F.col(cv).alias("now_cv"), F.col(posture).alias("now_posture"))
-    b = baseline.select(key, F.col(value).alias("then"), F.col(cv).alias("then_cv"), F.col(posture).alias("then_posture"))
-    ratio = F.col("now") / F.col("then")
+    b = baseline.select(key, F.col(value).alias("then"), F.col(cv).alias("then_cv"), F.col(posture).alias("then_posture"), F.lit(True).alias("known"))
     noisy = (F.coalesce("now_cv", F.lit(0.0)) > max_cv) | (F.coalesce("then_cv", F.lit(0.0)) > max_cv)
-    verdict = (
-        F.when(F.col("then").isNull(), "new_stage").when(noisy, "noise_ineligible").when(F.col("now_posture") != F.col("then_posture"), "posture_mismatch").when(ratio > 1 + tolerance, "REGRESSION").when(ratio < 1 - tolerance, "faster").otherwise("ok")
-    )
-    return c.join(b, key, "left").select(key, "now", "then", ratio.alias("ratio"), verdict.alias("verdict"))
+    early = F.when(F.col("known").isNull(), "new_stage").when(noisy, "noise_ineligible").when(~F.col("now_posture").eqNullSafe(F.col("then_posture")), "posture_mismatch")
+    ratio = F.when(early.isNull(), F.try_divide("now", "then"))
+    late = F.when(ratio > 1 + tolerance, "REGRESSION").when(ratio < 1.0, "faster").when(ratio.isNull() & (F.col("now") > 0), "REGRESSION").otherwise("ok")
+    return c.join(b, key, "left").select(key, "now", "then", ratio.alias("ratio"), F.coalesce(early, late).alias("verdict"))
 
 
 def census(expected: DataFrame, actual: DataFrame, key: str, checks: dict[str, str]) -> DataFrame:
@@ -75,8 +76,12 @@ def verified(files: DataFrame, manifest: DataFrame, key: str = "path") -> DataFr
 
 
 def positional_join(slots: DataFrame, features: DataFrame, slot_order: list[str], feature_order: list[str]) -> DataFrame:
-    """The k-th slot receives the k-th feature; positions come from a range sort and per-partition counts."""
-    return ordinal(slots, slot_order, "k").join(ordinal(features, feature_order, "k"), "k")
+    """The k-th slot receives the k-th feature; positions come from a range sort and per-partition counts. A slot without
+    a feature, or a feature without a slot, is an error."""
+    left, right = ordinal(slots, slot_order, "k").withColumn("_a", F.lit(True)), ordinal(features, feature_order, "k").withColumn("_b", F.lit(True))
+    whole = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    fits = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("slots and features differ in number from place "), F.col("k").cast("string"))))
+    return left.join(right, "k", "full_outer").where(fits).drop("_a", "_b")
 
 
 def ordinal(rows: DataFrame, order: list[str], name: str) -> DataFrame:

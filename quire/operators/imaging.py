@@ -140,3 +140,14 @@ def barlines(pixels: DataFrame, sizes: DataFrame, lines: DataFrame) -> DataFrame
     right = (F.col("e") + 3 < F.col("width")) & F.col("bx").between(F.col("e") + 2, F.col("e") + 1 + reach)
     clear = runs.join(busy, (F.col("image") == F.col("i")) & (left | right), "left_anti")
     return clear.groupBy("image").agg(F.array_sort(F.collect_list(F.floor((F.col("s") + F.col("e") - 1) / 2).cast("long"))).alias("bars"))
+
+
+def figure_formats(pixels: DataFrame, sample: int = 4096, few: int = 64, poor: float = 0.10) -> DataFrame:
+    """image, keys, sampled, format from (image, at, r, g, b), ``at`` the pixel's place in row order: of every ceil(n / sample)-th
+    pixel the colours at five bits a channel; few distinct ones, or few per pixel, make a PNG."""
+    sizes = pixels.groupBy("image").agg(F.greatest(F.ceil(F.count("*") / sample), F.lit(1)).alias("every"))
+    five = lambda c: F.shiftright(F.col(c).cast("int"), 3)
+    key = F.shiftleft(five("r"), 10).bitwiseOR(F.shiftleft(five("g"), 5)).bitwiseOR(five("b"))
+    seen = pixels.join(sizes, "image").where(F.col("at") % F.col("every") == 0).groupBy("image", key.alias("key")).agg(F.count("*").alias("n"))
+    found = seen.groupBy("image").agg(F.count("*").alias("keys"), F.sum("n").alias("sampled"))
+    return found.withColumn("format", F.when((F.col("keys") <= few) | (F.col("keys") / F.col("sampled") < poor), "png").otherwise("jpeg"))

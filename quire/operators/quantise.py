@@ -22,13 +22,37 @@ def restore(q: Column, scale: Column) -> Column:
     return F.transform(q, lambda x: (x * scale).cast("float"))
 
 
-def int8_product(left: DataFrame, right: DataFrame) -> DataFrame:
-    """i, j, product: exact whole-number products of the rows of left (i, q) and right (j, q), scaled by both scales.
+#: Rows of a head matrix at most; a larger one is multiplied by block_product.
+HEAD_ROWS = 4096
+
+
+def head_product(rows: DataFrame, q: str, head: DataFrame, name: str, w: str) -> DataFrame:
+    """Every row with every row of a small matrix: adds ``name`` and product, exact for whole numbers. The matrix goes into the
+    expression, so nothing is joined; one of more than HEAD_ROWS rows is an error."""
+    held = head.select(name, w).orderBy(name).limit(HEAD_ROWS + 1).collect()
+    if len(held) > HEAD_ROWS:
+        raise ValueError(f"a head of more than {HEAD_ROWS} rows")
+    if not held:
+        return rows.limit(0).select("*", F.lit(None).cast(head.schema[name].dataType).alias(name), F.lit(0).cast("long").alias("product"))
+    cells = F.array(*[F.struct(F.lit(r[0]).alias("n"), F.array(*[F.lit(int(x)).cast("long") for x in r[1]]).alias("w")) for r in held])
+    each = rows.withColumn("_head", F.explode(cells))
+    return each.withColumns({name: F.col("_head.n"), "product": vectors.int_dot(F.col(q), F.col("_head.w"))}).drop("_head")
+
 
-    A block product: ``right`` is the smaller side and must fit a broadcast; it is one layer's rows.
-    """
-    pairs = left.select("i", "q", "scale").join(F.broadcast(right.select("j", F.col("q").alias("w"), F.col("scale").alias("s"))))
-    return pairs.select("i", "j", vectors.int_dot(F.col("q"), F.col("w")).alias("whole"), (vectors.int_dot(F.col("q"), F.col("w")) * F.col("scale") * F.col("s")).alias("product"))
+def block_product(left: DataFrame, right: DataFrame) -> DataFrame:
+    """i, j, product of the rows of left (i, v) and the columns of right (j, v): cells meet on their place k, products are summed,
+    half-way in every task. Works at any size of either side."""
+    cells = lambda x, n: x.select(n, F.posexplode("v").alias("k", f"{n}_v"))
+    met = cells(left, "i").join(cells(right, "j"), "k")
+    return met.groupBy("i", "j").agg(F.sum(F.col("i_v").cast("double") * F.col("j_v")).alias("product"))
+
+
+def int8_product(left: DataFrame, right: DataFrame) -> DataFrame:
+    """i, j, whole, product: exact whole-number products of the rows of left (i, q, scale) and of right (j, q, scale), a layer's
+    rows (see head_product), and the same scaled by both."""
+    scales = right.select("j", F.col("scale").alias("s"))
+    pairs = head_product(left, "q", right, "j", "q").withColumnRenamed("product", "whole").join(scales, "j")
+    return pairs.select("i", "j", "whole", (F.col("whole") * F.col("scale") * F.col("s")).alias("product"))
 
 
 def int4_dot(x: Column, packed: Column, scales: Column, group: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire import storage
+
 
 def consecutive_hits(rows: DataFrame, group: list[str], order: list[str], hit: Column, needed: int = 3) -> DataFrame:
     """Adds streak (hits in a row up to here) and tripped (sticky: a streak of ``needed`` was reached here or before)."""
@@ -29,6 +31,20 @@ def running_min(rows: DataFrame, group: list[str], order: list[str], x: str) ->
     return F.min(x).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def prefix_min(rows: DataFrame, group: list[str], order: list[str], x: str, name: str) -> DataFrame:
+    """Adds the least ``x`` of a group up to each row. Rows lie in ordered ranges; a task works on one range, and only the
+    ranges' own minima are put in a row, so a large group is no single task."""
+    ranged = storage.materialize(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "prefix")
+    local = F.min(x).over(Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    lows = ranged.groupBy("_part", *group).agg(F.min(x).alias("_low"))
+    before = F.min("_low").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = lows.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group], before.alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return ranged.withColumn("_local", local).join(bases, same).select(*rows.columns, F.least("_local", "_before").alias(name))
+
+
 def e_process(rows: DataFrame, group: list[str], order: list[str], d: Column, rate: float, null_rate: float, alpha: float) -> DataFrame:
     """Adds log_e (log of the running product of 1 + rate * (d - null_rate)) and crossed (it reached 1 / alpha here or before)."""
     line = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from quire.functions import imaging as pixels
 from quire.functions import stats, vectors
 from quire.functions.tensors import policy
-from quire.operators import alloc, envelope, imaging, sequences
+from quire.operators import alloc, envelope, imaging, quantise, sequences
 from quire.plans.base import query, table
 
 
@@ -21,7 +21,7 @@ def r6(c: str):
 @query("""SELECT event_type, count(value) AS n, min(value) AS min, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99,
 round(stddev_samp(value) / avg(value) * 100, 6) AS cv_pct, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY event_type""")
 def q34_quantiles(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "events").groupBy("event_type").agg(*stats.sample_stats("value"), stats.type7("value", 0.9).alias("q90"))
+    found = stats.sample_stats(table(spark, folder, "events"), ["event_type"], "value", q90=stats.between(0.9))
     return found.select("event_type", "n", "min", r6("mean"), r6("median"), "p95", "p99", r6("cv_pct"), r6("q90"))
 
 
@@ -29,7 +29,8 @@ _SCALED = "SELECT event_type, value / max(value) OVER (PARTITION BY event_type)
 
 
 def scaled(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select("event_type", "event_id", (F.col("value") / F.max("value").over(Window.partitionBy("event_type"))).alias("x"))
+    e = table(spark, folder, "events")
+    return e.join(e.groupBy("event_type").agg(F.max("value").alias("top")), "event_type").select("event_type", "event_id", (F.col("value") / F.col("top")).alias("x"))
 
 
 @query(f"""WITH e AS ({_SCALED}), n AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY x DESC) AS r FROM e),
@@ -39,7 +40,7 @@ v AS (SELECT event_type, quantile_cont(x, 0.9) AS var FROM e GROUP BY event_type
 SELECT event_type, round(cvar, 6) AS cvar, round(var, 6) AS var FROM c JOIN v USING (event_type)""")
 def q35_cvar_var(spark: SparkSession, folder: str) -> DataFrame:
     e = scaled(spark, folder)
-    var = e.groupBy("event_type").agg(stats.type7("x", 0.9).alias("var"))
+    var = stats.quantiles(e, ["event_type"], "x", {"var": stats.between(0.9)})
     return stats.cvar(e, ["event_type"], "x", 0.1).join(var, "event_type").select("event_type", r6("cvar"), r6("var"))
 
 
@@ -55,7 +56,7 @@ round(least(greatest(greatest(threshold + beta / xi * (pow(n::DOUBLE / m * 0.01:
 def q36_gpd_pwm(spark: SparkSession, folder: str) -> DataFrame:
     e = scaled(spark, folder)
     fit = stats.tail_fit(e, ["event_type"], "x", 0.15)
-    empirical = e.groupBy("event_type").agg(stats.type7("x", 0.99).alias("empirical"))
+    empirical = stats.quantiles(e, ["event_type"], "x", {"empirical": stats.between(0.99)})
     joined = fit.join(empirical, "event_type")
     return joined.withColumn("tail", stats.tail_quantile(joined, 0.99, F.col("empirical"))).select("event_type", r6("threshold"), "m", "n", r6("xi"), r6("beta"), r6("tail"))
 
@@ -148,8 +149,7 @@ def q45_eprocess(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT p_partkey, min(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS repaired FROM part")
 def q46_monotone_repair(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "part")
-    return p.select("p_partkey", sequences.running_min(p, ["p_brand"], ["p_size", "p_partkey"], "p_retailprice").alias("repaired"))
+    return sequences.prefix_min(table(spark, folder, "part"), ["p_brand"], ["p_size", "p_partkey"], "p_retailprice", "repaired").select("p_partkey", "repaired")
 
 
 @query("""WITH o AS (SELECT p_partkey, b AS bits, r AS rank, p_size * b AS rate, (p_retailprice / 100) / pow(2, b) AS dist FROM part, (VALUES (2, 3), (4, 2), (8, 1), (16, 0)) AS v(b, r)), g AS (SELECT * FROM o, (VALUES (0.001::DOUBLE), (0.01::DOUBLE), (0.1::DOUBLE)) AS l(price)),
@@ -202,7 +202,7 @@ def q52_int8_gemm(spark: SparkSession, folder: str) -> DataFrame:
     """All quantised rows times a matrix of one row per label, its first; a label's row is what a head would hold."""
     q = table(spark, folder, "embeddings").select("vec_id", "label", vectors.int8_rows(F.col("embedding"))["q"].alias("q"))
     head = q.groupBy(F.col("label").alias("probe")).agg(F.min_by("q", "vec_id").alias("w"))
-    return q.join(head).select("vec_id", "probe", vectors.int_dot(F.col("q"), F.col("w")).alias("product"))
+    return quantise.head_product(q, "q", head, "probe", "w").select("vec_id", "probe", "product")
 
 
 @query("""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, unnest(range(0, len(e))) AS idx, unnest(list_transform(e, lambda x: x / list_sum(e))) AS w FROM s),
@@ -235,13 +235,14 @@ def q55_space_to_depth(spark: SparkSession, folder: str) -> DataFrame:
     return b.select("vec_id", "block", F.round(digest, 6).alias("digest"))
 
 
-@query("""WITH u AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings), b AS (SELECT vec_id, count(DISTINCT floor(x * 64)) AS keys, count(*) AS n FROM u GROUP BY vec_id)
-SELECT vec_id, keys, n, CASE WHEN keys <= 24 OR keys::DOUBLE / n < 0.1::DOUBLE THEN 'png' ELSE 'jpeg' END AS format FROM b""")
+@query("""WITH u AS (SELECT label AS image, vec_id // 10 * 64 + unnest(range(0, 64)) AS place, CAST(floor((unnest(embedding)::DOUBLE + 1) * 127) AS INTEGER) AS v FROM embeddings), n AS (SELECT image, count(*) AS n FROM u GROUP BY image),
+s AS (SELECT u.image, n, (v >> 3 << 10) | ((v * v % 256) >> 3 << 5) | ((255 - v) >> 3) AS key FROM u JOIN n USING (image) WHERE place % CAST(greatest(ceil(n / 4096.0), 1) AS BIGINT) = 0), b AS (SELECT image, count(DISTINCT key) AS keys, count(*) AS sampled FROM s GROUP BY image)
+SELECT image, keys, sampled, CASE WHEN keys <= 64 OR keys::DOUBLE / sampled < 0.1::DOUBLE THEN 'png' ELSE 'jpeg' END AS format FROM b""")
 def q63_figure_format(spark: SparkSession, folder: str) -> DataFrame:
-    """Few distinct colour keys make a PNG; embeddings stand for figures."""
-    u = table(spark, folder, "embeddings").select("vec_id", F.explode("embedding").alias("x"))
-    b = u.groupBy("vec_id").agg(F.count_distinct(F.floor(F.col("x") * 64)).alias("keys"), F.count("*").alias("n"))
-    return b.withColumn("format", F.when((F.col("keys") <= 24) | (F.col("keys") / F.col("n") < 0.1), "png").otherwise("jpeg"))
+    """The vectors of a label, one below the other, as a figure."""
+    v = F.floor((F.col("e").cast("double") + 1) * 127).cast("int")
+    u = table(spark, folder, "embeddings").select(F.col("label").alias("image"), "vec_id", F.posexplode("embedding").alias("i", "e")).select("image", (F.floor(F.col("vec_id") / 10) * 64 + F.col("i")).alias("at"), v.alias("v"))
+    return imaging.figure_formats(u.select("image", "at", F.col("v").alias("r"), (F.col("v") * F.col("v") % 256).alias("g"), (255 - F.col("v")).alias("b")))
 
 
 @query("""WITH h AS (SELECT user_id, event_id, ts, event_type IN ('error', 'signup') AS hit FROM events), i AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM h),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import stats
 from quire.operators import gates, selection
 from quire.plans.base import query, table
 from quire.sources import ledger
@@ -74,7 +75,7 @@ def q05_outcome_codes(spark: SparkSession, folder: str) -> DataFrame:
 def q06_page_spec(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "pages")
     picked = selection.page_spec(spark, "1,5-9,18,6", p.agg(F.count("*")).first()[0])
-    return p.join(F.broadcast(picked), p.page_id == picked.page, "left_semi").select("page_id", "url")
+    return p.join(picked, p.page_id == picked.page, "left_semi").select("page_id", "url")
 
 
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN h END AS half FROM pages, (VALUES ('left', 1), ('right', 2)) AS s(h, k) WHERE page_id % 3 = 0 OR k = 1""")
@@ -100,10 +101,10 @@ def q08_ratchet_full_outer(spark: SparkSession, folder: str) -> DataFrame:
 _ARM = """SELECT event_type AS stage, min(value) AS best, stddev_samp(value) / avg(value) * 100 AS cv_pct, CASE WHEN count(*) % 3 = 0 THEN 'x' ELSE 'y' END AS posture FROM events WHERE {0} GROUP BY event_type"""
 
 
-@query(f"""WITH c AS ({_ARM.format("day(ts) <= 15")}), b AS ({_ARM.format("day(ts) > 15 AND event_type <> 'view'")})
-SELECT c.stage, c.best AS now, b.best AS then, round(c.best / b.best, 6) AS ratio,
-CASE WHEN b.best IS NULL THEN 'new_stage' WHEN coalesce(c.cv_pct, 0) > 100.5::DOUBLE OR coalesce(b.cv_pct, 0) > 100.5::DOUBLE THEN 'noise_ineligible' WHEN c.posture <> b.posture THEN 'posture_mismatch'
-WHEN c.best / b.best > 1.1::DOUBLE THEN 'REGRESSION' WHEN c.best / b.best < 0.9::DOUBLE THEN 'faster' ELSE 'ok' END AS verdict FROM c LEFT JOIN b ON c.stage = b.stage""")
+@query(f"""WITH c AS ({_ARM.format("day(ts) <= 15")}), b AS ({_ARM.format("day(ts) > 15 AND event_type <> 'view'")}),
+j AS (SELECT c.stage, c.best AS now, b.best AS "then", CASE WHEN b.stage IS NULL THEN 'new_stage' WHEN coalesce(c.cv_pct, 0) > 100.5::DOUBLE OR coalesce(b.cv_pct, 0) > 100.5::DOUBLE THEN 'noise_ineligible' WHEN c.posture IS DISTINCT FROM b.posture THEN 'posture_mismatch' END AS early FROM c LEFT JOIN b ON c.stage = b.stage),
+r AS (SELECT *, CASE WHEN early IS NULL AND "then" <> 0 THEN now / "then" END AS ratio FROM j)
+SELECT stage, now, "then", round(ratio, 6) AS ratio, CASE WHEN early IS NOT NULL THEN early WHEN ratio > 1.1::DOUBLE THEN 'REGRESSION' WHEN ratio < 1 THEN 'faster' WHEN ratio IS NULL AND now > 0 THEN 'REGRESSION' ELSE 'ok' END AS verdict FROM r""")
 def q10_stage_guardrail(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     arm = lambda x: x.groupBy(F.col("event_type").alias("stage")).agg(F.min("value").alias("best"), (F.stddev_samp("value") / F.avg("value") * 100).alias("cv_pct"), F.when(F.count("*") % 3 == 0, "x").otherwise("y").alias("posture"))
@@ -116,7 +117,8 @@ b AS (SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value,
 SELECT event_type, a.p50 AS a_p50, a.p95 AS a_p95, a.p99 AS a_p99, b.p50 AS b_p50, b.p95 AS b_p95, b.p99 AS b_p99, round((b.p50 - a.p50) / a.p50 * 100, 6) AS delta_pct, round(a.p50 / b.p50, 6) AS speedup FROM a JOIN b USING (event_type)""")
 def q11_ab_arms(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    arms = selection.equal_keys_join(*[e.where(F.col("user_id") % 2 == k).groupBy("event_type").agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"{'ab'[k]}_p{n}") for n, p in ((50, 0.5), (95, 0.95), (99, 0.99))]) for k in (0, 1)], "event_type")
+    ranks = lambda k: {f"{'ab'[k]}_p{n}": stats.nearest(p) for n, p in ((50, 0.5), (95, 0.95), (99, 0.99))}
+    arms = selection.equal_keys_join(*[stats.quantiles(e.where(F.col("user_id") % 2 == k), ["event_type"], "value", ranks(k)) for k in (0, 1)], "event_type")
     return arms.withColumns({"delta_pct": F.round((F.col("b_p50") - F.col("a_p50")) / F.col("a_p50") * 100, 6), "speedup": F.round(F.col("a_p50") / F.col("b_p50"), 6)})
 
 
@@ -164,14 +166,14 @@ def q16_gather_join(spark: SparkSession, folder: str) -> DataFrame:
     return selection.gather(w, v, "token", "id").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum("id").alias("id_sum"), F.max("id").alias("rarest"))
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS k FROM lineitem WHERE l_returnflag = 'R'),
-f AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings)
-SELECT k, l_orderkey, l_linenumber, l_partkey, l_suppkey, vec_id, label FROM s JOIN f USING (k)""")
+@query("""WITH s AS (SELECT vec_id AS slot, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS k FROM embeddings WHERE vec_id % 2 = 0), f AS (SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id) - 1 AS k FROM embeddings WHERE vec_id % 2 = 1)
+SELECT k, slot, vec_id, label FROM s JOIN f USING (k)""")
 def q17_positional_scatter(spark: SparkSession, folder: str) -> DataFrame:
-    slots = table(spark, folder, "lineitem").where("l_returnflag = 'R'")
-    features = table(spark, folder, "embeddings").select("vec_id", "label")
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return gates.positional_join(slots, features, order, ["vec_id"]).select("k", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "vec_id", "label")
+    """The even vectors are slots, by falling label; the odd ones, as many, fill them by rising label."""
+    e = table(spark, folder, "embeddings")
+    slots = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("slot"), (-F.col("label")).alias("falling"))
+    features = e.where("vec_id % 2 = 1").select("vec_id", "label")
+    return gates.positional_join(slots, features, ["falling", "slot"], ["label", "vec_id"]).select("k", "slot", "vec_id", "label")
 
 
 @query("""SELECT doc_id, n_chars, CAST((row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 128 AS BIGINT) AS batch, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS k FROM documents""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import charts, musicxml, pretok, spans, text, tokens
 from quire.operators import bpe, music
 from quire.plans.base import query, table
+from quire.sources import outputs
 from quire.streaming import guard
 from quire.streaming import pages as page_stream
 
@@ -33,31 +34,18 @@ def q19_ws_normalize(spark: SparkSession, folder: str) -> DataFrame:
 _TAIL = "SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda x: x <> '') AS a FROM documents"
 
 
-@query(f"""WITH w AS ({_TAIL}), t AS (SELECT doc_id, a[-256:] AS a FROM w), p AS (SELECT doc_id, len(a) AS n, a, unnest(range(1, 33)) AS lag FROM t),
-c AS (SELECT doc_id, lag, n - lag AS comparisons, coalesce(list_sum(list_transform(range(1, n - lag + 1), lambda i: CASE WHEN a[i] = a[i + lag] THEN 1 ELSE 0 END)), 0) AS matches FROM p WHERE n > lag),
+@query(f"""WITH w AS ({_TAIL}), t AS (SELECT doc_id, len(a) AS n, a[-2048:] AS a FROM w WHERE len(a) >= 2048), p AS (SELECT doc_id, a, unnest(range(1, 257)) AS lag FROM t),
+c AS (SELECT doc_id, lag, 2048 - lag AS comparisons, list_sum(list_transform(range(1, 2048 - lag + 1), lambda i: CASE WHEN a[i] = a[i + lag] THEN 1 ELSE 0 END)) AS matches FROM p),
 b AS (SELECT doc_id, max_by({{'lag': lag, 'm': matches, 'c': comparisons}}, (matches::DOUBLE / comparisons, -lag)) AS best FROM c GROUP BY doc_id),
-g AS (SELECT doc_id, len(a) AS n, list_transform(range(1, len(a) - 2), lambda i: a[i:i + 3]) AS g FROM t)
-SELECT doc_id, CAST(n AS INTEGER) AS n_tokens, CAST(CASE WHEN len(g) = 0 THEN 1000000 ELSE len(list_distinct(g)) * 1000000 // len(g) END AS BIGINT) AS novelty_ppm,
-CAST(CASE WHEN coalesce(best.m, 0) = 0 THEN 1 ELSE best.lag END AS INTEGER) AS lag, CAST(coalesce(best.m, 0) AS BIGINT) AS matches,
-coalesce(16 * best.m >= 15 * best.c, 0 >= 15 * greatest(n - 1, 1)) AND 4 * len(list_distinct(g)) <= len(g) AS suspicious FROM g LEFT JOIN b USING (doc_id)""")
+g AS (SELECT doc_id, n, len(list_distinct(list_transform(range(1, 2046), lambda i: a[i:i + 3]))) AS u FROM t)
+SELECT doc_id, CAST(n AS INTEGER) AS n_tokens, u * 1000000 // 2045 AS novelty_ppm, CAST(CASE WHEN best.m = 0 THEN 1 ELSE best.lag END AS INTEGER) AS lag, CAST(best.m AS BIGINT) AS matches, 16 * best.m >= 15 * best.c AND 4 * u <= 2045 AS suspicious FROM g JOIN b USING (doc_id)""")
 def q20_repetition_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Repetition at the end of each document: the last 256 tokens, lags up to 32, novelty of 4-grams."""
-    return repetition(spark, folder, 256, 32)
-
-
-@query()
-def q71_repetition_window(spark: SparkSession, folder: str) -> DataFrame:
-    """The same over the operator's own window and periods, those of the guard."""
-    return repetition(spark, folder, guard.WINDOW, guard.LAGS)
-
-
-def repetition(spark: SparkSession, folder: str, window: int, lags: int) -> DataFrame:
+    """Repetition at the end of each document of at least 2,048 words: lags up to 256, novelty of 4-grams."""
     words = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda x: x != "")
-    w = table(spark, folder, "documents").select("doc_id", F.slice(words, F.greatest(F.size(words) - window + 1, F.lit(1)), window).alias("a"))
-    best = w.select("doc_id", "a", tokens.best_lag(F.col("a"), lags).alias("b"), tokens.ngrams(F.col("a"), 4).alias("g"))
-    unique, total = F.size(F.array_distinct("g")), F.size("g")
-    matched = F.col("b.matches") > 0
-    return best.select("doc_id", F.size("a").alias("n_tokens"), tokens.novelty_ppm(F.col("a")).alias("novelty_ppm"), F.when(matched, F.col("b.lag")).otherwise(1).alias("lag"), F.col("b.matches").alias("matches"), tokens.suspicious(F.col("b.matches"), F.col("b.comparisons"), unique, total).alias("suspicious"))
+    w = table(spark, folder, "documents").select("doc_id", words.alias("a")).where(F.size("a") >= guard.WINDOW)
+    p = w.select("doc_id", F.size("a").alias("n_tokens"), tokens.suffix_profile(guard.WINDOW, guard.LAGS)(F.col("a")).alias("p"))
+    novelty = F.floor(F.col("p.unique") * 1_000_000 / F.col("p.total")).cast("long")
+    return p.select("doc_id", "n_tokens", novelty.alias("novelty_ppm"), "p.lag", "p.matches", tokens.suspicious(F.col("p.matches"), F.col("p.comparisons"), F.col("p.unique"), F.col("p.total")).alias("suspicious"))
 
 
 @query(f"""WITH w AS ({_TAIL}), h AS (SELECT doc_id, a[-128:] AS a FROM w), g AS (SELECT doc_id, a, list_transform(range(1, len(a) - 1), lambda i: a[i:i + 2]) AS g FROM h)
@@ -191,13 +179,22 @@ def q59_chart_values(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("user_id", F.size("s").alias("n"), F.round(F.aggregate("s", F.lit(0.0), lambda t, x: t + x), 4).alias("total"), F.when(F.size("s") > 1, F.round(charts.mean_l1(F.col("s"), later), 6)).alias("l1"))
 
 
-@query()
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN '{"schema_version":1,"event":"run_error","command":"ocr","error_kind":"general","code":1,"message":"' || replace(props, '"', '\\"') || '"}'
+WHEN 'signup' THEN '{"schema_version":1,"event":"page","page":' || event_id || ',"status":"skipped","reason":"blank"}' WHEN 'purchase' THEN '{"schema_version":1,"event":"staff","staff":' || (user_id + 1) || ',"total":9,"status":"' || CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE 'skipped' END || '"}'
+WHEN 'click' THEN '{"schema_version":1,"event":"music_warning","kind":"meter","part":0,"measure":' || user_id || ',"detail":"click"}' ELSE '{"schema_version":1,"event":"page","page":' || event_id || ',"status":"decoded","chars":' || length(props) || ',"text":"' || replace(props, '"', '\\"') || '"}' END AS line FROM events""")
 def q62_event_ndjson(spark: SparkSession, folder: str) -> DataFrame:
-    """Tagged events as JSON lines; fields that are null are left out."""
+    """Events of five kinds as JSON lines; fields that are null are left out."""
     e = table(spark, folder, "events")
-    kind = F.when(F.col("event_type") == "error", "run_error").otherwise("page")
-    line = F.struct(F.lit(1).alias("schema_version"), kind.alias("event"), F.when(kind == "page", F.col("event_id")).alias("page"), F.when(kind == "page", F.length("props")).alias("chars"), F.when(kind == "run_error", "general").alias("error_kind"))
-    return e.select("event_id", F.to_json(line).alias("line"))
+    kinds = {
+        "error": outputs.run_error(F.lit("ocr"), F.lit("general"), F.lit(1), F.col("props")),
+        "signup": outputs.page_skipped(F.col("event_id"), F.lit("blank")),
+        "purchase": outputs.staff(F.col("user_id"), F.lit(9), F.col("event_id") % 2 == 0, F.lit(None).cast("array<int>")),
+        "click": outputs.music_warning(F.lit("meter"), F.lit(0), F.col("user_id"), F.lit("click")),
+    }
+    line = F.to_json(outputs.page_decoded(F.col("event_id"), F.col("props")))
+    for kind, event in kinds.items():
+        line = F.when(F.col("event_type") == kind, F.to_json(event)).otherwise(line)
+    return e.select("event_id", line.alias("line"))
 
 
 def _outcome(url: Column, html: Column) -> Column:
@@ -211,7 +208,7 @@ def q64_partial_failure(spark: SparkSession, folder: str) -> DataFrame:
     return p.groupBy("o.reason", "o.ok").agg(F.count("*").alias("n"), F.sum("n").alias("chars"))
 
 
-@query()
+@query("""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS page, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS digest FROM conversations""")
 def q65_page_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The batch twin of the streaming page scanner, with a digest of each page."""
     return q27_page_split(spark, folder).select("conv_id", "page", F.md5(F.col("body").cast("binary")).alias("digest"))

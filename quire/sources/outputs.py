@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire import schemas
 
 
-def _event(kind: str, **fields: Column) -> Column:
+def _event(kind: str, /, **fields: Column) -> Column:
     return F.struct(F.lit(schemas.SCHEMA_VERSION).alias("schema_version"), F.lit(kind).alias("event"), *[v.alias(k) for k, v in fields.items()])
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quire.functions.tokens import measure
+
 #: First checkpoint, distance of the next ones, window, lags, hits in a row that abort.
 FIRST, EVERY, WINDOW, LAGS, NEEDED = 8192, 256, 2048, 256, 3
 OUTPUT = "key string, checkpoint long, suspicious boolean, tripped boolean"
@@ -16,14 +19,10 @@ OUTPUT = "key string, checkpoint long, suspicious boolean, tripped boolean"
 
 def suspicious(window: list[int], lags: int = LAGS) -> bool:
     """Nearly periodic (16 matches of 15 comparisons at the best lag) and poor in 4-grams (a quarter distinct)."""
-    best = (0, 1)
-    for lag in range(1, min(lags, len(window) - 1) + 1):
-        n = len(window) - lag
-        m = sum(a == b for a, b in zip(window[lag:], window, strict=False))
-        if m * best[1] > best[0] * n:
-            best = (m, n)
-    grams = list(zip(window, window[1:], window[2:], window[3:], strict=False))
-    return 16 * best[0] >= 15 * best[1] and 4 * len(set(grams)) <= len(grams)
+    if len(window) < 4:
+        return False
+    _, matches, comparisons, unique, total = measure(np.asarray(window), lags, cycles=1)
+    return 16 * matches >= 15 * comparisons and 4 * unique <= total
 
 
 class Guard:

@@ -100,25 +100,70 @@ def test_repetition_over_the_whole_window(spark, tmp_path):
 
     rng = np.random.default_rng(6)
     loop = lambda n: [f"w{i}" for i in range(n)]
-    texts = [loop(100) * 30, loop(256) * 9, loop(33) * 4, ["x"] * 40, [], ["a", "b"], [f"r{i}" for i in rng.integers(0, 30, 2500)], loop(1000) + loop(40) * 20]
-    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    texts = [loop(100) * 30, loop(256) * 9, loop(33) * 4, ["x"] * 4000, [], ["a", "b"], [f"r{i}" for i in rng.integers(0, 30, 2500)], loop(1300) + loop(40) * 20, loop(2048), loop(2047)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(50, None)]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in catalog.QUERIES["q71_repetition_window"](spark, f"file://{tmp_path}").collect()}
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        a = t[-2048:]
-        best = (1, 0, max(len(a) - 1, 1))
-        for p in range(1, min(256, len(a) - 1) + 1):
+    got = {r.doc_id: r for r in catalog.QUERIES["q20_repetition_profile"](spark, f"file://{tmp_path}").collect()}
+    assert sorted(got) == [i for i, t in enumerate(texts) if len(t) >= 2048]
+    for i in got:
+        a = texts[i][-2048:]
+        best = (1, 0, len(a) - 1)
+        for p in range(1, 257):
             m = sum(x == y for x, y in zip(a[p:], a, strict=False))
             if m * best[2] > best[1] * (len(a) - p):
                 best = (p, m, len(a) - p)
         grams = list(zip(a, a[1:], a[2:], a[3:], strict=False))
-        assert (got[i].n_tokens, got[i].lag, got[i].matches) == (len(a), *best[:2])
-        assert got[i].novelty_ppm == (len(set(grams)) * 1000000 // len(grams) if grams else 1000000)
+        assert (got[i].n_tokens, got[i].lag, got[i].matches) == (len(texts[i]), *best[:2])
+        assert got[i].novelty_ppm == len(set(grams)) * 1000000 // len(grams)
         assert got[i].suspicious == (16 * best[1] >= 15 * best[2] and 4 * len(set(grams)) <= len(grams))
     assert [got[i].lag for i in range(2)] == [100, 256] and got[0].suspicious and got[1].suspicious
-    short = {r.doc_id: r for r in catalog.QUERIES["q20_repetition_profile"](spark, f"file://{tmp_path}").collect()}
-    assert not short[0].suspicious and not short[1].suspicious
+
+
+def test_guardrail_ladder(spark):
+    from quire.operators import gates
+
+    schema = "stage string, best double, cv_pct double, posture string"
+    now = spark.createDataFrame([("a", 1.0, 1.0, "x"), ("b", 1.0, 9.0, "x"), ("c", 1.0, 1.0, "y"), ("d", 1.2, None, "x"), ("e", 0.99, 1.0, "x"), ("f", 1.05, 1.0, None), ("g", 3.0, 1.0, "x"), ("h", 0.0, 1.0, "x"), ("i", 1.0, 1.0, None)], schema)
+    then = spark.createDataFrame([("b", 1.0, 1.0, "x"), ("c", 1.0, 1.0, "x"), ("d", 1.0, 1.0, "x"), ("e", 1.0, 1.0, "x"), ("f", 1.0, 1.0, None), ("g", 0.0, 1.0, "x"), ("h", 0.0, 1.0, "x"), ("i", 1.0, 1.0, "x")], schema)
+    got = {r.stage: (r.verdict, r.ratio) for r in gates.guardrail(now, then).collect()}
+    assert got == {"a": ("new_stage", None), "b": ("noise_ineligible", None), "c": ("posture_mismatch", None), "d": ("REGRESSION", 1.2), "e": ("faster", 0.99), "f": ("ok", 1.05), "g": ("REGRESSION", None), "h": ("ok", None), "i": ("posture_mismatch", None)}
+
+
+def test_positional_join_needs_equal_numbers(spark):
+    from quire.operators import gates
+
+    rows = lambda n: spark.range(n).withColumnRenamed("id", "x")
+    assert gates.positional_join(rows(5).withColumnRenamed("x", "s"), rows(5), ["s"], ["x"]).count() == 5
+    for a, b in ((5, 4), (4, 5)):
+        with pytest.raises(Exception, match="differ in number"):
+            gates.positional_join(rows(a).withColumnRenamed("x", "s"), rows(b), ["s"], ["x"]).collect()
+
+
+def test_quantiles_with_ties_and_ranges(spark, monkeypatch):
+    from quire.functions import stats
+
+    rng = np.random.default_rng(3)
+    values = {"a": [1.0] * 50 + [2.0] * 3, "b": rng.normal(size=301).tolist(), "c": [5.0], "d": rng.integers(0, 5, 200).astype(float).tolist()}
+    frame = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None)], "g string, x double")
+    for ranges in (1, 7, 1024):
+        monkeypatch.setattr(stats, "RANGES", ranges)
+        got = {r.g: r for r in stats.quantiles(frame, ["g"], "x", {"p": stats.nearest(0.95), "q": stats.between(0.3), "m": stats.between(0.5)}).collect()}
+        for g, vs in values.items():
+            ordered = sorted(vs)
+            assert got[g].p == ordered[max(1, -(-95 * len(vs) // 100)) - 1]
+            assert abs(got[g].q - np.quantile(vs, 0.3)) < 1e-12 and abs(got[g].m - np.median(vs)) < 1e-12
+
+
+def test_prefix_min_over_ranges(spark):
+    from quire.operators import sequences
+
+    rng = np.random.default_rng(4)
+    rows = [("a" if i % 3 else None, int(i), float(rng.integers(0, 10**6))) for i in range(600)]
+    got = {r.k: r.low for r in sequences.prefix_min(spark.createDataFrame(rows, "g string, k long, x double").repartition(4), ["g"], ["k"], "x", "low").collect()}
+    low = {}
+    for g, k, x in rows:
+        low[g] = min(low.get(g, x), x)
+        assert got[k] == low[g]
 
 
 def plain_top_up(rows, low, left):
