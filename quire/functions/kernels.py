@@ -53,6 +53,16 @@ def resample(image: np.ndarray, height: int, width: int, name: str) -> np.ndarra
     return cut(np.einsum("th,hwc->twc", weights(image.shape[0], height, name), across)).astype(np.uint8)
 
 
+def resampled_lines(lines: DataFrame, key: str, v: str, source: int, target: int, name: str) -> DataFrame:
+    """key, t, v: lines of ``source`` 8-bit pixels brought to ``target`` by the fixed-point weights, a small table that the
+    pixels meet by their place."""
+    table = weights(source, target, name)
+    cells = F.explode(F.array(*[F.array(*[F.struct(F.lit(int(t)).alias("t"), F.lit(int(table[t, s])).alias("w")) for t in np.flatnonzero(table[:, s])]) for s in range(source)])[F.col("s")])
+    spread = lines.select(key, F.posexplode(v).alias("s", "v")).select(key, "v", cells.alias("c"))
+    sums = spread.groupBy(key, F.col("c.t").alias("t")).agg(F.sum(F.col("c.w") * F.col("v")).alias("v"))
+    return sums.withColumn("v", F.least(F.greatest(F.shiftright(F.col("v") + (1 << (PRECISION - 1)), PRECISION), F.lit(0)), F.lit(255)))
+
+
 def resize(images: DataFrame, height: int, width: int, name: str = "bicubic") -> DataFrame:
     """``images`` (with height, width, channels, pixels binary) at another size; other columns stay."""
 

@@ -97,6 +97,20 @@ def tail_quantile(fit: DataFrame, p: float, empirical: Column) -> Column:
     return F.when(F.col("usable") & q.isNotNull() & ~F.isnan(q) & (F.abs(q) < float("inf")), clamp(F.greatest(q, empirical))).otherwise(clamp(empirical))
 
 
+def tail_gate(baseline: DataFrame, candidate: DataFrame, group: list[str], x: str, alpha: float, share: float, p: float, budget: float) -> DataFrame:
+    """group, cvar, tail, verdict of the candidate: "pass" if the mean of the worst share and the fitted quantile both stay
+    within the budget over the baseline's, "informational" without a baseline, else "fail"."""
+
+    def side(rows: DataFrame) -> DataFrame:
+        fit = tail_fit(rows, group, x, share).join(quantiles(rows, group, x, {"empirical": between(p)}), group)
+        return cvar(rows, group, x, alpha).join(fit.select(*group, tail_quantile(fit, p, F.col("empirical")).alias("tail")), group)
+
+    known = side(baseline).select(*group, F.col("cvar").alias("_cvar"), F.col("tail").alias("_tail"))
+    within = (F.col("cvar") <= F.col("_cvar") + budget + 1e-12) & (F.col("tail") <= F.col("_tail") + budget + 1e-12)
+    verdict = F.when(F.col("_cvar").isNull(), "informational").when(within, "pass").otherwise("fail")
+    return side(candidate).join(known, group, "left").select(*group, "cvar", "tail", verdict.alias("verdict"))
+
+
 def hoeffding_lower(passed: Column, n: Column, delta: float) -> Column:
     """Point for fewer than 20 trials, else the Hoeffding bound; cut to six places."""
     point = passed / F.greatest(n, F.lit(1))

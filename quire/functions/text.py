@@ -82,6 +82,11 @@ def plain_pattern(text: str) -> str:
     return re.escape(text)
 
 
+def longest_first(pieces: list[str]) -> str:
+    """A pattern that finds the longest of some pieces at each place, as the first alternative that fits."""
+    return "|".join(re.escape(p) for p in sorted(set(pieces), key=lambda p: (-len(p), p)))
+
+
 def safe_name(x: Column) -> Column:
     """A file name of letters, digits, dot, dash and underscore that doesn't begin with a dot and holds no parent step."""
     return x.rlike(r"^[A-Za-z0-9_\-][A-Za-z0-9._\-]*$") & ~x.contains("..")
@@ -89,3 +94,17 @@ def safe_name(x: Column) -> Column:
 
 def hex64(x: Column) -> Column:
     return x.rlike("^[0-9a-f]{64}$")
+
+
+#: Names that a file must not have on some systems, with or without an extension.
+RESERVED = "(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\\.|$)"
+
+
+def portable_name(x: Column) -> Column:
+    """One file name that any system takes: safe, not reserved, no full stop at its end, 255 bytes at most."""
+    return safe_name(x) & ~x.rlike(RESERVED) & ~x.endswith(".") & (F.octet_length(x) <= 255)
+
+
+def https_url(x: Column, most: int = 2048) -> Column:
+    """An https address with an authority, without white space or control characters, of bounded length."""
+    return x.rlike("^https://[^/?#]") & ~x.rlike("[\\x00-\\x20\\x7f]") & (F.octet_length(x) <= most)

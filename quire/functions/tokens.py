@@ -103,3 +103,12 @@ def decode_lossy(data: Column) -> Column:
 
 def decode_strict(data: Column) -> Column:
     return F.validate_utf8(data.cast("string"))
+
+
+def greedy(scores: Column, history: Column, n: int, end: int, window: int = 0) -> Column:
+    """struct(token, is_end): the place of the highest score among the tokens that ``banned`` allows (the lowest on ties).
+    history is an array of texts of places; where all are banned, the choice is null."""
+    out = F.transform(banned(history, n, window), lambda t: t.cast("int"))
+    kept = F.filter(F.transform(scores, lambda x, i: F.struct((-x).alias("less"), i.alias("i"))), lambda s: ~F.array_contains(out, s["i"]))
+    token = F.array_min(kept)["i"]
+    return F.struct(token.cast("int").alias("token"), (token == end).alias("is_end"))

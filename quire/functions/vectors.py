@@ -142,3 +142,32 @@ def space_to_depth(v: Column, side: int, s: int) -> Column:
     cells = [(br * s + r) * side + bc * s + c for br in range(side // s) for bc in range(side // s) for r in range(s) for c in range(s)]
     flat = F.transform(F.array(*[F.lit(c) for c in cells]), lambda i: F.get(v, i))
     return F.transform(F.sequence(F.lit(0), F.lit((side // s) ** 2 - 1)), lambda b: F.slice(flat, b * s * s + 1, s * s))
+
+
+def group_norm(v: Column, groups: int, eps: float = 1e-5) -> Column:
+    """Each of ``groups`` equal parts of a vector, brought to mean 0 and variance 1 on its own."""
+    size = (F.size(v) / groups).cast("int")
+
+    def part(g: Column) -> Column:
+        own = F.slice(v, g * size + 1, size)
+        return bound(own, lambda o: bound(total(o) / F.size(o), lambda m: bound(total(F.transform(o, lambda x: (x - m) * (x - m))) / F.size(o), lambda d: F.transform(o, lambda x: (x - m) / F.sqrt(d + eps)))))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), part))
+
+
+def transpose(rows: Column) -> Column:
+    """An array of equally long rows as the array of its columns."""
+    width = F.size(F.get(rows, 0))
+    return F.transform(F.sequence(F.lit(0), width - 1), lambda j: F.transform(rows, lambda r: F.get(r, j)))
+
+
+def with_column(rows: Column, column: Column) -> Column:
+    """Each row with its entry of ``column`` behind it."""
+    return F.zip_with(rows, column, lambda r, x: F.concat(r, F.array(x)))
+
+
+def tile_rows(tiles: Column, columns: int) -> Column:
+    """Tiles in row order, each an array of rows, as the rows of the whole picture."""
+    height = F.size(F.get(tiles, 0))
+    line = lambda t: F.transform(F.sequence(F.lit(0), height - 1), lambda y: F.flatten(F.transform(F.slice(tiles, t * columns + 1, columns), lambda x: F.get(x, y))))
+    return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(tiles) / columns).cast("int") - 1), line))

@@ -93,3 +93,29 @@ def ordinal(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     counts = ranged.groupBy("_part").count()
     base = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return placed.join(base, "_part").withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")
+
+
+def evidence(arms: dict[str, DataFrame], key: str, provenance: str) -> DataFrame:
+    """One row per key from arms that must agree: ``provenance`` and the other columns of each arm under its name. A key that an
+    arm lacks, or for which two arms come from different sources, is an error."""
+    names = list(arms)
+    held = None
+    for name, rows in arms.items():
+        own = rows.select(key, *[F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != key], F.lit(True).alias(f"_has_{name}"))
+        held = own if held is None else held.join(own, key, "full_outer")
+    has = [F.col(f"_has_{n}").isNotNull() for n in names]
+    same = [F.col(f"{names[0]}_{provenance}").eqNullSafe(F.col(f"{n}_{provenance}")) for n in names[1:]]
+    whole = F.forall(F.array(*has), lambda x: x)
+    says = lambda what: F.raise_error(F.concat(F.lit(f"{what} for "), F.col(key).cast("string"))).cast("boolean")
+    agree = F.forall(F.array(F.lit(True), *same), lambda x: x)
+    checked = held.where(F.when(~whole, says("an arm is missing")).when(~agree, says("arms of different provenance")).otherwise(True))
+    return checked.select(key, F.col(f"{names[0]}_{provenance}").alias(provenance), *[c for c in checked.columns if c != key and not c.startswith("_has_") and not c.endswith(f"_{provenance}")])
+
+
+def first_existing(wanted: DataFrame, folders: list[str], existing: DataFrame, key: str, names: str) -> DataFrame:
+    """key, path: the first folder and, within it, the first name (an array in order of preference) for which a path exists;
+    null where none does. ``folders`` are few: they are an array in the plan."""
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("dir"), F.lit(f).alias("folder")) for i, f in enumerate(folders)]))
+    tried = wanted.select(key, F.posexplode(names).alias("nth", "name")).withColumn("f", place).select(key, F.struct("f.dir", "nth").alias("order"), F.concat_ws("/", "f.folder", "name").alias("path"))
+    found = tried.join(existing.select("path").distinct(), "path").groupBy(key).agg(F.min_by("path", "order").alias("path"))
+    return wanted.select(key).join(found, key, "left")

@@ -151,3 +151,41 @@ def figure_formats(pixels: DataFrame, sample: int = 4096, few: int = 64, poor: f
     seen = pixels.join(sizes, "image").where(F.col("at") % F.col("every") == 0).groupBy("image", key.alias("key")).agg(F.count("*").alias("n"))
     found = seen.groupBy("image").agg(F.count("*").alias("keys"), F.sum("n").alias("sampled"))
     return found.withColumn("format", F.when((F.col("keys") <= few) | (F.col("keys") / F.col("sampled") < poor), "png").otherwise("jpeg"))
+
+
+def pooled(pixels: DataFrame, side: int, stride: int, height: int, width: int) -> DataFrame:
+    """image, y, x, v: the greatest value of each side x side window that lies within the picture."""
+    reach = -(-side // stride)
+    offsets = F.sequence(F.lit(0), F.lit(reach - 1))
+    spots = pixels.withColumn("dy", F.explode(offsets)).withColumn("dx", F.explode(offsets))
+    top, left = F.floor(F.col("y") / stride) - F.col("dy"), F.floor(F.col("x") / stride) - F.col("dx")
+    inside = (top >= 0) & (left >= 0) & (F.col("y") < top * stride + side) & (F.col("x") < left * stride + side) & (top * stride + side <= height) & (left * stride + side <= width)
+    return spots.where(inside).groupBy("image", top.alias("y"), left.alias("x")).agg(F.max("v").alias("v"))
+
+
+def convolved(pixels: DataFrame, kernel: list[list[float]], height: int, width: int) -> DataFrame:
+    """image, y, x, v: the kernel at every place, zeros outside the picture (same padding, odd sides)."""
+    half_y, half_x = len(kernel) // 2, len(kernel[0]) // 2
+    taps = F.explode(F.array(*[F.struct(F.lit(half_y - i).alias("dy"), F.lit(half_x - j).alias("dx"), F.lit(float(w)).alias("w")) for i, line in enumerate(kernel) for j, w in enumerate(line)]))
+    moved = pixels.withColumn("t", taps).select("image", (F.col("y") + F.col("t.dy")).alias("y"), (F.col("x") + F.col("t.dx")).alias("x"), (F.col("v") * F.col("t.w")).alias("v"))
+    return moved.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy("image", "y", "x").agg(F.sum("v").alias("v"))
+
+
+def cropped(pixels: DataFrame, ink: DataFrame, margin: int = 0) -> DataFrame:
+    """The pixels of each picture within the box of its ink and ``margin`` around it, from the box's corner on."""
+    box = ink.groupBy("image").agg((F.min("y") - margin).alias("y0"), (F.max("y") + margin).alias("y1"), (F.min("x") - margin).alias("x0"), (F.max("x") + margin).alias("x1"))
+    held = pixels.join(box, "image").where(F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1")))
+    return held.select("image", (F.col("y") - F.greatest(F.col("y0"), F.lit(0))).alias("y"), (F.col("x") - F.greatest(F.col("x0"), F.lit(0))).alias("x"), "v")
+
+
+def squared(pixels: DataFrame, sizes: DataFrame, fill: int = 127) -> DataFrame:
+    """Pictures padded to a square with grey, themselves in the middle (the smaller half first)."""
+    side = sizes.withColumn("side", F.greatest("height", "width")).withColumns({"oy": F.floor((F.col("side") - F.col("height")) / 2), "ox": F.floor((F.col("side") - F.col("width")) / 2)})
+    cells = side.select("image", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("y"), "side").select("image", "y", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("x"))
+    moved = pixels.join(side, "image").select("image", (F.col("y") + F.col("oy")).alias("y"), (F.col("x") + F.col("ox")).alias("x"), "v")
+    return cells.join(moved, ["image", "y", "x"], "left").select("image", "y", "x", F.coalesce("v", F.lit(fill)).alias("v"))
+
+
+def tiled(pixels: DataFrame, side: int) -> DataFrame:
+    """image, row, column, y, x, v: side x side tiles in row order; the last ones may be smaller."""
+    return pixels.select("image", F.floor(F.col("y") / side).alias("row"), F.floor(F.col("x") / side).alias("column"), (F.col("y") % side).alias("y"), (F.col("x") % side).alias("x"), "v")

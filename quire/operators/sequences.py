@@ -85,6 +85,12 @@ def lower_hull(points: Column) -> Column:
     return F.aggregate(points, F.slice(points, 1, 0), step)
 
 
+def without_gain(hull: Column, least: float = 1e-6) -> Column:
+    """A hull of struct(x, y) without the last points that lower y by no more than ``least``."""
+    last = F.array_max(F.transform(F.sequence(F.lit(1), F.size(hull)), lambda i: F.when(i == 1, 1).when(F.get(hull, i - 2)["y"] - F.get(hull, i - 1)["y"] > least, i).otherwise(0)))
+    return F.when(F.size(hull) > 0, F.slice(hull, F.lit(1), last)).otherwise(hull)
+
+
 def farthest_cuts(bars: Column, width: Column, budget: int, least: Column) -> Column:
     """Positions 0, cuts, width so that no piece is wider than ``budget``: each cut is the farthest bar within it that lies more
     than ``least`` behind the last. Null where a piece has no such bar."""

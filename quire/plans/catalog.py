@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import analytics, relational, texts
+from quire.plans import analytics, numerics, records, relational, texts
 from quire.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "relational", "texts"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "numerics", "records", "relational", "texts"]

@@ -54,6 +54,29 @@ def document(runs: DataFrame, command: str, store: str) -> DataFrame:
     return packed.select(F.to_json(body).alias("document"))
 
 
+def decode(rows: DataFrame, values: str) -> DataFrame:
+    """Run records from rows of texts by place: a row of fewer than nine is dropped, a whole number that can't be read is 0
+    (a null finished_at stays null), any other null an empty text."""
+    names = [f.name for f in schemas.RUNS]
+    at = lambda i: F.get(F.col(values), i)
+    whole = lambda i: F.coalesce(at(i).try_cast("long"), F.lit(0).cast("long"))
+    read = {f.name: whole(i) if isinstance(f.dataType, T.LongType) else F.coalesce(at(i), F.lit("")) for i, f in enumerate(schemas.RUNS)}
+    read["finished_at"] = F.when(at(names.index("finished_at")).isNotNull(), read["finished_at"])
+    return rows.where(F.size(values) >= len(names)).select(*[read[n].alias(n) for n in names])
+
+
+def plain_lines(runs: DataFrame) -> DataFrame:
+    """run_id, line: a run as a line of text for people."""
+    return runs.select("run_id", F.concat_ws("  ", "run_id", "status", "mode", F.concat(F.lit("exit "), F.col("exit_code").cast("string")), "quant", "input_path").alias("line"))
+
+
+def json_lines(runs: DataFrame) -> DataFrame:
+    """run_id, line: a run as a JSON object, keys in alphabetical order, nulls written."""
+    names = sorted([f.name for f in schemas.RUNS] + ["schema_version"])
+    held = runs.withColumn("schema_version", F.lit(schemas.SCHEMA_VERSION))
+    return held.select("run_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("line"))
+
+
 class RunStore:
     """A folder with a meta record and versions of the runs table; the newest complete version is current.
 
