@@ -78,14 +78,15 @@ def gelu(v: Column) -> Column:
 
 
 def rms_norm(v: Column, eps: float = 1e-6) -> Column:
-    mean = total(F.transform(v, lambda x: x * x)) / F.size(v)
-    return F.transform(v, lambda x: x / F.sqrt(mean + eps))
+    scaled = lambda v: bound(total(F.transform(v, lambda x: x * x)) / F.size(v), lambda m: F.transform(v, lambda x: x / F.sqrt(m + eps)))
+    return bound(v, scaled)
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    mean = total(v) / F.size(v)
-    var = total(F.transform(v, lambda x: (x - mean) * (x - mean))) / F.size(v)
-    return F.transform(v, lambda x: (x - mean) / F.sqrt(var + eps))
+    def centred(c: Column) -> Column:
+        return bound(total(F.transform(c, lambda x: x * x)) / F.size(c), lambda d: F.transform(c, lambda x: x / F.sqrt(d + eps)))
+
+    return bound(v, lambda v: bound(total(v) / F.size(v), lambda m: bound(F.transform(v, lambda x: x - m), centred)))
 
 
 def rope(v: Column, position: Column, base: float = 10000.0) -> Column:
@@ -119,12 +120,19 @@ def u8_rows(v: Column) -> Column:
 
 def int4_groups(v: Column, group: int) -> Column:
     """struct(packed, scales): per group scale = max|w| / 7 (1 for zeros), half to even, -8..7; the even element is the low nibble."""
-    starts = F.sequence(F.lit(1), F.size(v), F.lit(group))
-    scales = F.transform(starts, lambda s: F.array_max(F.transform(F.slice(v, s, group), lambda x: F.abs(x.cast("double")))) / 7.0)
-    safe = F.transform(scales, lambda s: F.when(s == 0, 1.0).otherwise(s))
-    q = F.transform(v, lambda x, i: F.least(F.greatest(F.rint(x.cast("double") / F.get(safe, (i / group).cast("int"))), F.lit(-8.0)), F.lit(7.0)).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(2)), lambda i: F.get(q, i).bitwiseAND(15).bitwiseOR(F.shiftleft(F.coalesce(F.get(q, i + 1), F.lit(0)).bitwiseAND(15), 4)))
-    return F.struct(pairs.alias("packed"), safe.alias("scales"))
+
+    def scales(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(group))
+        most = lambda s: F.array_max(F.transform(F.slice(v, s, group), lambda x: F.abs(x.cast("double")))) / 7.0
+        return F.transform(F.transform(starts, most), lambda s: F.when(s == 0, 1.0).otherwise(s))
+
+    def packed(v: Column, safe: Column) -> Column:
+        q = F.transform(v, lambda x, i: F.least(F.greatest(F.rint(x.cast("double") / F.get(safe, (i / group).cast("int"))), F.lit(-8.0)), F.lit(7.0)).cast("int"))
+        nibble = lambda q, i: F.coalesce(F.get(q, i), F.lit(0)).bitwiseAND(15)
+        pairs = lambda q: F.transform(F.sequence(F.lit(0), F.size(q) - 1, F.lit(2)), lambda i: nibble(q, i).bitwiseOR(F.shiftleft(nibble(q, i + 1), 4)))
+        return F.struct(bound(q, pairs).alias("packed"), safe.alias("scales"))
+
+    return bound(v, lambda v: bound(scales(v), lambda safe: packed(v, safe)))
 
 
 def int4_unpack(packed: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import storage
+from quire.functions import vectors
 
 
 def consecutive_hits(rows: DataFrame, group: list[str], order: list[str], hit: Column, needed: int = 3) -> DataFrame:
@@ -114,11 +115,13 @@ def attend(query: Column, keys: Column, values: Column) -> Column:
     start = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("d"), F.transform(F.get(values, 0), lambda _: F.lit(0.0)).alias("o"))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
 
-    def step(s: Column, p: Column) -> Column:
-        score = F.aggregate(F.zip_with(query, p["k"], lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) / F.sqrt(F.size(query))
-        m = F.greatest(s["m"], score)
-        old, new = F.exp(s["m"] - m), F.exp(score - m)
+    def moved(s: Column, p: Column, score: Column) -> Column:
+        return vectors.bound(F.greatest(s["m"], score), lambda m: vectors.bound(F.exp(s["m"] - m), lambda old: vectors.bound(F.exp(score - m), lambda new: added(s, p, m, old, new))))
+
+    def added(s: Column, p: Column, m: Column, old: Column, new: Column) -> Column:
         return F.struct(m.alias("m"), (s["d"] * old + new).alias("d"), F.zip_with(s["o"], p["v"], lambda o, v: o * old + v * new).alias("o"))
 
-    done = F.aggregate(pairs, start, step)
-    return F.transform(done["o"], lambda o: o / done["d"])
+    def step(s: Column, p: Column) -> Column:
+        return vectors.bound(vectors.dot(query, p["k"]) / F.sqrt(F.size(query)), lambda score: moved(s, p, score))
+
+    return vectors.bound(F.aggregate(pairs, start, step), lambda done: F.transform(done["o"], lambda o: o / done["d"]))
