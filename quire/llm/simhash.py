@@ -29,6 +29,8 @@ SHARD, MAX_DEPTH = 65536, 14
 BLOCK, CHUNK = 131072, 32768
 #: Members of a leaf inside a shard.
 LEAF = 96
+#: Bitmaps of kept rows, of 4 KB each, that are sent to every executor at most.
+BITMAPS = 16384
 #: Links held in a task before they are reduced to a forest.
 HELD = 500_000
 _RADIUS_BITS = 64
@@ -244,5 +246,19 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = copy.select(F.col("row").getField(id_col).alias("doc_id"), F.col("row").getField(text_col).alias("text"), "at")
     found = _grouped(narrow, keep=("at",), **options)
     first = F.min_by("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fingerprint", "at"))
-    kept = common.materialize(common.gathered(found.groupBy("root").agg(first.alias("at")).select("at"), copy.count()), "simhash-kept")
-    return copy.join(kept, "at", "left_semi").select("row.*")
+    kept = found.groupBy("root").agg(first.alias("at")).select("at")
+    return _marked(copy, kept).select("row.*")
+
+
+def _marked(copy: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``copy`` whose place, at, is in ``kept``. The places go to the rows as bitmaps of 32,768 rows each, so that
+    rows with their texts aren't shuffled while the bitmaps fit BITMAPS; beyond they are joined by shuffle."""
+    at = F.col("at")
+    maps = kept.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    maps = common.materialize(common.gathered(maps, copy.count() // 16), "simhash-kept")
+    if maps.count() <= BITMAPS:
+        maps = F.broadcast(maps)
+    bit = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = copy.withColumn("bucket", F.bitmap_bucket_number(at)).join(maps, "bucket")
+    return held.where(F.getbit(byte, (bit % 8).cast("int")) == 1)

@@ -97,7 +97,9 @@ def test_representatives_of_groups_that_share_an_id(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", "a b c d"), ("3", b), ("None", "q r s t"), ("None", "one two three four"), ("None", "u v w x y z")])
 
 
-def test_representatives_keep_all_columns(spark):
+@pytest.mark.parametrize("maps", [16384, 0])
+def test_representatives_keep_all_columns(spark, monkeypatch, maps):
+    monkeypatch.setattr(simhash, "BITMAPS", maps)
     rows = [(1, "a b c d", "x", {"k": 1}, 7), (2, "a b c d", "y", {}, 8), (2, "a b c d", "y", None, 8), (2, "other text here", "z", {"m": 2}, 9), (2, "other text here", "z", {"m": 3}, 9)]
     schema = "doc_id long, text string, _id string, `a.b` map<string,int>, at int"
     kept = simhash.representatives(spark.createDataFrame(rows, schema))
