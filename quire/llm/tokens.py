@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Pieces that a worker remembers; beyond them it starts anew with those of the batch at hand.
 MEMO_PIECES = 2_000_000
 #: Bytes of text in a slice that is encoded at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Longest piece that goes to the merges at once.
 MEMO_LENGTH = 64
 
