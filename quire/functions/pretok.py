@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import longest_first
+
 #: The patterns of the stages.
 DIGITS = r"\p{N}{1,3}"
 CJK = r"[一-龥぀-ゟ゠-ヿ]+"
@@ -31,3 +35,11 @@ def gpt2(text: Column) -> Column:
 def digits_apart(text: Column) -> Column:
     """Every digit on its own, then the byte-level pattern."""
     return isolate(isolate(F.array(text), SINGLE_DIGIT), GPT2)
+
+
+def around_added(text: Column, added: list[str], split: Callable[[Column], Column] = gpt2) -> Column:
+    """Added tokens as pieces of their own, the longest first at each place; what lies between is split."""
+    if not added:
+        return split(text)
+    pieces = isolate(F.array(text), longest_first(added))
+    return F.flatten(F.transform(pieces, lambda p: F.when(p.isin(added), F.array(p)).otherwise(split(p))))

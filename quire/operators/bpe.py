@@ -29,8 +29,10 @@ def learn_pairs(words: DataFrame, word: str, n: int) -> list[tuple[str, str]]:
     return [(r.a, r.b) for r in top.collect()]
 
 
-def encoder(ranks: dict[tuple[str, str], int], vocab: dict[str, int], whole_first: bool = False) -> Column:
-    """A column function: text piece to array of ids. ``whole_first``: a piece that is a token is one token."""
+def encoder(ranks: dict[tuple[str, str], int], vocab: dict[str, int], whole_first: bool = False, added: dict[str, int] | None = None) -> Column:
+    """A column function: text piece to array of ids. ``whole_first``: a piece that is a token is one token. ``added``: pieces
+    that are ids of their own, whatever the merges say."""
+    known = added or {}
 
     @pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -38,6 +40,8 @@ def encoder(ranks: dict[tuple[str, str], int], vocab: dict[str, int], whole_firs
         for batch in batches:
             out = []
             for piece in batch:
+                if piece in known:
+                    memo[piece] = [known[piece]]
                 if piece not in memo:
                     parts = [piece] if whole_first and piece in vocab else merge(list(piece), ranks)
                     missing = [p for p in parts if p not in vocab]

@@ -279,7 +279,13 @@ def q66_run_envelope(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 8) for c in ("divergence_rate", "spread_in_prefix", "spread")})
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT l_linenumber::DOUBLE AS n, l_linenumber * 100.0::DOUBLE / (1 + 0.05::DOUBLE * (l_linenumber - 1) + 0.02::DOUBLE * l_linenumber * (l_linenumber - 1)) AS c FROM lineitem),
+b AS (SELECT arg_min(c, n) AS base, min(n) AS n0 FROM t), r AS (SELECT n, c / base * n0 AS c FROM t, b), p AS (SELECT n - 1 AS x1, n * (n - 1) AS x2, n / c - 1 AS y FROM r WHERE n > 1 AND c > 0),
+s AS (SELECT sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x2 * x2) AS c, sum(x1 * y) AS d, sum(x2 * y) AS e FROM p), f AS (SELECT (d * c - e * b) / (a * c - b * b) AS alpha, (a * e - b * d) / (a * c - b * b) AS beta FROM s),
+q AS (SELECT alpha, beta, 1 - avg((c - n / (1 + alpha * (n - 1) + beta * n * (n - 1))) * (c - n / (1 + alpha * (n - 1) + beta * n * (n - 1)))) / var_pop(c) AS r2 FROM r, f GROUP BY ALL),
+k AS (SELECT *, greatest(least(floor(sqrt((1 - alpha) / beta)), 16), 1) AS low, greatest(least(ceil(sqrt((1 - alpha) / beta)), 16), 1) AS high FROM q),
+w AS (SELECT *, CASE WHEN beta <= 0 OR alpha >= 1 OR r2 < 0.9::DOUBLE THEN 8 WHEN high / (1 + alpha * (high - 1) + beta * high * (high - 1)) > low / (1 + alpha * (low - 1) + beta * low * (low - 1)) THEN high ELSE low END AS chosen FROM k)
+SELECT round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(r2, 6) AS r2, CAST(chosen AS INTEGER) AS chosen, CASE WHEN beta <= 0 OR alpha >= 1 OR r2 < 0.9::DOUBLE THEN 'fallback-physical-cores' WHEN chosen >= 16 THEN 'no-cap-needed' ELSE 'cap-at-usl-peak' END AS decision FROM w""")
 def q67_pool_decision(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("l_linenumber").cast("double")
     t = table(spark, folder, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("k")).select(n.alias("n"), (n * 100.0 / (1 + 0.05 * (n - 1) + 0.02 * n * (n - 1))).alias("c"))

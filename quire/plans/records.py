@@ -49,9 +49,9 @@ def q75_rows_by_place(spark: SparkSession, folder: str) -> DataFrame:
     return plain(ledger.decode(table(spark, folder, "events").select(F.when(k % 4 == 0, F.slice(whole, 1, 7)).otherwise(whole).alias("v")), "v"))
 
 
-@query(f"""WITH p AS ({_TAGGED}) SELECT doc_id, md5(head || ' mid  end \\coloneqq ') AS digest FROM p""")
+@query(f"""WITH p AS ({_TAGGED}) SELECT doc_id, md5(lft || rgt || ' mid  end \\coloneqq ') AS digest FROM p WHERE tail = ''""")
 def q76_reference_transform(spark: SparkSession, folder: str) -> DataFrame:
-    return tagged(spark, folder).select("doc_id", F.md5(text.drop_spans(F.col("t")).cast("binary")).alias("digest"))
+    return tagged(spark, folder).where("doc_id % 5 <> 0").select("doc_id", F.md5(text.drop_spans(F.col("t")).cast("binary")).alias("digest"))
 
 
 @query("""SELECT doc_id, md5(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN text || chr(160) ELSE text || ' <｜end▁of▁sentence｜> x' END, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g')) AS digest FROM documents""")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import charts, musicxml, pretok, spans, text, tokens
+from quire.functions import charts, musicxml, pretok, spans, templates, text, tokens
 from quire.operators import bpe, music
 from quire.plans.base import query, table
-from quire.sources import outputs
+from quire.sources import outputs, vocabularies
 from quire.streaming import guard
 from quire.streaming import pages as page_stream
 
@@ -57,17 +57,19 @@ def q21_ngram_ban(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with spans written behind them."""
+    """Documents with spans written inside and behind them; every fifth ends in one that is never closed."""
     d = table(spark, folder, "documents")
     k = F.col("doc_id") % 1000
     head = F.regexp_replace("text", "[<>\\[\\]|]", " ")
+    half = F.floor(F.length(head) / 2).cast("int")
     pair = F.concat(F.lit("<|ref|>"), F.when(F.col("doc_id") % 3 == 0, "image").otherwise("text"), F.lit("<|/ref|><|det|>[["), k.cast("string"), F.lit(", 5, 900, "), (k % 7).cast("string"), F.lit("00, 7]]<|/det|>"))
     bare = F.concat(F.lit("<|det|>title [1, 2, "), k.cast("string"), F.lit(", 4.9]<|/det|>"))
-    return d.select("doc_id", F.concat(head, pair, F.lit(" mid "), bare, F.lit(" end \\coloneqq "), pair).alias("t"))
+    tail = F.when(F.col("doc_id") % 5 == 0, " <|ref|>x<|/ref|> <|det|>[[1, 2, 3, 4]]").otherwise("")
+    return d.select("doc_id", F.concat(F.substring(head, F.lit(1), half), pair, F.substring(head, half + 1, F.length(head)), F.lit(" mid "), bare, F.lit(" end \\coloneqq "), pair, tail).alias("t"))
 
 
-_TAGGED = """SELECT doc_id, regexp_replace(text, '[<>\\[\\]|]', ' ', 'g') AS head, '<|ref|>' || CASE WHEN doc_id % 3 = 0 THEN 'image' ELSE 'text' END || '<|/ref|><|det|>[[' || (doc_id % 1000) || ', 5, 900, ' || ((doc_id % 1000) % 7) || '00, 7]]<|/det|>' AS pair,
-'<|det|>title [1, 2, ' || (doc_id % 1000) || ', 4.9]<|/det|>' AS bare FROM documents"""
+_TAGGED = """SELECT doc_id, left(head, length(head) // 2) AS lft, substr(head, length(head) // 2 + 1) AS rgt, pair, bare, tail FROM (SELECT doc_id, regexp_replace(text, '[<>\\[\\]|]', ' ', 'g') AS head, '<|ref|>' || CASE WHEN doc_id % 3 = 0 THEN 'image' ELSE 'text' END || '<|/ref|><|det|>[[' || (doc_id % 1000) || ', 5, 900, ' || ((doc_id % 1000) % 7) || '00, 7]]<|/det|>' AS pair,
+'<|det|>title [1, 2, ' || (doc_id % 1000) || ', 4.9]<|/det|>' AS bare, CASE WHEN doc_id % 5 = 0 THEN ' <|ref|>x<|/ref|> <|det|>[[1, 2, 3, 4]]' ELSE '' END AS tail FROM documents)"""
 
 
 @query(f"""WITH p AS ({_TAGGED}) SELECT doc_id, CAST(k AS INTEGER) AS ord, CASE WHEN doc_id % 3 = 0 THEN 'image' ELSE 'text' END AS label, '[' || (doc_id % 1000) || ',5,900,' || ((doc_id % 1000) % 7 * 100) || ']' AS box FROM p, (VALUES (0), (1)) AS v(k)""")
@@ -88,7 +90,7 @@ def q25_box_rescale(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", spans.rescale(F.col("p_size") * 19, F.lit(1024)).alias("x"), spans.rescale(F.col("p_partkey") % 1000, F.lit(640)).alias("y"))
 
 
-@query(f"""WITH p AS ({_TAGGED}) SELECT doc_id, head || CASE WHEN doc_id % 3 = 0 THEN '![](images/p0.jpg)' || chr(10) ELSE '' END || ' mid  end := ' || CASE WHEN doc_id % 3 = 0 THEN '![](images/p0.jpg)' || chr(10) ELSE '' END AS page FROM p""")
+@query(f"""WITH p AS ({_TAGGED}) SELECT doc_id, lft || CASE WHEN doc_id % 3 = 0 THEN '![](images/p0.jpg)' || chr(10) ELSE '' END || rgt || ' mid  end := ' || CASE WHEN doc_id % 3 = 0 THEN '![](images/p0.jpg)' || chr(10) ELSE '' END || tail AS page FROM p""")
 def q26_assemble_page(spark: SparkSession, folder: str) -> DataFrame:
     return tagged(spark, folder).select("doc_id", spans.assemble(F.col("t"), F.lit("p")).alias("page"))
 
@@ -128,14 +130,19 @@ def q31_pretok_full(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query()
-def q32_bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct words of the corpus through a merge table learned from it."""
-    words = table(spark, folder, "documents").select(F.explode(F.split(F.lower("text"), "[ \n]+")).alias("word")).where("word <> ''").distinct()
-    pairs = bpe.learn_pairs(words, "word", 64)
-    ranks = {p: i for i, p in enumerate(pairs)}
-    chars = [r[0] for r in words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().orderBy("c").collect()]  # an alphabet
-    vocab = {t: i for i, t in enumerate(dict.fromkeys([*chars, *("".join(p) for p in pairs)]))}
-    return words.select("word", bpe.encoder(ranks, vocab)("word").alias("ids")).select("word", F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+def q32_bpe_encode(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """The distinct pieces of all texts as ids of a byte-level vocabulary, by its whole merge table."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = "file://" + public_tokenizers.path("byte_bpe_50k.json")
+    vocab, merges = vocabularies.tokenizer_json(spark, vocabulary)
+    added = {r.token: r.id for r in vocabularies.added_tokens(spark, vocabulary).collect()}  # a handful
+    ids, ranks = {r.token: r.id for r in vocab.collect()}, {(r.left, r.right): r["rank"] for r in merges.collect()}  # a vocabulary's size
+    pieces = table(spark, folder, "documents").select(F.explode(F.array_distinct(pretok.around_added(F.col("text"), list(added)))).alias("piece")).distinct()
+    coded = F.when(F.col("piece").isin(list(added)), F.col("piece")).otherwise(templates.byte_alphabet(F.col("piece").cast("binary")))
+    found = pieces.select("piece", bpe.encoder(ranks, ids, added=added)(coded).alias("ids"))
+    return found.select("piece", F.size("ids").alias("n_ids"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
 @query("SELECT doc_id, md5(array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), ' ')) AS digest FROM documents WHERE len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 0")

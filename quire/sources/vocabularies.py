@@ -22,6 +22,12 @@ def tokenizer_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return vocab, merges
 
 
+def added_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """id, token of a tokenizer.json's added tokens."""
+    held = F.from_json(F.get_json_object("value", "$.added_tokens"), "array<struct<id:int,content:string>>")
+    return spark.read.text(path, wholetext=True).select(F.explode(held).alias("a")).select("a.id", F.col("a.content").alias("token"))
+
+
 def ranks(spark: SparkSession, path: str) -> DataFrame:
     """id, bytes from lines of base64 and rank."""
     parts = F.split("value", " ")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 import struct
 
 import numpy as np
@@ -600,3 +602,148 @@ def test_musicxml(spark):
     assert [r.p for r in frame.select(musicxml.lint(F.col("x")).alias("p")).collect()][:2] == [[], []]
     bad = spark.createDataFrame([("<score-partwise><part><measure number='2'><note><chord/></note></measure></part></score-partwise>",)], "x string")
     assert bad.select(musicxml.lint(F.col("x")).alias("p")).first().p == ["measure numbers", "duration", "chord without a note"]
+
+
+def test_every_piece_equals_the_library(spark, data, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quire.plans import catalog
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, "hello <|endoftext|> world<|endoftext|>"), (-2, "it's 3rd  day\n\n of café ☕!? x"), (-3, None), (-4, "")], docs.schema)
+    docs.unionByName(odd).write.parquet(f"file://{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.piece: [int(x) for x in r.ids.split()] for r in catalog.QUERIES["q32_bpe_encode"](spark, f"file://{tmp_path}").collect()}
+    assert got["<|endoftext|>"] == [50256] and len(got) > 1000
+    for piece, ids in got.items():
+        assert library.encode(piece, add_special_tokens=False).ids == ids, piece
+
+
+def test_pre_tokenisation_against_regex(spark, data):
+    import regex
+
+    from quire.functions import pretok
+    from quire.plans import catalog
+
+    def cut(pieces, pattern):
+        out = []
+        for p in pieces:
+            end = 0
+            for m in regex.finditer(pattern, p):
+                out += [p[end : m.start()], m[0]]
+                end = m.end()
+            out.append(p[end:])
+        return [x for x in out if x]
+
+    got = {r.doc_id: r for r in catalog.QUERIES["q31_pretok_full"](spark, data).collect()}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        stages = [[r.text]]
+        for pattern in (pretok.DIGITS, pretok.CJK, pretok.WORDS):
+            stages.append(cut(stages[-1], pattern))
+        want = (len(stages[-1]), len(cut([r.text], pretok.GPT2)), len(cut(cut([r.text], pretok.SINGLE_DIGIT), pretok.GPT2)))
+        assert (got[r.doc_id].three_stage, got[r.doc_id].gpt2, got[r.doc_id].digits_apart, got[r.doc_id].lossless) == (*want, True)
+
+
+def test_jeffreys_bound_by_integration(spark, data):
+    from quire.plans import catalog
+
+    for r in catalog.QUERIES["q39_jeffreys_bound"](spark, data).collect():
+        point = r.passed / r.n
+        if r.n < 20:
+            assert r.bound == math.floor(point * 1e6) / 1e6
+            continue
+        hoeffding = max(0.0, point - math.sqrt(math.log(20) / (2 * r.n)))
+        # the quantile at which the Beta(passed + 1/2, failed + 1/2) density holds 5 %, by a fine sum in x = sin(t) ** 2
+        t = (np.arange(400_000) + 0.5) * (math.pi / 2 / 400_000)
+        density = np.exp(2 * r.passed * np.log(np.sin(t)) + 2 * (r.n - r.passed) * np.log(np.cos(t)))
+        q = np.sin(t[np.searchsorted(np.cumsum(density) / density.sum(), 0.05)]) ** 2
+        assert abs(r.bound - min(q, hoeffding)) < 1e-5
+
+
+def plain_ticks(name):
+    from quire.functions.music import TICKS
+
+    base = TICKS.get(name.removesuffix("."))
+    return None if base is None else base * 3 // 2 if name.endswith(".") else base
+
+
+def plain_event(event):
+    for atom in event.split("|"):
+        if atom.startswith("rest-"):
+            found = plain_ticks(atom.removeprefix("rest-"))
+        else:
+            parts = atom.split("_")
+            found = next((t for i in range(1, len(parts)) if (t := plain_ticks("_".join(parts[i:]))) is not None), None)
+        if found is not None:
+            return found
+    return None
+
+
+def plain_warnings(rows):
+    out, keys = [], {}
+    for system, part, semantic in rows:
+        measure, expected, total, long, under, events = 1, None, 0, None, [], [e for e in semantic.split("+") if e]
+        key = next((e.removeprefix("keySignature-") for e in events if e.startswith("keySignature-")), None)
+        if key is not None:
+            keys.setdefault(system, {})[part] = key
+
+        def close(at_bar):
+            if long is not None:
+                out.append((system, part, measure, "impossible_duration", f"{long[0]}-tick note in a {long[1]}-tick measure"))
+            elif at_bar and expected is not None and total > expected:
+                out.append((system, part, measure, "overfull_bar", f"{total} ticks in a {expected}-tick measure"))
+            if at_bar and expected is not None and 0 < total < expected and measure > 1:
+                under.append((measure, total))
+
+        for e in events:
+            if e == "barline":
+                close(True)
+                measure, total, long = measure + 1, 0, None
+            elif e.startswith("timeSignature-"):
+                s = e.removeprefix("timeSignature-")
+                expected = {"C": 256, "C/": 128}.get(s) or (int(s.split("/")[0]) * 256 // int(s.split("/")[1]))
+            elif not re.match("(keySignature|clef|multirest)-", e):
+                ticks = plain_event(e)
+                total += ticks or 0
+                if ticks is not None and expected is not None and ticks > expected and long is None:
+                    long = (ticks, expected)
+        close(False)
+        for m, t in under[:-1]:
+            out.append((system, part, m, "underfull_bar", f"{t} ticks in a {expected or 0}-tick measure"))
+    for system, held in keys.items():
+        votes = {k: list(held.values()).count(k) for k in held.values()}
+        most = max(votes, key=lambda k: (votes[k], k))
+        out += [(system, p, 0, "key_mismatch", f"staff reads keySignature-{k} while the system majority is keySignature-{most}") for p, k in held.items() if k != most]
+    return sorted(out)
+
+
+def test_music_warnings_against_plain_python(spark, data):
+    from quire.operators import music
+    from quire.plans import catalog, texts
+
+    own = texts.semantics(spark, data)
+    columns = ("system", "part", "measure", "kind", "detail")
+    found = sorted(map(tuple, catalog.QUERIES["q60_music_sanity"](spark, data).select(*columns).collect()))
+    assert found == plain_warnings([tuple(r) for r in own.collect()])
+    short = "clef-G2+keySignature-GM+timeSignature-4/4+C4_quarter+barline+C4_quarter+barline+timeSignature-3/4+C4_half|E4_half+barline+barline+rest-half.+barline+C4_quarter+barline"
+    more = own.union(spark.createDataFrame([(5000, "A", short), (5000, "B", short.replace("GM", "CM")), (5001, "A", "+C4_x+barline+")], own.schema))
+    rows = [tuple(r) for r in more.collect()]
+    got = sorted(map(tuple, music.warnings(more).select(*columns).collect()))
+    assert got == plain_warnings(rows) and {r[3] for r in got} >= {"overfull_bar", "underfull_bar", "key_mismatch"}
+
+
+def test_music_xml_against_the_strings(spark, data):
+    import hashlib
+
+    from quire.functions import musicxml
+    from quire.plans import catalog, texts
+
+    got = {(r.system, r.part): r for r in catalog.QUERIES["q70_musicxml"](spark, data).collect()}
+    for system, part, semantic in texts.semantics(spark, data).collect():
+        events = [e for e in semantic.split("+") if not re.match("(keySignature|clef|timeSignature)-", e)]
+        bars = [b for b in "+".join(events).split("barline") if any(plain_event(e) is not None for e in b.split("+"))]
+        notes = sum(len(e.split("|")) if plain_event(e) is not None and not e.startswith("C4_x") else 1 if plain_event(e) is not None else 0 for e in events)
+        r = got[system, part]
+        assert r.digest == hashlib.md5(musicxml.build(semantic).encode()).hexdigest()
+        assert r.measures == max(1, len(bars)) and r.notes == notes
