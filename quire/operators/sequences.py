@@ -95,19 +95,24 @@ def without_gain(hull: Column, least: float = 1e-6) -> Column:
 def farthest_cuts(bars: Column, width: Column, budget: int, least: Column) -> Column:
     """Positions 0, cuts, width so that no piece is wider than ``budget``: each cut is the farthest bar within it that lies more
     than ``least`` behind the last. Null where a piece has no such bar."""
+    return vectors.bound(bars, lambda bs: vectors.bound(width, lambda w: _cuts(bs, w, budget, least)))
+
+
+def _cuts(bars: Column, width: Column, budget: int, least: Column) -> Column:
     start = F.struct(F.array(F.lit(0).cast("long")).alias("cuts"), F.lit(True).alias("open"))
     most = F.ceil(width / F.greatest(least, F.lit(1))).cast("int") + 1
 
-    def step(s: Column, _: Column) -> Column:
-        at = F.element_at(s["cuts"], -1)
-        best = F.array_max(F.filter(bars, lambda b: (b > at + least) & (b <= at + budget)))
-        more = s["open"] & (width - at > budget)
+    def on(s: Column, best: Column) -> Column:
         cut = F.struct(F.concat(s["cuts"], F.array(best.cast("long"))).alias("cuts"), F.lit(True).alias("open"))
-        stuck = F.struct(s["cuts"].alias("cuts"), F.lit(False).alias("open"))
-        return F.when(~more, s).when(best.isNull(), stuck).otherwise(cut)
+        return F.when(best.isNull(), F.struct(s["cuts"].alias("cuts"), F.lit(False).alias("open"))).otherwise(cut)
+
+    def step(s: Column, _: Column) -> Column:
+        within = lambda at: F.array_max(F.filter(bars, lambda b: (b > at + least) & (b <= at + budget)))
+        more = lambda at: s["open"] & (width - at > budget)
+        return vectors.bound(F.element_at(s["cuts"], -1), lambda at: F.when(more(at), vectors.bound(within(at), lambda best: on(s, best))).otherwise(s))
 
-    done = F.aggregate(F.sequence(F.lit(1), most), start, step)
-    return F.when(done["open"] & (width - F.element_at(done["cuts"], -1) <= budget), F.concat(done["cuts"], F.array(width.cast("long"))))
+    whole = lambda done: F.when(done["open"] & (width - F.element_at(done["cuts"], -1) <= budget), F.concat(done["cuts"], F.array(width.cast("long"))))
+    return vectors.bound(F.aggregate(F.sequence(F.lit(1), most), start, step), whole)
 
 
 def attend(query: Column, keys: Column, values: Column) -> Column:

@@ -199,7 +199,7 @@ def q91_farthest_cuts(spark: SparkSession, folder: str) -> DataFrame:
     """A supplier's prices as bars of a line that is cut into pieces of at most 900."""
     bars = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_set(F.floor(F.col("l_extendedprice") / 20).cast("long"))).alias("b"))
     cuts = sequences.farthest_cuts(F.col("b"), F.array_max("b") + 40, 900, F.lit(30))
-    return bars.select("l_suppkey", F.when(cuts.isNotNull(), F.array_join(F.transform(cuts, lambda c: c.cast("string")), ",")).alias("cuts"))
+    return bars.select("l_suppkey", F.array_join(F.transform(cuts, lambda c: c.cast("string")), ",").alias("cuts"))
 
 
 @query("""WITH a AS (SELECT event_type, 'v' || length(event_type) AS build, count(*) AS n FROM events GROUP BY ALL), b AS (SELECT event_type, max(value) AS top FROM events GROUP BY ALL), c AS (SELECT event_type, min(value) AS low FROM events GROUP BY ALL)
