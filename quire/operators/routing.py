@@ -44,11 +44,16 @@ def dispatch(tokens: DataFrame, key: str, vector: str, routed: DataFrame, expert
     return ordered.select(key, added.alias("v"))
 
 
-def rescore(candidates: DataFrame, exact: DataFrame, group: str, idx: str, keep: int) -> DataFrame:
-    """The best by exact score of each group's candidates: group, idx, score."""
-    line = Window.partitionBy(group).orderBy(F.col("score").desc(), idx)
-    joined = candidates.select(group, idx).join(exact, [group, idx])
-    return joined.withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= keep).drop("_n")
+def rescore(scored: DataFrame, group: str, idx: str, rough: str, exact: str, wide: int, keep: int) -> DataFrame:
+    """Of each group's ``wide`` best rows by the rough score the ``keep`` best by the exact one: group, idx, score.
+
+    The lower idx goes first on ties. Every row stands for itself, also where a group holds an idx more than once.
+    """
+    found = scored.select(group, idx, F.col(rough).alias("_rough"), F.col(exact).alias("score"))
+    for score, n in (("_rough", wide), ("score", keep)):
+        line = Window.partitionBy(group).orderBy(F.col(score).desc(), idx)
+        found = found.withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= n).drop("_n")
+    return found.drop("_rough")
 
 
 def schedule(rows: DataFrame, order: str, length: str, slots: int) -> DataFrame:

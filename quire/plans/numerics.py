@@ -111,11 +111,11 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ro
 def q110_rescored(spark: SparkSession, folder: str) -> DataFrame:
     """For the first vector of each label the twenty that look nearest at one decimal, and of them the five nearest."""
     e = doubles(spark, folder)
-    pairs = e.join(e.groupBy("label").agg(F.min_by("v", "vec_id").alias("w")), "label")
+    heads = e.groupBy("label").agg(F.min_by("v", F.when(F.col("v").isNotNull(), F.col("vec_id"))).alias("w"))
     cut = lambda c: F.transform(c, lambda x: F.round(x, 1))
-    scored = pairs.select("label", "vec_id", F.round(vectors.dot(cut("v"), cut("w")), 9).alias("score"), vectors.dot(F.col("v"), F.col("w")).alias("exact"))
-    rough = routing.rescore(scored.select("label", "vec_id"), scored.select("label", "vec_id", "score"), "label", "vec_id", 20)
-    return routing.rescore(rough, scored.select("label", "vec_id", F.col("exact").alias("score")), "label", "vec_id", 5).withColumn("score", F.round("score", 6))
+    # the rough sums are ranked as they are: rounded ones would tie where the plain sums don't
+    scored = e.join(heads, "label").select("label", "vec_id", vectors.dot(cut("v"), cut("w")).alias("rough"), vectors.dot(F.col("v"), F.col("w")).alias("exact"))
+    return routing.rescore(scored, "label", "vec_id", "rough", "exact", 20, 5).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH e AS (SELECT vec_id, embedding AS v, [vec_id % 64, (vec_id * 7) % 64, vec_id % 64, (vec_id * 3) % 64, vec_id % 64] AS h FROM embeddings), b AS (SELECT *, list_transform(list_filter(range(1, 5), lambda i: h[i] = h[5]), lambda i: h[i + 1]) AS out FROM e),

@@ -478,6 +478,25 @@ def test_routing(spark):
     assert (c.steps, c.served, c.max_active) == (5, 4, 2)
 
 
+def test_rescored_as_its_sql(spark, tmp_path):
+    """Rough sums that differ in their last digit only, ids that stand in the table three times, a first vector that is null."""
+    import duckdb
+
+    from quire.plans import catalog
+
+    rng = np.random.default_rng(5)
+    parts = (np.arange(64) % 7 + 1) / 10
+    rows = [(0, [0.1] * 64, 0), *((i, rng.permutation(parts).tolist(), 0) for i in range(1, 200))]
+    rows += [(i % 30, v, 1) for i, v in zip(range(90), np.tile(rng.normal(0, 0.2, (30, 64)), (3, 1)).tolist(), strict=True)]
+    rows += [(-1, None, 2), *((i, rng.normal(0, 0.2, 64).tolist(), 2) for i in range(40))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(f"SELECT label, vec_id, score FROM ({catalog.ORACLES['q110_rescored']})").fetchall()
+    got = catalog.QUERIES["q110_rescored"](spark, str(tmp_path)).select("label", "vec_id", "score").collect()
+    assert len(want) == 15 and sorted(want) == sorted(map(tuple, got))
+
+
 def test_kernels(spark):
     from quire.functions import kernels
 
