@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; beyond them it starts anew with those of the batch at hand.
-MEMO_PIECES = 2_000_000
+MEMO_PIECES = 1_000_000
 #: Bytes of text in a slice that is encoded at once.
 SLICE = 4 << 20
 #: Longest piece that goes to the merges at once.
@@ -33,10 +33,11 @@ def _byte_chars() -> dict[int, int]:
 
 
 BYTE_CHARS = _byte_chars()
-#: Stands before a text's first word, and before a full stop or comma that was cut off.
+#: Stands before a text's first word, and before punctuation that was cut off.
 FIRST, MARK = "\x01", "\x02"
-#: A full stop or comma after a letter or digit, at a word's end: the split rules cut there too.
-STOP = "([\\pL\\pN])([.,])( |\\z)"
+#: Punctuation at a word's end, after a Latin letter or a digit: the split rules cut there too. Not with an apostrophe, which may
+#: begin a contraction, nor after a letter that lower case or normalisation takes apart, such as U+0130: its mark joins the run.
+STOP = "([0-9A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}])([!-&(-/:-@\\[-`{-~]+)( |\\z)"
 #: White space other than a single space or line feed between two words.
 ODD = "[\\x01\\x02\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]"
 SPACE = chr(BYTE_CHARS[0x20])
@@ -61,7 +62,7 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """kind "bytes": byte-level vocabulary; a piece is a word, standing for itself with the space before it, a
     line feed with the word behind it, or FIRST with a text's first word. kind "words": the vocabulary drops
-    white space; a piece is a word. In both a piece may also be MARK with a full stop or comma."""
+    white space; a piece is a word. In both a piece may also be MARK with the punctuation cut off a word."""
 
     def __init__(self, path: str, kind: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,7 +76,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = pa.array([], pa.string())
+        self.known: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, "<i4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -87,22 +88,23 @@ class Encoder:
         out: list[bytes] = []
         rest: list[int] = []
         tokenize, spaced, pack, feed = self.tokenizer.model.tokenize, self.spaced, struct.pack, self.feed
+        lead = SPACE if spaced else ""
         for i, p in enumerate(pieces):
-            head, word, space = b"", p, ""
-            if p == "":  # of an empty text
-                out.append(b"")
-                continue
-            if p[0] == MARK:
-                word = ""
-            elif spaced:
-                if p[0] == "\n":
-                    head, word = feed, p[1:]
+            head, word, space = b"", p, lead
+            if not p.isalpha():
+                if p == "":  # of an empty text
+                    out.append(b"")
+                    continue
+                if p[0] == "\n" and spaced:
+                    head, word, space = feed, p[1:], ""
                 elif p[0] == FIRST:
-                    word = p[1:]
-                else:
-                    space = SPACE
+                    word, space = p[1:], ""
+                if word is p or not word.isalpha():
+                    rest.append(i)
+                    out.append(b"")
+                    continue
             found = None
-            if word.isalpha() and len(word) <= MEMO_LENGTH and (spaced or word.islower()):
+            if len(word) <= MEMO_LENGTH and (spaced or word.islower()):
                 if word.isascii():
                     found = tokenize(space + word)
                 elif max(word) < "\u0250":
@@ -118,20 +120,22 @@ class Encoder:
         return out
 
     def _find(self, pieces: pa.Array) -> np.ndarray:
-        """Places of distinct pieces among the known ones; new ones are added."""
+        """Places of distinct pieces among the known ones; new ones are added. A dict is asked for the pieces at hand
+        alone, where Arrow's index_in would hash all the known ones for every slice."""
         if len(self.known) > MEMO_PIECES:
             self._forget()
-        at = pc.index_in(pieces, self.known)
-        new = pieces.filter(pc.is_null(at))
-        found = self._words(new.to_pylist())
+        listed, get = pieces.to_numpy(zero_copy_only=False).tolist(), self.known.get
+        places = np.fromiter((get(p, -1) for p in listed), np.int64, len(listed))
+        at = np.flatnonzero(places < 0)
+        new = [listed[i] for i in at.tolist()]
+        places[at] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known.update(zip(new, places[at].tolist(), strict=True))
+        found = self._words(new)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        places = at.to_numpy(zero_copy_only=False).astype(np.float64)
-        places[np.isnan(places)] = len(self.known) + np.arange(len(new))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<i4")])
-        self.known = pa.concat_arrays([self.known, new])
-        return places.astype(np.int64)
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (int32), and where each text's begin, with the end; a null is an empty text."""

@@ -64,6 +64,25 @@ def test_encoder_equals_the_library(texts, kind):
     assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
+def test_punctuation_at_a_words_end():
+    """Cut off a word where the rules do, so that it makes no piece of its own; İ and क़ come apart, and their mark joins the run."""
+    texts = ["İ. İ!! x", "\u0958, a\u0958!!", "it's!! its'!! a'. b.' c.'s", "É!!? ß... 3%% ½;: a)]}~` e\u0301!! Σ!?", "x=1; y[0]!\nz:", "a!!<|endof", "½. Ⅷ, 中."]
+    for kind, name in (("bytes", "byte_bpe_50k.json"), ("words", "word_bpe_49k.json")):
+        e = tokens.Encoder(tokens.vocabulary(name), kind)
+        flat, at = e.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == plain(kind, texts)
+        e.encode(pa.array(["some &&& some&&& some### some%% some"]))
+        assert "some&&&" not in e.known and "some" in e.known
+
+
+def test_memo_is_not_read_through(monkeypatch):
+    """A slice asks the memo for its own pieces alone: Arrow's index_in would hash all the known ones each time."""
+    monkeypatch.setattr(tokens.pc, "index_in", None)
+    e = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), "bytes")
+    for text in ("some words", "some other words"):
+        assert e.encode(pa.array([text]))[0].tolist() == plain("bytes", [text])[0]
+
+
 def test_memo_generations(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_PIECES", 5)
     e = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), "bytes")
